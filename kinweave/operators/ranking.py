@@ -8,13 +8,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinweave.functions.words import stems
 from kinweave.operators.dedupe import top_per
 from kinweave.operators.governance import live_interactions, live_people
+from kinweave.operators.skew import salted_join
 
 # Rows per answer, the cosine floor, the longest page, the timeline length.
 TOP_K = 8
@@ -55,25 +56,33 @@ def interactions_with_people(interactions: DataFrame, people: DataFrame) -> Data
 def contains_matches(slots: DataFrame, values: DataFrame, slot: str, value: str) -> DataFrame:
     """(tenant_id, slot, value) where the value contains the slot, ignoring case.
 
-    Both inputs are distinct. A contained slot's first three characters are one of the value's
-    runs of that length, so this is an equi-join on such a run plus the test itself, not a
-    comparison of everything with everything.
+    Both inputs are distinct. Every run of three characters of a contained slot is a run of the
+    value, so this is an equi-join on the slot's rarest run plus the test itself, not a comparison
+    of everything with everything.
     """
-    low = F.lower(F.col(value))
     size = 3
 
-    def runs(n: int):
+    def runs(text: Column, n: int) -> Column:
         return F.when(
-            F.length(low) >= n,
-            F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substring(low, i, F.lit(n))),
+            F.length(text) >= n,
+            F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n))),
         ).otherwise(F.array().cast("array<string>"))
 
-    every_run = F.array_distinct(F.flatten(F.array(*[runs(n) for n in range(1, size + 1)])))
+    low_value, low_slot = F.lower(F.col(value)), F.lower(F.col(slot))
+    every_run = F.array_distinct(F.flatten(F.array(*[runs(low_value, n) for n in range(1, size + 1)])))
     keyed_values = values.withColumn("_run", F.explode(every_run))
-    keyed_slots = slots.withColumn("_run", F.substring(F.lower(F.col(slot)), 1, size))
+    own_runs = F.when(F.length(low_slot) < size, F.array(low_slot)).otherwise(F.array_distinct(runs(low_slot, size)))
+    slot_runs = slots.where(F.col(slot) != "").withColumn("_run", F.explode(own_runs))
+    frequency = keyed_values.groupBy("tenant_id", "_run").agg(F.count("*").alias("_n"))
+    # A run no value has proves that nothing matches; NULL sorts first and then joins nothing.
+    rarest = top_per(
+        slot_runs.join(frequency, ["tenant_id", "_run"], "left"),
+        ["tenant_id", slot],
+        [F.col("_n").asc_nulls_first(), F.col("_run").asc()],
+    ).drop("_n")
     return (
-        keyed_slots.join(keyed_values, ["tenant_id", "_run"])
-        .where(F.contains(low, F.lower(F.col(slot))))
+        salted_join(keyed_values, rarest, ["tenant_id", "_run"], value)
+        .where(F.contains(low_value, low_slot))
         .select("tenant_id", slot, value)
     )
 
