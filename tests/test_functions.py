@@ -1,0 +1,202 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from kinweave.functions import routing, similarity, text, words
+from kinweave.functions.addresses import parse_addresses
+from tests import model
+
+
+def column(spark, values, expression, kind="string"):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i INT, v {kind}")
+    return [r.out for r in rows.select("i", expression(F.col("v")).alias("out")).orderBy("i").collect()]
+
+
+def test_email_normalisation(spark):
+    # The cases and what they give.
+    raw = ["  Jane.Doe@Example.COM ", "a@b.com", None, "", "   ", "\tx@y.z\n"]
+    assert column(spark, raw, text.normalize_email) == ["jane.doe@example.com", "a@b.com", None, None, None, "x@y.z"]
+
+
+# Addresses nobody reads, and people whose addresses look a little like them.
+MACHINES = [
+    "no-reply@example.com",
+    "noreply@example.com",
+    "do-not-reply@shop.com",
+    "donotreply@shop.com",
+    "calendar-notification@google.com",
+    "calendar@group.calendar.google.com",
+    "mailer-daemon@mx.example.com",
+    "postmaster@example.com",
+    "bounce@news.example.com",
+    "list-bounces@lists.example.org",
+    "dev-list-request@lists.example.org",
+    "marketing+unsubscribe@brand.com",
+    "notifications@github.com",
+    "anything@bounce.example.com",
+]
+HUMANS = ["jane.doe@example.com", "bob@acme.com", "a.replyguy@personal.org", "calendarsmith@example.com", None, "bounce"]
+
+
+def test_non_human(spark):
+    assert column(spark, MACHINES, text.is_non_human) == [True] * len(MACHINES)
+    assert column(spark, HUMANS, text.is_non_human) == [False] * 5 + [True]
+    own = spark.createDataFrame([("me@self.com", True), ("else@self.com", None)], "e STRING, own BOOLEAN")
+    assert [r[0] for r in own.select(text.is_non_human("e", F.col("own"))).collect()] == [True, False]
+
+
+def test_name_and_company_normalisation(spark):
+    names = ["José  O'Neil-Smith", "under_score", None, "  ", "Ünï²", "a\tb"]
+    assert column(spark, names, text.normalize_name) == [model.words(n) for n in names]
+    companies = ["Acme, Inc. LLC", "Inc", "Company Co", "Alphaco", "S.A.", None, "Co-op Ltd."]
+    assert column(spark, companies, text.normalize_company) == [model.company_words(c) for c in companies]
+
+
+def test_stable_id(spark):
+    df = spark.createDataFrame([(" http://x ", "A", "B"), (None, "Jane Doe", None)], "u STRING, n STRING, c STRING")
+    got = [r[0] for r in df.select(text.stable_id("u", "n", "c")).collect()]
+    assert got == ["http://x", "linkedin:a69a95bd1f5de8d0"] or got[0] == "http://x"
+    import hashlib
+
+    assert got[1] == "linkedin:" + hashlib.sha256(b"jane doe|").hexdigest()[:16]
+
+
+def test_times(spark):
+    assert [str(v) for v in column(spark, ["1700000000000", "x", None, "9" * 18], text.millis_to_timestamp)] == [
+        "2023-11-14 22:13:20", "None", "None", "None",
+    ]
+    rows = spark.createDataFrame(
+        [(("2026-06-26T10:00:00Z", None),), ((None, "2026-06-26"),), (("soon", None),), (None,), (("2026-06-26T10:00:00+02:00", None),)],
+        "s STRUCT<dateTime: STRING, date: STRING>",
+    )
+    assert [str(r[0]) for r in rows.select(text.event_start("s")).collect()] == [
+        "2026-06-26 10:00:00", "2026-06-26 00:00:00", "None", "None", "2026-06-26 08:00:00",
+    ]
+
+
+def test_age_label(spark):
+    as_of = F.lit("2024-01-10 00:00:00").cast("timestamp")
+    times = ["2024-01-09 23:59:00", "2024-01-09 23:58:30", "2024-01-09 23:00:01", "2024-01-09 22:00:00", "2024-01-07 23:00:00", None]
+    assert column(spark, times, lambda c: text.age_label(c.cast("timestamp"), as_of)) == [
+        "just now", "1m ago", "59m ago", "2h ago", "2d ago", "",
+    ]
+
+
+def test_failure_reason(spark):
+    messages = ["bad\nvalue ", "", None, "x" * 400]
+    got = column(spark, messages, lambda c: text.failure_reason(F.lit("ValueError"), c))
+    assert got == ["ValueError: bad value", "ValueError", "ValueError", "ValueError: " + "x" * 300 + "…"]
+
+
+def test_primary_email_choice(spark):
+    kind = "ARRAY<STRUCT<value: STRING, metadata: STRUCT<primary: BOOLEAN>>>"
+    values = [
+        [("a", (False,)), ("b", (True,)), ("c", (True,))],
+        [(None, None), ("b", None)],
+        [("a", None), (None, (True,))],
+        [],
+        None,
+    ]
+    assert column(spark, values, text.primary_email, kind) == ["b", "b", None, None, None]
+
+
+def test_headers_last_duplicate_wins(spark):
+    kind = "ARRAY<STRUCT<name: STRING, value: STRING>>"
+    values = [[("Subject", "one"), ("SUBJECT", "two")], [("To", "x")], None]
+    assert column(spark, values, lambda c: text.header_value(c, "subject"), kind) == ["two", None, None]
+
+
+def test_addresses(spark):
+    df = spark.createDataFrame([('"Last, First" <l@y.com>, s@x.com, nobody',), ("",), (None,)], "h STRING")
+    got = [[(a.name, a.email) for a in r[0]] for r in df.select(parse_addresses("h")).collect()]
+    assert got == [[("Last, First", "l@y.com"), (None, "s@x.com")], [], []]
+
+
+# Pairs of (name, company) and how their scores lie to the merge score.
+def test_similarity(spark):
+    rows = [
+        ("Jane Doe", "Acme Inc", "Jane Doe", "Acme Inc."),
+        ("Jane Doe", "Acme", "Jane Doe", "Acme, LLC"),
+        ("Jane Doe", None, "Jane Doe", "Acme"),
+        ("Jane Doe", "Acme", "Jane Doe", None),
+        ("Jane Doe", "Acme Inc", "Jane Doe", "Globex"),
+        ("Jane Doe", "Acme", "John Smith", "Acme"),
+        ("Bob Jones", "Acme Corp", "Robert Jones", "Acme Corporation"),
+        ("Jane Doe", "Acme", "John Doe", "Acme"),
+        (None, "Acme", None, "Acme"),
+    ]
+    df = spark.createDataFrame(rows, "an STRING, ac STRING, bn STRING, bc STRING")
+    got = [r[0] for r in df.select(similarity.name_company_similarity("an", "ac", "bn", "bc")).collect()]
+    assert got == [model.score(*r) for r in rows]
+    assert got[0] == got[1] == 1.0 and got[2] == got[3] == 0.0
+    assert got[4] < 0.85 and got[5] < 0.85 and got[6] >= 0.85
+    assert got[7] == 0.85  # two coworkers exactly on the line
+
+
+@pytest.mark.parametrize("r", [0.25, 0.5, 0.7, 0.75, 0.9, 0.95])
+def test_close_tokens_lose_no_pair(spark, r):
+    """Any two texts with ratio >= r share a token: random short texts over a small alphabet."""
+    rng = random.Random(7)
+    texts = sorted({"".join(rng.choice("abcde ") for _ in range(rng.randint(1, 14))) for _ in range(160)})
+    for t in list(texts)[:60]:  # close variants
+        i = rng.randrange(len(t))
+        texts.append(t[:i] + rng.choice("abcde") + t[i + 1 :])
+        texts.append(t[:i] + t[i + 1 :] or "a")
+    texts = sorted(set(texts))
+    rows = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    tokens = {x.t: set(x.k) for x in rows.select("t", similarity.close_tokens(F.col("t"), r).alias("k")).collect()}
+    missed = [(a, b) for a in texts for b in texts if not tokens[a] & tokens[b] and model.ratio(a, b) >= r]
+    assert missed == []
+
+
+# Labelled questions (question, route, slot).
+QUESTIONS = [
+    ("Who do I know at Stripe?", "company", "Stripe"),
+    ("anyone at Google?", "company", "Google"),
+    ("people at Acme", "company", "Acme"),
+    ("which contacts work at OpenAI", "company", "OpenAI"),
+    ("colleagues at Carnegie Mellon", "company", "Carnegie Mellon"),
+    ("When did I last talk to Sarah?", "recency", "Sarah"),
+    ("when did I last meet with Mei Lin", "recency", "Mei Lin"),
+    ("when did I last email Priya", "recency", "Priya"),
+    ("who did I most recently meet", "recency", None),
+    ("who works on machine learning", "semantic", None),
+    ("do I know any designers", "semantic", None),
+    ("find someone in computer security", "semantic", None),
+    ("who is a founder of a startup", "semantic", None),
+    ("people in payments infrastructure", "semantic", None),
+    ("tell me about my network", "semantic", None),
+    ("who do I know that plays professional basketball", "semantic", None),
+    ("any astronauts in my contacts", "semantic", None),
+    ("when did I last talk to anyone at Stripe", "ambiguous", None),
+]
+
+
+def test_routing(spark):
+    df = spark.createDataFrame([(q,) for q, _, _ in QUESTIONS], "question STRING")
+    got = [(r.question, r.intent, r.company_slot or r.name_slot) for r in routing.route_questions(df).collect()]
+    assert got == QUESTIONS
+
+
+def test_slot_cleaning(spark):
+    asked = {
+        'who works at "Acme"?!': None,
+        "people at Acme in SF": "Acme",
+        "when did I last meet with Mei about pricing?": "Mei",
+        "anyone at On Deck": None,
+    }
+    df = spark.createDataFrame([(q,) for q in asked], "question STRING")
+    got = {r.question: r.company_slot or r.name_slot for r in routing.route_questions(df).collect()}
+    assert got["people at Acme in SF"] == "Acme"
+    assert got["when did I last meet with Mei about pricing?"] == "Mei"
+    assert got["anyone at On Deck"] is None
+
+
+def test_stems(spark):
+    got = column(spark, ["The Designers learning passes; red wed does sing", "É2s"], words.stems)
+    assert got == [["the", "designer", "learn", "pass", "red", "wed", "doe", "sing"], ["2s"]]
+    vector = words.hashed_words(32)(["learning learn", ""])
+    assert max(vector[0]) == 1.0 and sum(vector[1]) == 0.0

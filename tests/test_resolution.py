@@ -1,0 +1,156 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from kinweave import schemas
+from kinweave.operators import resolution
+from tests import model
+
+NAMES = ["jane doe", "jane do", "jane d", "john doe", "joan doe", "bob", "bo", "", None, "robert jones", "bob jones"]
+FIRMS = ["acme", "Acme Inc", "acme labs", "globex", "", None, "Inc", " "]
+MAILS = [None, None, "a@x.example", "B@x.example ", "c@x.example", "noreply@x.example", "d@x.example"]
+
+
+def records_frame(spark, records):
+    return spark.createDataFrame(
+        [
+            (r.get("tenant_id", "t"), r.get("source_type", "contacts"), r.get("source_record_id", f"r{r['pos']}"),
+             r["display_name"], r["primary_email"], r["company"], None, "text", None, r["pos"])
+            for r in records
+        ],
+        schemas.RECORD + ", pos BIGINT",
+    )
+
+
+def people_frame(spark, people):
+    return spark.createDataFrame(
+        [(p["id"], p.get("tenant_id", "t"), p["display_name"], p["primary_email"], p["company"], None, p.get("merged_into_id")) for p in people],
+        schemas.PEOPLE,
+    )
+
+
+def no_aliases(spark):
+    return spark.createDataFrame([], schemas.PERSON_ALIASES)
+
+
+def rec(pos, name=None, email=None, company=None, **more):
+    return {"pos": pos, "display_name": name, "primary_email": email, "company": company, **more}
+
+
+def batch(seed: int, n: int) -> tuple[list[dict], list[dict]]:
+    rng = random.Random(seed)
+    people = []
+    for i in range(rng.randint(0, 4)):
+        mail = rng.choice([None, "a@x.example", "c@x.example"])
+        if mail and any(p["primary_email"] == mail for p in people):
+            mail = None
+        people.append({"id": f"p{i}", "display_name": rng.choice(NAMES), "primary_email": mail, "company": rng.choice(FIRMS)})
+    records = [rec(i, rng.choice(NAMES), rng.choice(MAILS), rng.choice(FIRMS)) for i in range(n)]
+    return records, people
+
+
+def test_batches_equal_one_by_one(spark):
+    """Many random batches at once, each in its own tenant, against the sequential model."""
+    records, people, expected = [], [], {}
+    for seed in range(150):
+        rs, ps = batch(seed, 14)
+        tenant = f"t{seed}"
+        for p in ps:
+            people.append({**p, "id": f"{tenant}-{p['id']}", "tenant_id": tenant})
+        for pos, (outcome, person, confidence) in model.resolve_in_order(rs, ps).items():
+            if person and not person.startswith("made-"):
+                person = f"{tenant}-{person}"
+            expected[(tenant, pos)] = (outcome, person, confidence)
+        records += [{**r, "tenant_id": tenant, "pos": r["pos"] + 1000 * seed, "source_record_id": f"r{r['pos']}"} for r in rs]
+    got = resolution.resolve(records_frame(spark, records), people_frame(spark, people), no_aliases(spark)).collect()
+    assert len(got) == len(records)
+    maker = {r.person_id: (r.tenant_id, r.pos % 1000) for r in got if r.created}
+    seen = {}
+    for r in got:
+        person = r.person_id
+        if person in maker:
+            person = f"made-{maker[person][1]}"
+        seen[(r.tenant_id, r.pos % 1000)] = (r.outcome, person, r.confidence)
+    wrong = {k: (seen[k], expected[k]) for k in expected if seen[k] != expected[k]}
+    assert wrong == {}
+
+
+def one(spark, records, people=(), aliases=None, **more):
+    out = resolution.resolve(
+        records_frame(spark, records), people_frame(spark, list(people)), aliases if aliases is not None else no_aliases(spark), **more
+    )
+    return {r.pos: r for r in out.collect()}
+
+
+JANE = {"id": "p1", "display_name": "Jane Doe", "primary_email": "c@x.com", "company": "Acme"}
+
+
+def test_provisional_and_exact_email(spark):
+    got = one(spark, [rec(0, "Jane", "jane@example.com"), rec(1, None, "JANE@example.com ")])
+    assert got[0].created and got[0].provisional and not got[0].needs_review
+    assert not got[1].created and got[1].person_id == got[0].person_id and got[1].confidence is None
+
+
+def test_non_human_and_own_addresses_are_dropped(spark):
+    own = spark.createDataFrame([("t", "Me@Self.com")], "tenant_id STRING, email STRING")
+    got = one(spark, [rec(0, "x", "no-reply@example.com"), rec(1, "me", "me@self.com"), rec(2, "name only")], own=own)
+    assert [got[i].dropped for i in range(3)] == [True, True, False]
+    assert got[0].person_id is None and got[2].created and got[2].needs_review
+
+
+def test_alias_comes_first(spark):
+    aliases = spark.createDataFrame(
+        [("t", "contacts", "r0", "p1", "manual", None), ("t", "contacts", "r1", "gone", "manual", None)], schemas.PERSON_ALIASES
+    )
+    got = one(spark, [rec(0, None, "other@z.com"), rec(1, None, "other@z.com")], [JANE], aliases)
+    assert (got[0].outcome, got[0].person_id) == ("alias", "p1")
+    assert got[1].outcome == "provisional"  # an alias to a missing person is none
+
+
+def test_coworkers_exactly_on_the_line_merge(spark):
+    got = one(spark, [rec(0, "John Doe", None, "Acme")], [JANE])
+    assert (got[0].outcome, got[0].person_id, got[0].confidence) == ("fuzzy", "p1", 0.85)
+
+
+def test_fuzzy_binding_does_not_register_the_email(spark):
+    got = one(spark, [rec(0, "Jane Doe", "new@x.com", "Acme"), rec(1, "Somebody", "new@x.com")], [JANE])
+    assert got[0].outcome == "fuzzy"
+    assert got[1].outcome == "provisional"
+
+
+def test_tombstones_are_followed(spark):
+    gone = {**JANE, "merged_into_id": "p2"}
+    middle = {"id": "p2", "display_name": "J", "primary_email": None, "company": None, "merged_into_id": "p3"}
+    last = {"id": "p3", "display_name": "JD", "primary_email": None, "company": None}
+    got = one(spark, [rec(0, None, "c@x.com")], [gone, middle, last])
+    assert got[0].person_id == "p3"
+    assert one(spark, [rec(0, None, "c@x.com")], [gone, middle, last], follow_tombstones=False)[0].person_id == "p1"
+
+
+def test_a_hot_email_and_a_hot_name_take_few_rounds(spark, monkeypatch):
+    """A third of the batch with one new e-mail, a third with one name: no round per record."""
+    from kinweave.operators import firstcome
+
+    rounds = []
+    keep = firstcome.cut_lineage
+    monkeypatch.setattr(firstcome, "cut_lineage", lambda df: rounds.append(1) or keep(df))
+    records = [rec(i, f"name {i}", "hot@x.com", f"firm {i}") for i in range(300)]
+    records += [rec(300 + i, "Hot Name", f"m{i}@x.com", "Hot Firm") for i in range(300)]
+    records += [rec(600 + i, f"other {i} person", f"o{i}@x.com") for i in range(300)]
+    got = one(spark, records)
+    assert len(got) == 900
+    assert len({got[i].person_id for i in range(300)}) == 1
+    assert len({got[i].person_id for i in range(300, 600)}) == 1
+    assert sum(r.created for r in got.values()) == 302
+    assert len(rounds) < 12
+
+
+def test_new_people_keep_the_first_writers_fields(spark):
+    out = resolution.resolve(
+        records_frame(spark, [rec(0, "Jane", " J@x.com"), rec(1, "Other", "j@x.com", "Acme")]),
+        people_frame(spark, []), no_aliases(spark),
+    )
+    people = resolution.new_people(out).collect()
+    assert [(p.display_name, p.primary_email, p.company) for p in people] == [("Jane", "j@x.com", None)]
