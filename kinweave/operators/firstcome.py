@@ -79,13 +79,15 @@ def last_links(links: DataFrame, child: str, parent: str, max_rounds: int = 64)
             F.col("_c").alias("_via"), F.col("_root").alias("_root2"), F.col("_last").alias("_last2")
         )
         joined = reach.join(step, F.col("_root") == F.col("_via"), "left")
-        if joined.where(F.col("_via").isNotNull()).isEmpty():
-            return reach.select(F.col("_c").alias(child), F.col("_root").alias("root"), F.col("_last").alias("last"))
         reach = cut_lineage(
             joined.select(
                 "_c",
                 F.coalesce("_root2", "_root").alias("_root"),
                 F.coalesce("_last2", "_last").alias("_last"),
+                F.col("_via").isNotNull().alias("_moved"),
             )
         )
+        if reach.where("_moved").isEmpty():
+            return reach.select(F.col("_c").alias(child), F.col("_root").alias("root"), F.col("_last").alias("last"))
+        reach = reach.drop("_moved")
     raise RuntimeError("merge links form a cycle")
