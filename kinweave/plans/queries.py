@@ -125,6 +125,13 @@ def semantic_topk_batch(spark, d):
     return _vector_hits(spark, d, asked.withColumn("qid", F.col("tenant_id") * 1000 + F.col("label")))
 
 
+@query
+def semantic_topk_approximate(spark, d):
+    asked = _centroids(spark, d, ["tenant_id", "label"]).withColumn("qid", F.col("tenant_id") * 1000 + F.col("label"))
+    live = retrieval.searchable(views.vectors(spark, d), views.people(spark, d))
+    return ranking.above_floor(ranking.vector_topk_approximate(live, asked))
+
+
 @query
 def words_topk(spark, d):
     chunks = retrieval.searchable(views.chunks(spark, d), views.people(spark, d))

@@ -81,6 +81,18 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def task_count(spark: SparkSession) -> int:
+    """How many tasks a shuffle is cut into; AQE does not merge partitions of an explicit number."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
+    """Deal a small table out to all tasks before costly per-row work. One small file would be one
+    task; a table of more rows comes in many files and is left where it is, so nothing large moves."""
+    small = df.limit(max_rows + 1).count() <= max_rows
+    return df.repartition(task_count(df.sparkSession)) if small else df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name for a table a job writes, below the shared folder."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"

@@ -200,3 +200,20 @@ def test_stems(spark):
     assert got == [["the", "designer", "learn", "pass", "red", "wed", "doe", "sing"], ["2s"]]
     vector = words.hashed_words(32)(["learning learn", ""])
     assert max(vector[0]) == 1.0 and sum(vector[1]) == 0.0
+
+
+def test_plain_headers_are_read_like_all_others():
+    """The short cut for plain headers gives what the full mail parser gives."""
+    from email.utils import getaddresses
+
+    from kinweave.functions.addresses import PLAIN_HEADER, split_header
+
+    rng = random.Random(1)
+    parts = ["Ann", "Ann Lee", '"Lee, Ann"', '"A#1"', "<a@b.c>", "<a.b+c@d-e.org>", "a@b.c", "A_b@c", ",", ", ", " ", "nobody", '"', "(c)", ";", "<", ">", '"x" <y@z.w>', "Bo <bo@x.y>"]
+    plain = 0
+    for _ in range(20_000):
+        header = "".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))
+        plain += bool(PLAIN_HEADER.fullmatch(header))
+        expected = [(n.strip() or None, a.strip()) for n, a in getaddresses([header]) if "@" in (a or "")]
+        assert split_header(header) == expected, header
+    assert plain > 500

@@ -196,3 +196,14 @@ def test_hashed_vectors_retrieve_too(spark, network):
     asked = spark.createDataFrame([("q", "t", "find someone in computer security", embed(["computer security"])[0])], "qid STRING, tenant_id STRING, question STRING, embedding ARRAY<FLOAT>")
     best = retrieval.semantic_citations(asked, vectors, people, k=1, by_words=False).first()
     assert best.person == "Priya Nair"
+
+
+def test_approximate_search_finds_most_of_the_exact_answer(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16))
+    vectors = centres[rng.integers(0, 12, 600)] + 0.3 * rng.normal(size=(600, 16))
+    chunks = spark.createDataFrame([("t", i, v.tolist()) for i, v in enumerate(vectors)], "tenant_id STRING, chunk_id BIGINT, embedding ARRAY<FLOAT>")
+    asked = spark.createDataFrame([("t", i, c.tolist()) for i, c in enumerate(centres)], "tenant_id STRING, qid BIGINT, embedding ARRAY<FLOAT>")
+    exact = ranking.vector_topk(chunks, asked).select("qid", F.col("chunk_id").alias("person_id"))
+    near = ranking.vector_topk_approximate(chunks, asked).select("qid", F.col("chunk_id").alias("person_id"))
+    assert evaluation.mean_recall(near, exact).first().mean_recall >= 0.9
