@@ -405,8 +405,9 @@ ORACLE: dict[str, str] = {
                   ELSE 'linkedin:' || substr(sha256(lower(name || '|' || company)), 1, 16) END AS stable_id FROM branded""",
     ),
     "term_vectors": r"""
-        SELECT doc_id, regexp_replace(t, '^(.{3,}?)(ing|ed|es|s)$', '\1') AS stem, count(*) AS tf
-        FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents) GROUP BY ALL""",
+        SELECT doc_id, stem, tf, round(tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)), 6) AS weight FROM (
+            SELECT doc_id, regexp_replace(t, '^(.{3,}?)(ing|ed|es|s)$', '\1') AS stem, count(*) AS tf
+            FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents) GROUP BY ALL)""",
     "content_hashes": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
     "message_fanout": _sql(
         "people order_mail",

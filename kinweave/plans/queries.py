@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import text as X
 from kinweave.functions.routing import route_questions
-from kinweave.functions.words import hashed_words, term_counts
+from kinweave.functions.words import hashed_words, term_weights
 from kinweave.operators import aggregates, evaluation, keyed, matching, merging, ranking, resolution, review
 from kinweave.operators.dedupe import dedupe_pairs, ordered_distinct
 from kinweave.operators.embedding import reembed
@@ -298,7 +298,8 @@ def stable_ids(spark, d):
 
 @query
 def term_vectors(spark, d):
-    return term_counts(table(spark, d, "documents"), ["doc_id"], "text")
+    terms = term_weights(table(spark, d, "documents"), ["doc_id"], "text")
+    return terms.withColumn("weight", F.round("weight", 6))
 
 
 @query
@@ -683,6 +684,15 @@ def resolve_batch(spark, d):
     return out.select("tenant_id", "source_record_id", "person_id", "outcome", F.round("confidence", 6).alias("confidence"))
 
 
+@query
+def weak_scores(spark, d):
+    """New people of the part records with the best score they had below the merge score."""
+    people = brand_people(spark, d)
+    resolved = resolution.resolve(part_records(spark, d), people, no_aliases(spark, d))
+    out = resolution.with_weak_scores(resolved, people, 0.8).where("created")
+    return out.select("tenant_id", "source_record_id", F.round("confidence", 6).alias("confidence"))
+
+
 @query
 def ingest_counters(spark, d):
     people = brand_people(spark, d)

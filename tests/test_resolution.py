@@ -77,6 +77,23 @@ def test_batches_equal_one_by_one(spark):
     assert wrong == {}
 
 
+def test_weak_scores_of_new_people(spark):
+    """The best score below the merge score, against the sequential model."""
+    records, people, expected = [], [], {}
+    for seed in range(40):
+        rs, ps = batch(seed, 14)
+        tenant = f"t{seed}"
+        people += [{**p, "id": f"{tenant}-{p['id']}", "tenant_id": tenant} for p in ps]
+        for pos, weak in model.weak_scores(rs, ps).items():
+            expected[pos + 1000 * seed] = weak if weak is not None and weak >= 0.55 else None
+        records += [{**r, "tenant_id": tenant, "pos": r["pos"] + 1000 * seed, "source_record_id": f"r{r['pos']}"} for r in rs]
+    stored = people_frame(spark, people)
+    resolved = resolution.resolve(records_frame(spark, records), stored, no_aliases(spark))
+    got = {r.pos: r.confidence for r in resolution.with_weak_scores(resolved, stored, 0.55).collect() if r.outcome == "new"}
+    assert got == {pos: expected[pos] for pos in got}
+    assert sum(v is not None for v in got.values()) > 20
+
+
 def one(spark, records, people=(), aliases=None, **more):
     out = resolution.resolve(
         records_frame(spark, records), people_frame(spark, list(people)), aliases if aliases is not None else no_aliases(spark), **more
