@@ -53,13 +53,16 @@ def adopt(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set."""
+    """The shared folder of the cluster. Only a local master may go without one; it gets a temporary
+    folder, as driver and tasks are one process there."""
     context = spark.sparkContext
     root = context.getCheckpointDir()
     if root:
         return root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="kinweave-", dir="/tmp")
     context.setCheckpointDir(root)
     return context.getCheckpointDir() or root
