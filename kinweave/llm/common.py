@@ -7,7 +7,6 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +56,7 @@ def byte_words(texts: pa.Array) -> list[list[bytes]]:
 def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """The same words without Python objects: a code per word over all texts, where each text's codes
     start (one more entry than texts), and the distinct words the codes stand for."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     flat = lists.flatten()
     full = pc.greater(pc.binary_length(flat), 0)
     bounds = lists.offsets.to_numpy()
@@ -66,15 +65,24 @@ def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return coded.indices.to_numpy(), kept[bounds - bounds[0]].astype(np.int64), coded.dictionary
 
 
-def hashes(words: Iterable, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of distinct strings or byte strings."""
-    if isinstance(words, pa.Array):
-        words = words.cast(pa.large_binary()).to_pylist()
-    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), dtype=np.uint64)
+def hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of the strings of an Arrow array, the same in every batch."""
+    words = words.cast(pa.large_binary())
+    if len(words) == 0:
+        return np.empty(0, dtype=np.uint64)
+    start = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)[start[0] : start[-1]]
+    length = np.diff(start)
+    place = np.arange(len(data)) - np.repeat(start[:-1] - start[0], length)
+    factor = np.full(int(length.max(initial=0)) + 1, 0x9E3779B97F4A7C15, dtype=np.uint64).cumprod()
+    terms = np.append(mixed(data.astype(np.uint64) + np.uint64(1)) * factor[place], np.uint64(0))
+    sums = np.where(length > 0, np.add.reduceat(terms, start[:-1] - start[0]), np.uint64(0))
+    return mixed(sums + length.astype(np.uint64))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers (the finaliser of splitmix64)."""
+    x = np.asarray(x, dtype=np.uint64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
