@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import decontaminate, language, minhash, mixture, shard_table
+from kinweave.llm import decontaminate, itq, language, minhash, mixture, shard_table
 from kinweave.llm.common import table
 from kinweave.session import adopt, scratch_path
 
@@ -52,6 +52,11 @@ def op7_decontaminate(spark, d):
     return decontaminate.report(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+@query
+def op8_itq(spark, d):
+    return itq.near_copies(table(spark, d, "embeddings"))
+
+
 @query
 def op9_mixture(spark, d):
     return mixture.report(table(spark, d, "documents"))
