@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import decontaminate, itq, language, minhash, mixture, shard_table
+from kinweave.llm import decontaminate, itq, language, minhash, mixture, shard_table, templates
 from kinweave.llm.common import table
 from kinweave.session import adopt, scratch_path
 
@@ -42,6 +42,11 @@ def op2_token_files(spark, d):
     return read_tokens(write_tokens(table(spark, d, "documents"), scratch_path(spark, "tokens"), vocabulary, END_ID))
 
 
+@query
+def op3_page_text(spark, d):
+    return templates.extract(table(spark, d, "pages"))
+
+
 @query
 def op6_minhash(spark, d):
     return minhash.near_copies(table(spark, d, "documents"), words=2)
