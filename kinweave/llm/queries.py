@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import decontaminate, itq, language, minhash, mixture, pii, shard_table, templates
+from kinweave.llm import decontaminate, itq, language, minhash, mixture, pii, pitman_yor, shard_table, templates
 from kinweave.llm.common import table
 from kinweave.session import adopt, scratch_path
 
@@ -47,6 +47,11 @@ def op3_page_text(spark, d):
     return templates.extract(table(spark, d, "pages"))
 
 
+@query
+def op4_pitman_yor(spark, d):
+    return pitman_yor.report(table(spark, d, "documents"))
+
+
 @query
 def op5_pii(spark, d):
     return pii.report(table(spark, d, "documents"))
