@@ -169,9 +169,9 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **o
 
     @F.pandas_udf("string")
     def cut_all(texts, places):
-        return texts.combine(places, lambda t, p: cut(t, list(p)))
+        return texts.combine(places, lambda t, p: cut(t, list(p)) if len(p) else t)
 
-    cleaned = F.when(F.size(hits) > 0, cut_all(F.col(text), F.col(hits))).otherwise(F.col(text))
+    cleaned = cut_all(F.col(text), F.col(hits))
     return out.select(*[cleaned.alias(c) if c.lower() == text.lower() else out[c] for c in docs.columns])
 
 
