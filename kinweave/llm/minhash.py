@@ -10,8 +10,8 @@ confirmed on their full sets.
 A band key that many classes share does not become all its pairs. First each class is compared with two
 classes of its key only (the smallest id and the smallest hash). Connected classes need no further
 comparing among themselves; for the rest, the classes under a key are cut into blocks, and pairs of
-blocks are compared in arrays, where only pairs of different components come out. What comes out is
-confirmed as before, so no link that joins two components is lost to this.
+blocks are compared in arrays: estimated, then confirmed on their full sets, where only links that join
+different components come out. So none of these is lost, and pairs never become rows.
 
 A pair at the threshold of 0.8 shares no band with probability (1 - 0.8 ** 5) ** 32 = 3e-6.
 """
@@ -36,9 +36,9 @@ BITS = 2
 #: 64-bit words of a packed signature: 32 lanes of two bits in each.
 PACKED = MINIMA * BITS // 64
 LANES = 0x5555555555555555
-#: Pairs estimated at this much below the threshold are still confirmed (over five standard deviations).
-SLACK = 0.2
-BLOCK = 256
+#: Pairs estimated at this much below the threshold are still confirmed (four standard deviations).
+SLACK = 0.15
+BLOCK = 128
 
 _RNG = np.random.default_rng(6)
 _FLIP = _RNG.integers(0, 2**32, MINIMA, dtype=np.uint32)
@@ -170,30 +170,70 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: in
     return cut_lineage(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(words, percent), "a bigint, b bigint"))
 
 
-def _apart(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in two blocks of one band key that may be similar enough."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            left, right = row["left"], row["right"]
-            l, r = (np.array([x["cls"] for x in side]) for side in (left, right))
-            comp_l, comp_r = (np.array([x["component"] for x in side]) for side in (left, right))
-            n_l, n_r = (np.array([x["n_shingles"] for x in side]) for side in (left, right))
-            low_l, low_r = (np.array([x["low"] for x in side], dtype=np.int64).view(np.uint64) for side in (left, right))
-            unequal = np.zeros((len(l), len(r)), dtype=np.int32)
-            for k in range(PACKED):
-                z = low_l[:, k, None] ^ low_r[None, :, k]
-                unequal += np.bitwise_count((z | (z >> np.uint64(1))) & np.uint64(LANES))
-            like = (1 - unequal / MINIMA - 0.25) / 0.75 >= percent / 100 - SLACK
-            like &= comp_l[:, None] != comp_r[None, :]
-            like &= 100 * np.minimum(n_l[:, None], n_r) >= percent * np.maximum(n_l[:, None], n_r)
-            if row["same"]:
-                like = np.triu(like, 1)
-            i, j = np.nonzero(like)
-            yield pa.RecordBatch.from_pydict({"a": np.minimum(l[i], r[j]), "b": np.maximum(l[i], r[j])})
-
-
-def _leftover(shared: DataFrame, classes: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs that the first comparisons have left in different components, each once.
+def _apart(words: int, percent: int):
+    """Links between different components in two blocks of one band key, confirmed on the full sets; of
+    those that join the same components the first."""
+
+    def common(texts: list[str], n: int) -> np.ndarray:
+        """How many shingles each of the first n texts shares with each of the others."""
+        codes, bounds, distinct = coded_words(pa.array(texts, pa.string()))
+        own = list(_shingles(hashes(distinct)[codes], bounds, words))
+        sides = [(np.concatenate(part), np.repeat(np.arange(len(part)), [len(x) for x in part])) for part in (own[:n], own[n:])]
+        shared = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]))
+        out = np.zeros((n, len(texts) - n), dtype=np.float32)
+        for at in range(0, len(shared), 8192):
+            columns = shared[at : at + 8192]
+            tables = []
+            for (flat, row), size in zip(sides, out.shape, strict=True):
+                spot = np.minimum(np.searchsorted(columns, flat), len(columns) - 1)
+                hit = columns[spot] == flat
+                table = np.zeros((size, len(columns)), dtype=np.float32)
+                table[row[hit], spot[hit]] = 1
+                tables.append(table)
+            out += tables[0] @ tables[1].T
+        return out.astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                left, right = row["left"], row["right"]
+                comp_l, comp_r = (np.array([x["component"] for x in side]) for side in (left, right))
+                n_l, n_r = (np.array([x["n_shingles"] for x in side]) for side in (left, right))
+                low_l, low_r = (np.array([x["low"] for x in side], dtype=np.int64).view(np.uint64) for side in (left, right))
+                unequal = np.zeros((len(left), len(right)), dtype=np.int32)
+                for k in range(PACKED):
+                    z = low_l[:, k, None] ^ low_r[None, :, k]
+                    unequal += np.bitwise_count((z | (z >> np.uint64(1))) & np.uint64(LANES))
+                guess = (1 - unequal / MINIMA - 0.25) / 0.75
+                like = (guess >= percent / 100 - SLACK) & (comp_l[:, None] != comp_r[None, :])
+                like &= 100 * np.minimum(n_l[:, None], n_r) >= percent * np.maximum(n_l[:, None], n_r)
+                if row["same"]:
+                    like = np.triu(like, 1)
+                if not like.any():
+                    continue
+                both = common([x["text"] for x in left + right], len(left))
+                like &= 100 * both >= percent * (n_l[:, None] + n_r - both)
+                root: dict[int, int] = {}
+
+                def top(c: int, root: dict[int, int] = root) -> int:
+                    while root.get(c, c) != c:
+                        c = root[c]
+                    return c
+
+                out = []
+                for x, y in zip(*[k.tolist() for k in np.nonzero(like)], strict=True):
+                    a, b = top(left[x]["component"]), top(right[y]["component"])
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        out.append((left[x]["cls"], right[y]["cls"]))
+                yield pa.RecordBatch.from_pydict({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
+
+    return run
+
+
+def _leftover(shared: DataFrame, classes: DataFrame, texts: DataFrame, component: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between components that the first comparisons have left apart.
 
     Under a key, classes of the first class's component need no comparing among themselves: the others,
     usually few, are compared with them and with each other, block by block.
@@ -203,10 +243,10 @@ def _leftover(shared: DataFrame, classes: DataFrame, component: DataFrame, perce
         F.min(F.struct("cls", "component")).alias("m"), F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")
     )
     keys = keys.where("x <> y").select("key", "n", F.col("m.component").alias("main"))
-    open_ = members.join(keys, "key").join(classes.select("cls", "n_shingles", "low"), "cls")
+    open_ = members.join(keys, "key").join(classes.select("cls", "n_shingles", "low").join(texts, "cls"), "cls")
     block = F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / BLOCK)).cast("int")
     blocks = cut_lineage(
-        open_.select("key", (F.col("component") != F.col("main")).alias("rest"), block.alias("block"), F.struct("cls", "component", "n_shingles", "low").alias("row"))
+        open_.select("key", (F.col("component") != F.col("main")).alias("rest"), block.alias("block"), F.struct("cls", "component", "n_shingles", "low", "text").alias("row"))
         .groupBy("key", "rest", "block")
         .agg(F.collect_list("row").alias("rows"))
     )  # a block has about BLOCK rows
@@ -214,7 +254,7 @@ def _leftover(shared: DataFrame, classes: DataFrame, component: DataFrame, perce
     right = blocks.select("key", "rest", F.col("block").alias("j"), F.col("rows").alias("right"))
     same = F.col("rest") & (F.col("i") == F.col("j"))
     pairs = left.join(right, "key").where("not rest or i <= j").select("left", "right", same.alias("same"))
-    return pairs.mapInArrow(lambda batches: _apart(batches, percent), "a bigint, b bigint").distinct()
+    return pairs.mapInArrow(_apart(words, percent), "a bigint, b bigint").distinct()
 
 
 def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -242,8 +282,9 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, doc: str = "
     links = _confirmed(pairs, classes, texts, words, percent)
     near = components(links)
     everyone = classes.select(F.col("cls").alias("node")).join(near, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    more = cut_lineage(_leftover(shared, classes, cut_lineage(everyone), percent))
-    near = components(links.union(_confirmed(more, classes, texts, words, percent)))
+    more = cut_lineage(_leftover(shared, classes, texts, cut_lineage(everyone), words, percent))
+    if not more.isEmpty():
+        near = components(links.union(more))
     joined = classes.select("cls", "doc_id").join(near, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
     least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = joined.join(least, "component").select("cls", "component_id")
