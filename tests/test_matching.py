@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.operators import matching, review, skew
-from tests import model
+from tests import scores
 
 FIRST = "ann anna anne bob robert rob jane joan john jo li mei raj".split()
 LAST = "doe dole smith smyth smit lee li patel patil jones johns".split()
@@ -48,7 +48,7 @@ def test_similar_keys_equal_all_pairs(spark, threshold):
     for a, (ta, an, ac) in listed.items():
         for b, (tb, bn, bc) in listed.items():
             if a != b and ta == tb:
-                s = model.key_score((an, ac), (bn, bc))
+                s = scores.key_score((an, ac), (bn, bc))
                 if s >= threshold:
                     expected[(a, b)] = s
     assert got == expected
@@ -77,11 +77,11 @@ def test_best_match_ties_go_to_the_smallest_id(spark):
     )
     got = {r.source_record_id: (r.person_id, r.score) for r in matching.fuzzy_best_match(records, people).collect()}
     assert got["r1"] == (3, 1.0)
-    assert got["r2"] == (3, model.score("Jane Do", "Acme", "Jane Doe", "Acme"))
+    assert got["r2"] == (3, 0.6 * 14 / 15 + 0.4)
     assert got["r3"] == got["r4"] == (None, None)
 
 
-def brute_force_queue(rows: list[dict], n: int) -> dict[str, list[tuple]]:
+def brute_force_queue(rows: list[dict], n: int, named: dict) -> dict[str, list[tuple]]:
     """All pairs per tenant in the order the operator documents."""
     out = {}
     for tenant in {r["tenant_id"] for r in rows}:
@@ -90,12 +90,12 @@ def brute_force_queue(rows: list[dict], n: int) -> dict[str, list[tuple]]:
         shared = sorted(
             (a["id"], b["id"]) for a in live for b in live if a["id"] < b["id"] and mail(a) and mail(a) == mail(b)
         )
-        key = lambda r: (model.words(r["display_name"]), model.company_words(r["company"]))
+        key = lambda r: named[r["display_name"], r["company"]]
         fuzzy = []
         for a in live:
             for b in live:
                 if all(key(a)) and all(key(b)) and key(a) < key(b) and not (mail(a) and mail(a) == mail(b)):
-                    s = model.key_score(key(a), key(b))
+                    s = scores.key_score(key(a), key(b))
                     if 0.55 <= s < 0.999:
                         fuzzy.append((-s, key(a), key(b), a["id"], b["id"]))
         listed = [(1.0, a, b) for a, b in shared] + [(round(-f[0], 6), f[3], f[4]) for f in sorted(fuzzy)]
@@ -115,7 +115,7 @@ def test_review_queue_equals_all_pairs(spark, n, emails):
     queue = review.review_queue(people, sources, n).collect()
     for r in sorted(queue, key=lambda r: r.place):
         got.setdefault(r.tenant_id, []).append((r.a_id, r.b_id))
-    expected = {t: [(a, b) for _, a, b in pairs] for t, pairs in brute_force_queue(rows, n).items() if pairs}
+    expected = {t: [(a, b) for _, a, b in pairs] for t, pairs in brute_force_queue(rows, n, scores.keys(spark, rows)).items() if pairs}
     assert got == expected
     counts = {p: sum(1 for r in rows if r["id"] % 9 == p) for p in range(9)}
     for r in queue:

@@ -6,7 +6,7 @@ import pytest
 
 from kinweave import schemas
 from kinweave.operators import resolution
-from tests import model
+from tests import scores
 
 NAMES = ["jane doe", "jane do", "jane d", "john doe", "joan doe", "bob", "bo", "", None, "robert jones", "bob jones"]
 FIRMS = ["acme", "Acme Inc", "acme labs", "globex", "", None, "Inc", " "]
@@ -51,46 +51,66 @@ def batch(seed: int, n: int) -> tuple[list[dict], list[dict]]:
     return records, people
 
 
-def test_batches_equal_one_by_one(spark):
-    """Many random batches at once, each in its own tenant, against the sequential model."""
-    records, people, expected = [], [], {}
-    for seed in range(150):
+def many_batches(spark, seeds):
+    """Random batches, each in its own tenant; the result rows in record order, with what was known before each."""
+    records, people = [], []
+    for seed in range(seeds):
         rs, ps = batch(seed, 14)
-        tenant = f"t{seed}"
-        for p in ps:
-            people.append({**p, "id": f"{tenant}-{p['id']}", "tenant_id": tenant})
-        for pos, (outcome, person, confidence) in model.resolve_in_order(rs, ps).items():
-            if person and not person.startswith("made-"):
-                person = f"{tenant}-{person}"
-            expected[(tenant, pos)] = (outcome, person, confidence)
-        records += [{**r, "tenant_id": tenant, "pos": r["pos"] + 1000 * seed, "source_record_id": f"r{r['pos']}"} for r in rs]
-    got = resolution.resolve(records_frame(spark, records), people_frame(spark, people), no_aliases(spark)).collect()
-    assert len(got) == len(records)
-    maker = {r.person_id: (r.tenant_id, r.pos % 1000) for r in got if r.created}
-    seen = {}
-    for r in got:
-        person = r.person_id
-        if person in maker:
-            person = f"made-{maker[person][1]}"
-        seen[(r.tenant_id, r.pos % 1000)] = (r.outcome, person, r.confidence)
-    wrong = {k: (seen[k], expected[k]) for k in expected if seen[k] != expected[k]}
-    assert wrong == {}
+        people += [{**p, "id": f"t{seed}-{p['id']}", "tenant_id": f"t{seed}"} for p in ps]
+        records += [{**r, "tenant_id": f"t{seed}", "pos": r["pos"] + 1000 * seed, "source_record_id": f"r{r['pos']}"} for r in rs]
+    stored = people_frame(spark, people)
+    resolved = resolution.resolve(records_frame(spark, records), stored, no_aliases(spark))
+    named = scores.keys(spark, records + people)
+    result = {r.pos: r for r in resolved.collect()}
+    assert set(result) == {r["pos"] for r in records}
+    cases = []
+    for r in records:
+        makers = [o for o in records if o["tenant_id"] == r["tenant_id"] and o["pos"] < r["pos"] and result[o["pos"]].created]
+        known = [(p["id"], p) for p in people if p["tenant_id"] == r["tenant_id"]]
+        known += [(result[o["pos"]].person_id, o) for o in sorted(makers, key=lambda o: o["pos"])]
+        cases.append((r, result[r["pos"]], known))
+    return resolved, stored, named, cases
+
+
+def address(row):
+    return (row["primary_email"] or "").strip().lower() or None
+
+
+def likeness(named, r, known):
+    """Scores of the record with all known people that have a company."""
+    own = named[r["display_name"], r["company"]]
+    return [(scores.key_score(own, named[p["display_name"], p["company"]]), who) for who, p in known if r["company"] and p["company"]]
+
+
+def test_every_record_follows_from_those_before_it(spark):
+    _, _, named, cases = many_batches(spark, 150)
+    outcomes = set()
+    for r, got, known in cases:
+        outcomes.add(got.outcome)
+        same_address = [who for who, p in known if address(r) and address(p) == address(r)]
+        like = likeness(named, r, known)
+        best = max((s for s, _ in like), default=0.0)
+        if got.outcome == "email":
+            assert got.person_id == same_address[0] and got.confidence is None
+            continue
+        assert not same_address
+        assert (got.outcome == "dropped") == bool(address(r) and address(r).startswith("noreply"))
+        if got.outcome == "dropped":
+            assert got.person_id is None
+        elif got.outcome == "fuzzy":
+            assert got.confidence == best >= 0.85 and (best, got.person_id) == next(x for x in like if x[0] == best)
+        else:
+            assert got.created and best < 0.85 and got.person_id not in dict(known)
+            assert (got.outcome == "provisional") == bool(address(r) and not r["company"])
+    assert outcomes == {"email", "dropped", "fuzzy", "new", "provisional"}
 
 
 def test_weak_scores_of_new_people(spark):
-    """The best score below the merge score, against the sequential model."""
-    records, people, expected = [], [], {}
-    for seed in range(40):
-        rs, ps = batch(seed, 14)
-        tenant = f"t{seed}"
-        people += [{**p, "id": f"{tenant}-{p['id']}", "tenant_id": tenant} for p in ps]
-        for pos, weak in model.weak_scores(rs, ps).items():
-            expected[pos + 1000 * seed] = weak if weak is not None and weak >= 0.55 else None
-        records += [{**r, "tenant_id": tenant, "pos": r["pos"] + 1000 * seed, "source_record_id": f"r{r['pos']}"} for r in rs]
-    stored = people_frame(spark, people)
-    resolved = resolution.resolve(records_frame(spark, records), stored, no_aliases(spark))
+    """The best score below the merge score of what was known, from the floor upwards."""
+    resolved, stored, named, cases = many_batches(spark, 40)
     got = {r.pos: r.confidence for r in resolution.with_weak_scores(resolved, stored, 0.55).collect() if r.outcome == "new"}
-    assert got == {pos: expected[pos] for pos in got}
+    best = {r["pos"]: max((s for s, _ in likeness(named, r, known)), default=0.0) for r, out, known in cases if out.outcome == "new"}
+    assert got == {pos: s if s >= 0.55 else None for pos, s in best.items()}
     assert sum(v is not None for v in got.values()) > 20
 
 
