@@ -27,7 +27,7 @@ from kinweave.llm.common import slices
 from kinweave.session import cut_lineage
 
 #: Most remembered pieces of text per task.
-MEMORY = 200_000
+MEMORY = 600_000
 NO_DOC = -(2**63)
 
 
@@ -73,7 +73,7 @@ class Encoder:
             self.known = {"": b""}
         known = self.known
         new = list({p for ps in pieces for p in ps if p not in known})
-        for piece, coded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+        for piece, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             known[piece] = np.array(coded.ids, dtype=self.dtype).tobytes()
         return [b"".join([known[p] for p in ps]) for ps in pieces]
 
