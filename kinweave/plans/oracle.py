@@ -34,13 +34,15 @@ BASE = {
     "vectors": """
         SELECT p.tenant_id, p.id AS person_id, vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS embedding,
                CAST(label AS BIGINT) AS label
-        FROM embeddings JOIN people p ON vec_id = p.id""",
+        FROM embeddings JOIN people p ON vec_id % (SELECT count(*) FROM customer) = p.id""",
     "questions": """
-        SELECT conv_id || '-' || turn AS qid, p.tenant_id, p.id AS asker,
-               CASE conv_id % 4 WHEN 0 THEN 'Who do I know at ' || lower(p.company) || '?'
+        SELECT conv_id || '-' || turn || suffix AS qid, p.tenant_id, p.id AS asker, w AS wording,
+               CASE w WHEN 0 THEN 'Who do I know at ' || lower(p.company) || '?'
                     WHEN 1 THEN 'When did I last talk to ' || p.display_name || '?'
                     WHEN 2 THEN 'when did I last meet anyone at ' || p.company ELSE text END AS question
-        FROM conversations JOIN people p ON conv_id = p.id WHERE role = 'user'""",
+        FROM (SELECT *, conv_id % 4 AS w, '' AS suffix FROM conversations WHERE conv_id % 4 < 3
+              UNION ALL SELECT *, 3, '-own' FROM conversations WHERE text IS NOT NULL)
+        JOIN people p ON conv_id % (SELECT count(*) FROM customer) = p.id WHERE role = 'user'""",
     "aliases": """
         SELECT p.tenant_id, 'contacts' AS source_type, 'o' || o_orderkey AS source_record_id,
                o_custkey // 2 AS person_id, 'manual' AS decided_by, NULL::BIGINT AS merged_from_id
@@ -144,7 +146,7 @@ BASE = {
     "relevant": """
         SELECT q.qid, m.id AS person_id FROM questions q JOIN people a ON q.asker = a.id
         JOIN people m ON a.tenant_id = m.tenant_id AND a.company = m.company AND a.title = m.title
-        WHERE q.asker % 4 = 0""",
+        WHERE q.wording = 0""",
     "recalls": """
         SELECT r.qid, count(*) AS relevant, count(h.person_id) AS found, count(h.person_id) / count(*) AS recall
         FROM relevant r LEFT JOIN (SELECT DISTINCT qid, person_id FROM asked_company) h
@@ -592,7 +594,7 @@ ORACLE: dict[str, str] = {
     "intent_accuracy": _sql(
         "people questions plain cued routed",
         """SELECT count(*) AS questions,
-                  round(avg(CASE WHEN intent = ['company', 'recency', 'ambiguous', 'semantic'][1 + q.asker % 4] THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+                  round(avg(CASE WHEN intent = ['company', 'recency', 'ambiguous', 'semantic'][1 + q.wording] THEN 1.0 ELSE 0.0 END), 6) AS accuracy
            FROM routed JOIN questions q USING (qid)""",
     ),
     "zero_result": _sql(

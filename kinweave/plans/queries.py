@@ -153,13 +153,10 @@ def routed_answers(spark, d):
 @query
 def hybrid_union(spark, d):
     """Every question on the hybrid route, with its person's company as the slot."""
-    asked = views.questions(spark, d)
-    owner = views.people(spark, d).select(
-        F.col("id").alias("_id"), F.lower("company").alias("company_slot")
-    )
+    owner = views.people(spark, d).select(F.col("id").alias("asker"), F.lower("company").alias("company_slot"))
     routed = (
-        asked.withColumn("_id", F.split_part("qid", F.lit("-"), F.lit(1)).cast("bigint"))
-        .join(owner, "_id")
+        views.asked(spark, d)
+        .join(owner, "asker")
         .select("qid", "tenant_id", "question", F.lit("hybrid").alias("intent"), "company_slot",
                 F.lit(None).cast("string").alias("name_slot"))
     )
@@ -837,9 +834,8 @@ def _labelled_hits(spark, d) -> tuple[DataFrame, DataFrame]:
     asker = people.select(F.col("id").alias("asker"), "tenant_id", "company", "title")
     mates = people.select("tenant_id", "company", "title", F.col("id").alias("person_id"))
     relevant = (
-        views.questions(spark, d)
-        .withColumn("asker", F.split_part("qid", F.lit("-"), F.lit(1)).cast("bigint"))
-        .where("asker % 4 = 0")
+        views.asked(spark, d)
+        .where("wording = 0")
         .join(asker, ["asker", "tenant_id"])
         .join(mates, ["tenant_id", "company", "title"])
         .select("qid", "person_id")
@@ -859,15 +855,10 @@ def mean_recall(spark, d):
 
 @query
 def intent_accuracy(spark, d):
-    asked = views.questions(spark, d)
-    labels = asked.select(
-        "qid",
-        F.element_at(
-            F.array(F.lit("company"), F.lit("recency"), F.lit("ambiguous"), F.lit("semantic")),
-            (F.split_part("qid", F.lit("-"), F.lit(1)).cast("int") % 4 + 1),
-        ).alias("label"),
-    )
-    return evaluation.intent_accuracy(route_questions(asked), labels).withColumn("accuracy", F.round("accuracy", 6))
+    asked = views.asked(spark, d)
+    kinds = F.array(F.lit("company"), F.lit("recency"), F.lit("ambiguous"), F.lit("semantic"))
+    labels = asked.select("qid", F.element_at(kinds, F.col("wording").cast("int") + 1).alias("label"))
+    return evaluation.intent_accuracy(route_questions(asked.select("qid", "tenant_id", "question")), labels).withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query

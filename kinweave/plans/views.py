@@ -103,30 +103,39 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Embeddings as chunks with vectors; the vector's number is its person's."""
+    """Embeddings as chunks with vectors, dealt out to the people in turn."""
+    people_count = table(spark, d, "customer").count()
     rows = table(spark, d, "embeddings").select(
-        F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("person_id"), "embedding", F.col("label").cast("bigint").alias("label")
+        F.col("vec_id").alias("chunk_id"), F.pmod("vec_id", F.lit(people_count)).alias("person_id"),
+        "embedding", F.col("label").cast("bigint").alias("label"),
     )
     return _with_tenant(spark, d, rows)
 
 
-def questions(spark: SparkSession, d: str) -> DataFrame:
-    """User turns as questions of the person with the conversation's number. The number also picks the
-    wording, so that every route is asked for: a company, a name, both cues, or the turn's own text."""
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    """User turns as questions, dealt out to the people in turn: every turn's own text (wording 3), and for
+    three conversations in four one more question that names the asker's company (0), name (1) or both cues (2)."""
+    people_count = table(spark, d, "customer").count()
     turns = table(spark, d, "conversations").where(F.col("role") == "user").select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("qid"),
-        F.col("conv_id").alias("person_id"),
+        F.pmod("conv_id", F.lit(people_count)).alias("asker"),
+        F.pmod("conv_id", F.lit(4)).alias("wording"),
         F.col("text").alias("turn_text"),
     )
-    asker = people(spark, d).select(F.col("id").alias("person_id"), "tenant_id", "display_name", "company")
-    wording = F.pmod("person_id", F.lit(4))
+    who = people(spark, d).select(F.col("id").alias("asker"), "tenant_id", "display_name", "company")
     text = (
-        F.when(wording == 0, F.concat(F.lit("Who do I know at "), F.lower("company"), F.lit("?")))
-        .when(wording == 1, F.concat(F.lit("When did I last talk to "), F.col("display_name"), F.lit("?")))
-        .when(wording == 2, F.concat(F.lit("when did I last meet anyone at "), F.col("company")))
-        .otherwise(F.col("turn_text"))
+        F.when(F.col("wording") == 0, F.concat(F.lit("Who do I know at "), F.lower("company"), F.lit("?")))
+        .when(F.col("wording") == 1, F.concat(F.lit("When did I last talk to "), F.col("display_name"), F.lit("?")))
+        .when(F.col("wording") == 2, F.concat(F.lit("when did I last meet anyone at "), F.col("company")))
     )
-    return turns.join(asker, "person_id").select("qid", "tenant_id", text.alias("question"))
+    own = F.struct(F.concat("qid", F.lit("-own")).alias("qid"), F.lit(3).cast("bigint").alias("wording"), F.col("turn_text").alias("question"))
+    worded = F.struct("qid", F.col("wording").cast("bigint").alias("wording"), text.alias("question"))
+    both = F.filter(F.array(own, worded), lambda q: q["question"].isNotNull())
+    return turns.join(who, "asker").select("tenant_id", "asker", F.inline(both))
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    return asked(spark, d).select("qid", "tenant_id", "question")
 
 
 def aliases(spark: SparkSession, d: str) -> DataFrame:
