@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.llm import decontaminate, itq, language, minhash, mixture, pii, pitman_yor, shard_table, templates
 from kinweave.llm.common import table
+from kinweave.llm.oracle import ORACLE
 from kinweave.session import adopt, scratch_path
 
+__all__ = ["ORACLE", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
