@@ -235,14 +235,13 @@ def _apart(words: int, percent: int):
 def _leftover(shared: DataFrame, classes: DataFrame, texts: DataFrame, component: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between components that the first comparisons have left apart.
 
-    Under a key, classes of the first class's component need no comparing among themselves: the others,
-    usually few, are compared with them and with each other, block by block.
+    Under a key, classes of the component with most classes there need no comparing among themselves: the
+    others, usually few, are compared with them and with each other, block by block.
     """
     members = shared.where("n > 2").select("cls", "key").join(component.select(F.col("node").alias("cls"), "component"), "cls")
-    keys = members.groupBy("key").agg(
-        F.min(F.struct("cls", "component")).alias("m"), F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")
-    )
-    keys = keys.where("x <> y").select("key", "n", F.col("m.component").alias("main"))
+    parts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    keys = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts"), F.sum("n").alias("n"))
+    keys = keys.where("parts > 1").select("key", "n", F.col("m.component").alias("main"))
     open_ = members.join(keys, "key").join(classes.select("cls", "n_shingles", "low").join(texts, "cls"), "cls")
     block = F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / BLOCK)).cast("int")
     blocks = cut_lineage(
