@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.session import cut_lineage
+from kinweave.session import cut_lineage, scratch_path
 
 
 @dataclass
@@ -31,14 +31,21 @@ class Relation:
     edges: DataFrame | None = None
 
 
-def first_come(items: DataFrame, relations: list[Relation], pos: str = "pos", max_rounds: int = 500) -> DataFrame:
-    """``items`` with a boolean ``accepted``. NULL keys neither claim nor conflict."""
-    names = items.columns
-    state = cut_lineage(items.withColumn("accepted", F.lit(None).cast("boolean")))
-    for _ in range(max_rounds):
+def first_come(items: DataFrame, relations: list[Relation], pos: str = "pos") -> DataFrame:
+    """``items`` with a boolean ``accepted``. NULL keys neither claim nor conflict.
+
+    A round reads and writes the items that were still open only: an earlier acceptance has refused all it
+    can refuse in the round after it. The earliest open item is always decided, so rounds end.
+    """
+    spark, names = items.sparkSession, items.columns
+    base, turn = scratch_path(spark, "decisions"), 0
+    start = items.withColumn("accepted", F.lit(None).cast("boolean"))
+    start.write.parquet(f"{base}/{turn}")
+    while True:
+        state = spark.read.schema(start.schema).parquet(f"{base}/{turn}")
         waiting = state.where(F.col("accepted").isNull())
         if waiting.isEmpty():
-            return state
+            break
         refused, blocked = F.lit(False), F.lit(False)
         for i, relation in enumerate(relations):
             held = (
@@ -58,11 +65,11 @@ def first_come(items: DataFrame, relations: list[Relation], pos: str = "pos", ma
             waiting = waiting.join(held, F.col(relation.check) == F.col(f"_key{i}"), "left")
             refused = refused | F.coalesce(F.col(f"_in{i}") < F.col(pos), F.lit(False))
             blocked = blocked | F.coalesce(F.col(f"_open{i}") < F.col(pos), F.lit(False))
-        decided = waiting.withColumn(
-            "accepted", F.when(refused, False).when(~blocked, True)
-        ).select(*names, "accepted")
-        state = cut_lineage(state.where(F.col("accepted").isNotNull()).unionByName(decided))
-    raise RuntimeError(f"decisions still open after {max_rounds} rounds")
+        turn += 1
+        decision = F.when(refused, False).when(~blocked, True).alias("accepted")
+        waiting.select(*names, decision).write.parquet(f"{base}/{turn}")
+    every = spark.read.schema(start.schema).option("recursiveFileLookup", "true").parquet(base)
+    return every.where(F.col("accepted").isNotNull())
 
 
 def last_links(links: DataFrame, child: str, parent: str, max_rounds: int = 64) -> DataFrame:

@@ -78,10 +78,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """A broadcast hint only after counting: at most ``max_rows`` rows, otherwise ``df`` unchanged and
-    Spark joins it by shuffle. For inputs that are cheap to count, such as tenant settings."""
+    Spark joins it by shuffle. For inputs that are cheap to count, such as tenant settings; every task
+    counts its own rows, and only the counts meet."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def task_count(spark: SparkSession) -> int:
@@ -89,11 +90,11 @@ def task_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """Deal a small table out to all tasks before costly per-row work. One small file would be one
-    task; a table of more rows comes in many files and is left where it is, so nothing large moves."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return df.repartition(task_count(df.sparkSession)) if small else df
+def spread_if_small(df: DataFrame) -> DataFrame:
+    """Deal a table of few partitions out to all tasks before costly per-row work: one small file would be
+    one task. A large table is read in many partitions and is left where it is, so nothing large moves."""
+    tasks = task_count(df.sparkSession)
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
