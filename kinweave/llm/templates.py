@@ -1,13 +1,16 @@
 """Main text of web pages by site template removal.
 
-Every block element of a page gives a slot (its tag, classes, id, role and parent tag) and a hash of its
-subtree's text and tags. Spark counts on how many pages of each host a subtree stands. Two things follow:
+Every block element of a page that does not go by its tag or class gives a slot (the tags and classes of
+its whole path, its own id and role) and a hash of its subtree's text and tags. Spark counts on how many
+distinct contents of each host a subtree stands, where a page's content is its article and main elements, or
+all of it where there are none: copies of a page count once, so they keep their text. Two things follow:
 
-* A subtree on at least half of a host's pages is template there and deleted.
-* A slot whose subtrees nearly all stand on several pages of the host holds template parts, and is deleted
-  with whatever it holds, also a variant seen once. A host with few pages borrows the counts of all hosts.
+* A subtree on at least half of a host's contents is template there and deleted.
+* A slot whose subtrees nearly all stand on several of them (a share, so that the size of the input does not
+  decide) holds template parts, and is deleted with whatever it holds, also a variant seen once. A host with
+  few contents borrows the counts of all hosts. Slots inside an article or main element, or around one, are
+  never deleted as such: there only what repeats itself goes.
 
-A slot that holds an article's paragraphs repeats in copied articles only, so copies keep their text.
 Elements that HTML defines as no content (scripts, forms, menus ...) go by their tag, and those whose class
 or id says so by that, as reader comments never repeat. Within what is left, the article or main
 elements are the text, or the whole body where there are none.
@@ -33,6 +36,8 @@ PAGE_SHARE = 0.5
 LEAST_PAGES = 10
 SLOT_SHARE = 0.8
 LEAST_SLOTS = 20
+#: Least share of a host's pages at which a subtree repeats (and at least two of them).
+REPEAT_SHARE = 0.01
 
 # Element names of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +51,7 @@ _NO_CONTENT = frozenset(
     "menu meta nav noembed noframes noscript object option optgroup output progress script select style svg template textarea title "
     "video".split()
 )
+_ARTICLE = ("article", "main")
 _ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol "
     "p pre section table ul".split()
@@ -69,14 +75,27 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 
 
 class Element:
-    __slots__ = ("tag", "slot", "cued", "parts", "parent", "digest")
+    __slots__ = ("tag", "slot", "path", "cued", "parts", "parent", "digest", "gone", "inside", "holds")
 
     def __init__(self, tag: str, marks: list[str], parent: Element | None):
         self.tag, self.parent = tag, parent
         self.parts: list = []  # texts and elements in order
         self.cued = bool(marks) and any(w in _CUES for m in marks for w in re.split(r"[^a-z]+", m))
-        self.slot = f"{parent.tag if parent else ''}/{tag}{''.join(' ' + m for m in marks)}"
+        above = parent.path if parent else 0
+        self.slot = _hash(f"{above}/{tag}{''.join(' ' + m for m in marks)}")
+        self.path = above if tag in _INLINE else _hash(f"{above}/{tag}{''.join(' ' + m for m in marks if m.startswith('class='))}")
         self.digest = 0
+        self.gone = False  # by its tag or class
+        self.inside = self.holds = False  # stands in an article or main element, is or holds one
+        if tag in _ARTICLE:
+            at = self
+            while at is not None and not at.holds:
+                at.holds = True
+                at = at.parent
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def parse(source: str) -> Element:
@@ -140,29 +159,35 @@ def _no_content(e: Element, in_article: bool) -> bool:
 
 
 def digest(e: Element) -> int:
-    """Hash of a subtree's tags and texts, kept in every element of it."""
+    """Hash of a subtree's tags and texts, kept in every element of it, without what goes by tag or class."""
     parts = [e.tag]
+    inside = e.inside or e.tag in _ARTICLE
     for p in e.parts:
         if isinstance(p, str):
             parts.append(" ".join(p.split()))
-        else:
+            continue
+        p.inside = inside
+        p.gone = p.tag in _RAW or _no_content(p, inside)
+        if not p.gone:
             parts.append(str(digest(p)))
-    e.digest = xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
+    e.digest = _hash("\x1f".join(parts))
     return e.digest
 
 
 def _elements(root: Element) -> Iterator[Element]:
-    """Block elements that have a text, outermost first, in page order."""
+    """Block elements that do not go by tag or class, outermost first, in page order."""
     todo = [root]
     while todo:
         e = todo.pop()
         if e.tag and e.tag not in _INLINE and e.tag not in _RAW and e.tag not in ("html", "body", "head") and e.tag not in _VOID:
             yield e
-        todo.extend(p for p in reversed(e.parts) if not isinstance(p, str))
+        todo.extend(p for p in reversed(e.parts) if not isinstance(p, str) and not p.gone)
 
 
-def slot_hash(slot: str) -> int:
-    return xxhash.xxh3_64_intdigest(slot.encode("utf-8", "surrogatepass")) - (1 << 63)
+def _content(root: Element, elements: list[Element]) -> int:
+    """Hash of the outermost article and main elements, or of the whole page where there are none."""
+    own = [str(e.digest) for e in elements if e.tag in _ARTICLE and not e.inside]
+    return _hash("\x1f".join(own)) if own else root.digest
 
 
 def text_of(source: str | None, slots: frozenset[int] = frozenset(), subtrees: frozenset[int] = frozenset()) -> str:
@@ -188,7 +213,7 @@ def text_of(source: str | None, slots: frozenset[int] = frozenset(), subtrees: f
                 current.append(p)
                 continue
             block = p.tag not in _INLINE
-            if p.tag in _RAW or _no_content(p, inside[0] > 0) or block and (slot_hash(p.slot) in slots or p.digest in subtrees):
+            if p.gone or block and (p.digest in subtrees or p.slot in slots and not p.inside and not p.holds):
                 if block:
                     close()
                 continue
@@ -196,11 +221,11 @@ def text_of(source: str | None, slots: frozenset[int] = frozenset(), subtrees: f
                 current.append(" ")
             if block:
                 close()
-            inside[0] += p.tag in ("article", "main")
+            inside[0] += p.tag in _ARTICLE
             walk(p)
             if block:
                 close()
-            inside[0] -= p.tag in ("article", "main")
+            inside[0] -= p.tag in _ARTICLE
 
     walk(root)
     close()
@@ -214,16 +239,20 @@ def host_of(url: str) -> Column:
 def _count_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _room()
     for batch in slices(batches, 1, 1 << 20):
-        hosts, slots, subtrees = [], [], []
+        hosts, contents, slots, subtrees = [], [], [], []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             root = parse(source or "")
             digest(root)
-            own = {(slot_hash(e.slot), e.digest) for e in _elements(root)}
-            own.add((0, 0))  # the page itself
+            elements = list(_elements(root))
+            # slot 0 is any place, and subtree 0 the page itself
+            own = {(0, e.digest) for e in elements} | {(e.slot, e.digest) for e in elements if not e.inside and not e.holds} | {(0, 0)}
             hosts += [host] * len(own)
+            contents += [_content(root, elements)] * len(own)
             slots += [s for s, _ in own]
             subtrees += [d for _, d in own]
-        yield pa.RecordBatch.from_pydict({"host": hosts, "slot": pa.array(slots, pa.int64()), "subtree": pa.array(subtrees, pa.int64())})
+        yield pa.RecordBatch.from_pydict(
+            {"host": hosts, "content": pa.array(contents, pa.int64()), "slot": pa.array(slots, pa.int64()), "subtree": pa.array(subtrees, pa.int64())}
+        )
 
 
 def _room() -> None:
@@ -235,18 +264,19 @@ def _room() -> None:
 def templates(pages: DataFrame, page_html: str = "html", url: str = "url") -> DataFrame:
     """For each host the slots and the subtrees to delete: host, slots array<bigint>, subtrees array<bigint>."""
     seen = pages.select(host_of(url).alias("host"), F.col(page_html).cast("string").alias("html"))
-    parts = seen.mapInArrow(_count_parts, "host string, slot bigint, subtree bigint")
+    parts = seen.mapInArrow(_count_parts, "host string, content bigint, slot bigint, subtree bigint").distinct()
     counts = cut_lineage(parts.groupBy("host", "slot", "subtree").agg(F.count("*").alias("n")))
     sizes = counts.where("slot = 0 and subtree = 0").select("host", F.col("n").alias("pages"))
-    counts = counts.where("slot <> 0 or subtree <> 0")
-    often = counts.groupBy("host", "subtree").agg(F.sum("n").alias("n")).where(f"n >= {LEAST_PAGES}")
-    often = often.join(sizes, "host").where(F.col("n") >= PAGE_SHARE * F.col("pages"))
+    often = counts.where(f"slot = 0 and subtree <> 0 and n >= {LEAST_PAGES}").join(sizes, "host").where(F.col("n") >= PAGE_SHARE * F.col("pages"))
     subtrees = often.groupBy("host").agg(F.collect_set("subtree").alias("subtrees"))  # at most 1 / PAGE_SHARE times a page's elements
-    slots = counts.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("again"))
+    repeats = F.col("n") >= F.greatest(F.lit(2.0), REPEAT_SHARE * F.col("pages"))
+    slots = counts.where("slot <> 0").join(sizes, "host").groupBy("host", "pages", "slot")
+    slots = slots.agg(F.sum("n").alias("n"), F.sum(F.when(repeats, F.col("n")).otherwise(0)).alias("again"))
     every = slots.groupBy("slot").agg(F.sum("n").alias("all_n"), F.sum("again").alias("all_again"), F.count("*").alias("hosts"))
     judged = slots.join(every, "slot")
     own = (F.col("n") >= LEAST_SLOTS) & (F.col("again") >= SLOT_SHARE * F.col("n"))
-    borrowed = (F.col("hosts") > 1) & (F.col("all_n") >= LEAST_SLOTS) & (F.col("all_again") >= SLOT_SHARE * F.col("all_n"))
+    few = F.col("pages") < LEAST_SLOTS
+    borrowed = few & (F.col("hosts") > 1) & (F.col("all_n") >= LEAST_SLOTS) & (F.col("all_again") >= SLOT_SHARE * F.col("all_n"))
     gone = judged.where(own | borrowed).groupBy("host").agg(F.collect_set("slot").alias("slots"))  # slots of one site's markup
     return sizes.select("host").join(gone, "host", "left").join(subtrees, "host", "left")
 

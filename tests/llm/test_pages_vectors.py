@@ -35,6 +35,27 @@ def test_repeated_parts_of_a_host_go_by_count_alone(spark):
     assert got[100].endswith("Alone")
 
 
+def test_slots_spare_article_lists_copies_and_large_hosts(spark):
+    rows = []
+    for k in range(60):
+        menu = "".join(f"<li>Menu {m}</li>" for m in range(12))
+        rows.append((k, "http://menus.example/", f"<nav><ul>{menu}</ul></nav><article><p>Text {k}</p><ul><li>Item {k}</li></ul></article>"))
+        rows.append((100 + k, "http://copied.example/", f"<div class=tip>Tip {k % 3}</div><article><p>Same words</p></article>" if k < 50 else f"<article><p>Other {k}</p></article>"))
+        rows.append((200 + k, "http://lists.example/", f"<article><p>P {k}</p><ol><li>Step {k if k % 10 == 0 else k % 4}</li></ol></article>"))
+        rows.append((300 + k, "http://own.example/", f"<div class=lot>Own {k}</div>"))
+        for h in range(3):
+            rows.append((400 + 100 * h + k, f"http://boxes{h}.example/", f"<div class=box>Box {k % 3}</div><p>Text {k}</p>"))
+    rows.append((900, "http://few.example/", "<div class=box>Box 9</div><p>Few</p>"))
+    got = {r.page_id: r.text for r in templates.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for k in range(60):
+        assert got[k] == f"Text {k}\nItem {k}"
+        assert got[100 + k] == ("Same words" if k < 50 else f"Other {k}")
+        assert got[200 + k] == f"P {k}\nStep {k if k % 10 == 0 else k % 4}"
+        assert got[300 + k] == f"Own {k}"
+        assert got[400 + k] == f"Text {k}"
+    assert got[900] == "Few"
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 5000 + "deep" + "</div>" * 5000
     rows = [
