@@ -11,8 +11,9 @@ all of it where there are none: copies of a page count once, so they keep their
   few contents borrows the counts of all hosts. Slots inside an article or main element, or around one, are
   never deleted as such: there only what repeats itself goes.
 
-Elements that HTML defines as no content (scripts, forms, menus ...) go by their tag, and those whose class
-or id says so by that, as reader comments never repeat. Within what is left, the article or main
+Elements that HTML defines as no content (scripts, forms, menus ...) go by their tag, and those with a whole
+class, id or role that says so by that, as reader comments never repeat; but never the page, an article or
+main element, or one around it, whatever its class. Within what is left, the article or main
 elements are the text, or the whole body where there are none.
 """
 
@@ -52,6 +53,9 @@ _NO_CONTENT = frozenset(
     "video".split()
 )
 _ARTICLE = ("article", "main")
+_NEVER_CUED = frozenset(["html", "body", *_ARTICLE])
+#: Tags and classes that are an article's own headline and end inside it.
+_ARTICLE_PARTS = frozenset(["header", "footer"])
 _ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol "
     "p pre section table ul".split()
@@ -60,12 +64,14 @@ _ENDS_ITEM = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}, "option": {"option"},
 }
-#: Words of a class, id or role that name no content.
+#: Whole classes, ids and roles that name no content; a part of one (no-sidebar, article-header) says nothing.
 _CUES = frozenset(
     "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent "
     "contentinfo cookie cookies disclaimer disqus footer form header menu modal nav navbar navigation newsletter notice notices "
     "popup promo promoted related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar "
-    "widget".split()
+    "widget "
+    "comment-body comment-content comment-form comment-list comments-area cookie-banner cookie-consent cookie-notice main-menu main-nav "
+    "nav-bar nav-menu related-articles related-posts share-buttons site-footer site-header social-share".split()
 )
 
 _TOKEN = re.compile(
@@ -80,7 +86,8 @@ class Element:
     def __init__(self, tag: str, marks: list[str], parent: Element | None):
         self.tag, self.parent = tag, parent
         self.parts: list = []  # texts and elements in order
-        self.cued = bool(marks) and any(w in _CUES for m in marks for w in re.split(r"[^a-z]+", m))
+        cues = {w for m in marks for w in m.partition("=")[2].split()} & _CUES
+        self.cued = 0 if not cues or tag in _NEVER_CUED else 1 if cues <= _ARTICLE_PARTS else 2
         above = parent.path if parent else 0
         self.slot = _hash(f"{above}/{tag}{''.join(' ' + m for m in marks)}")
         self.path = above if tag in _INLINE else _hash(f"{above}/{tag}{''.join(' ' + m for m in marks if m.startswith('class='))}")
@@ -155,7 +162,8 @@ def _ended(at: Element, tags: set[str], stop) -> Element:
 
 
 def _no_content(e: Element, in_article: bool) -> bool:
-    return e.cued or e.tag in _NO_CONTENT and not (in_article and e.tag in ("header", "footer"))
+    cued = e.cued > in_article and not e.holds
+    return cued or e.tag in _NO_CONTENT and not (in_article and e.tag in _ARTICLE_PARTS)
 
 
 def digest(e: Element) -> int:

@@ -56,6 +56,23 @@ def test_slots_spare_article_lists_copies_and_large_hosts(spark):
     assert got[900] == "Few"
 
 
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<html class='menu-closed'><body class='no-sidebar'><p>Text</p><div class='ad'>Buy</div></body></html>",
+        "<html class='menu'><body class='sidebar comments'><p>Text</p></body></html>",
+        "<article class='post has-comments'><p>Text</p><div class='post comments'>Me too</div></article>",
+        "<main class='widget'>Text</main>",
+        "<div class='content with-sidebar'><p>Text</p></div><div id='comments'>Me too</div>",
+        "<div class='sidebar'><div id='related'><article>Text</article></div></div>",
+        "<body><div class='article-header'>Text</div></body>",
+        "<article><div class='header'>Text</div></article><div class='header'>Site</div>",
+    ],
+)
+def test_cues_are_whole_classes_and_spare_the_article(source):
+    assert templates.text_of(source) == "Text"
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 5000 + "deep" + "</div>" * 5000
     rows = [
