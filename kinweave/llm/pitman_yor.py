@@ -1,19 +1,18 @@
 """Word scores by a hierarchical Pitman-Yor model, its seating sampled by Gibbs over the whole corpus.
 
-Each frequent word is a context with a restaurant of its own, in which the words after it sit; all
-restaurants share one parent, the restaurant of single words, whose base is uniform over the known words
-and one unknown. A table opened in a context sends a customer to the parent; words after a rarer word sit in the
-parent directly. A context is a word with a share of at least ``CONTEXT_SHARE`` of the training tokens
-(so at most 2 / CONTEXT_SHARE contexts, whatever the corpus), and the end of a text.
-
-One row per distinct word holds its parent counts and, for all contexts it follows, customers and
-tables, so a sweep over all seats is one pass over these rows. Given the other words' tables, a word with c
-customers in a context opens t tables with a probability that weighs all its seatings with t tables
-(generalised Stirling numbers), and that is drawn at once; beyond ``EXACT`` customers the rest are seated
-in runs of a sixteenth. Between sweeps the tables of each context are summed. Word probabilities of the
-sweeps after the first ``BURN`` are averaged.
-
-Texts are cut into chunks of a few million bytes. A chunk sends each bucket of words their occurrences once,
+Every word, and the end of a text, is a context with a restaurant of its own, in which the words after it
+sit; all restaurants share one parent, the restaurant of single words, whose base is uniform over the known
+words and one unknown. A table opened in a context sends a customer to the parent.
+
+One row per distinct pair of neighbours holds its customers and tables; pairs of held-out texts alone are rows
+without customers, so that they get a score as well. A sweep sums tables by context and by word, joins both
+sums to the pairs, and seats every pair anew. Nothing is sized by the words of the corpus outside these tables. Given
+the other words' tables, a word with c customers in a context opens t tables with a probability that weighs
+all its seatings with t tables (generalised Stirling numbers), and that is drawn at once; beyond ``EXACT``
+customers the rest are seated in runs of a sixteenth. Pair probabilities of the sweeps after the first
+``BURN`` are averaged.
+
+Texts are cut into chunks of a few million bytes. A chunk sends each bucket of pairs their occurrences once,
 and gets sums per document back. Pairs with a share of over ``HOT_SHARE`` are scored within the chunk.
 """
 
@@ -24,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,14 +31,14 @@ from pyspark.sql import functions as F
 from kinweave.llm.common import coded_words, hashes, id_remainder, mixed, slices
 from kinweave.session import cut_lineage
 
-CONTEXT_SHARE = 1e-4
 HOT_SHARE = 1e-4
 BURN = 1
 SWEEPS = 3
 EXACT = 32
 STRENGTH = 1.0
-#: Bytes of text in a chunk.
+#: Bytes of text in a chunk, and pairs in a bucket.
 CHUNK = 8 << 20
+PAIRS = 1 << 20
 #: The word that ends each text, and the context of the first word of the next.
 END = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,17 +62,6 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, doc, before.astype(np.uint64)
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per chunk its tokens (word null), its texts as ends, and the words with at least half the share."""
-    for batch in slices(batches, 1, CHUNK):
-        words, _, _ = _tokens(batch.column(1))
-        own, n = np.unique(words, return_counts=True)
-        often = n >= 0.5 * CONTEXT_SHARE * len(words)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([None, *_signed(own[often]).tolist()], pa.int64()), pa.array([len(words), *n[often].tolist()], pa.int64())], names=["word", "n"]
-        )
-
-
 def _runs(*keys: np.ndarray) -> np.ndarray:
     """Where runs of equal keys start in sorted arrays."""
     new = np.zeros(len(keys[0]), dtype=bool)
@@ -82,63 +71,26 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _context_ids(before: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """Number of each word among the sorted contexts, -1 for others."""
-    at = np.minimum(np.searchsorted(contexts, before), len(contexts) - 1)
-    return np.where(contexts[at] == before, at, -1).astype(np.int32)
+def _keys(words: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """One number for each pair of neighbours."""
+    return mixed(words ^ mixed(before))
 
 
-def _count(contexts: np.ndarray, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, CHUNK):
-            words, _, before = _tokens(batch.column(1))
-            context = _context_ids(before, contexts)
-            bucket = (words % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((context, words, bucket))
-            words, context, bucket = words[order], context[order], bucket[order]
-            pairs = _runs(words, context)
-            n = np.diff(np.append(pairs, len(words)))
-            edges = np.searchsorted(bucket[pairs], np.arange(buckets + 1))
-            rows = [(b, slice(edges[b], edges[b + 1])) for b in range(buckets) if edges[b] < edges[b + 1]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([b for b, _ in rows], pa.int32()),
-                    pa.array([_signed(words[pairs[s]]) for _, s in rows], pa.list_(pa.int64())),
-                    pa.array([context[pairs[s]] for _, s in rows], pa.list_(pa.int32())),
-                    pa.array([n[s].astype(np.int32) for _, s in rows], pa.list_(pa.int32())),
-                ],
-                names=["bucket", "words", "contexts", "n"],
-            )
-
-    return run
+def _buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each pair; sorted keys have sorted buckets."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
-STATE = "bucket int, word bigint, c bigint, direct bigint, t0 bigint, us array<int>, cs array<bigint>, ts array<bigint>, tsum array<int>, ps array<double>"
-
-
-def _gather(rows: pd.DataFrame) -> pd.DataFrame:
-    """All chunks' pairs of one bucket as a row per word, with a table for each pair."""
-    words, contexts, n = (np.concatenate(rows[c].to_list()) for c in ("words", "contexts", "n"))
-    order = np.lexsort((contexts, words))
-    words, contexts, n = words[order], contexts[order], n[order].astype(np.int64)
-    at = _runs(words, contexts)
-    words, contexts, n = words[at], contexts[at], np.add.reduceat(n, at)
-    start = _runs(words)
-    direct = np.where(contexts[start] < 0, n[start], 0)
-    inner = contexts >= 0
-    skip = np.concatenate([[0], np.cumsum(inner)])
-    bounds = skip[np.append(start, len(words))]
-    us, cs = contexts[inner], n[inner]
-    cut = lambda x: [x[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    ones = np.ones(len(us), dtype=np.int64)
-    size = len(start)
-    return pd.DataFrame(
-        {
-            "bucket": np.full(size, rows["bucket"].iloc[0], dtype=np.int32), "word": words[start], "c": np.add.reduceat(n, start),
-            "direct": direct, "t0": np.ones(size, dtype=np.int64), "us": cut(us), "cs": cut(cs), "ts": cut(ones),
-            "tsum": cut(np.zeros(len(us), dtype=np.int32)), "ps": [np.empty(0)] * size,
-        }
-    )
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per chunk its distinct pairs, with how often they occur in texts that are learned from."""
+    for batch in slices(batches, 1, CHUNK):
+        words, doc, before = _tokens(batch.column(1))
+        learned = ~pc.fill_null(batch.column(2), True).to_numpy(zero_copy_only=False)
+        order = np.argsort(_keys(words, before), kind="stable")
+        words, before, n = words[order], before[order], learned[doc[order]].astype(np.int64)
+        at = _runs(words, before)
+        n = np.add.reduceat(n, at) if len(at) else n
+        yield pa.RecordBatch.from_arrays([pa.array(_signed(before[at])), pa.array(_signed(words[at])), pa.array(n)], names=["u", "w", "c"])
 
 
 def _stirling(d: float) -> np.ndarray:
@@ -176,90 +128,107 @@ def seat(c: np.ndarray, opened: np.ndarray, d: float, rng: np.random.Generator,
     return t
 
 
-def _sweep(model: dict, keep: bool, sample: bool):
-    """One pass: the word's probability under the state it was given, then a new seating."""
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = model.value
-        log1, log0 = _stirling(g["d1"]), _stirling(g["d0"])
-        for k, batch in enumerate(frames):
-            rng = np.random.default_rng([g["sweep"], TaskContext.get().partitionId(), k])
-            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            bounds = col["us"].offsets.to_numpy()
-            us, cs, ts, tsum = (col[n].flatten().to_numpy() for n in ("us", "cs", "ts", "tsum"))
-            word = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-            direct, t0 = col["direct"].to_numpy(), col["t0"].to_numpy()
-            customers = direct + np.bincount(word, ts, batch.num_rows)
-            fresh = (STRENGTH + g["d0"] * g["T0"]) / (g["V"] + 1)
-            p = (customers - g["d0"] * t0 + fresh) / (STRENGTH + g["C0"])
-            ps = col["ps"]
-            if keep:
-                before = ps.flatten().to_numpy().reshape(batch.num_rows, -1)
-                both = np.concatenate([before, p[:, None]], axis=1)
-                ps = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * both.shape[1], pa.int32()), pa.array(both.ravel()))
-                tsum = (tsum + ts).astype(np.int32)
-            if sample:
-                ts = seat(cs, (STRENGTH + g["d1"] * g["t"][us]) * p[word], g["d1"], rng, log1)
-                customers = (direct + np.bincount(word, ts, batch.num_rows)).astype(np.int64)
-                t0 = seat(customers, np.full(batch.num_rows, fresh), g["d0"], rng, log0)
-            offsets = pa.array(bounds - bounds[0], pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (us, cs, ts, tsum)]
-            yield pa.RecordBatch.from_arrays([col["bucket"], col["word"], col["c"], col["direct"], pa.array(t0), *lists, ps], names=batch.schema.names)
+STATE = "u bigint, w bigint, c bigint, t bigint, p double"
+SCORES = "bucket int, key bigint, c bigint, known boolean, score double, base double"
+
+
+def _seat_parent(fresh: float | None, d: float, sweep: int):
+    """Tables of each word in the parent; one each before the first sweep."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log_s = _stirling(d)
+        for k, batch in enumerate(batches):
+            customers = batch.column("customers").to_numpy()
+            t0 = np.ones(len(customers), dtype=np.int64)
+            if fresh is not None:
+                rng = np.random.default_rng([0, sweep, TaskContext.get().partitionId(), k])
+                t0 = seat(customers, np.full(len(customers), fresh), d, rng, log_s)
+            t0 = np.where(customers > 0, t0, 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t0)], names=[*batch.schema.names, "t0"])
+
+    return run
+
+
+def _probabilities(batch: pa.RecordBatch, g: dict) -> tuple[np.ndarray, ...]:
+    """Each pair's customers, its context's weight of the parent, and the word's and the pair's probability."""
+    c, t, cu, tu, customers, t0 = (batch.column(n).to_numpy() for n in ("c", "t", "cu", "tu", "customers", "t0"))
+    word = (customers - g["d0"] * t0 + g["fresh"]) / (STRENGTH + g["C0"])
+    strength = STRENGTH + g["d1"] * tu
+    return c, strength, word, (c - g["d1"] * t + strength * word) / (STRENGTH + cu)
+
+
+def _sweep(g: dict, keep: bool):
+    """One pass: the pair's probability under the state it was given, then a new seating."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log_s = _stirling(g["d1"])
+        for k, batch in enumerate(batches):
+            rng = np.random.default_rng([1, g["sweep"], TaskContext.get().partitionId(), k])
+            c, strength, word, pair = _probabilities(batch, g)
+            t = np.where(c > 0, seat(c, strength * word, g["d1"], rng, log_s), 0)
+            p = batch.column("p").to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("u"), batch.column("w"), pa.array(c), pa.array(t), pa.array(p + pair if keep else p)], names=["u", "w", "c", "t", "p"]
+            )
 
     return run
 
 
-def _totals(state: DataFrame, contexts: int) -> dict:
-    """Customers and tables of the parent, and tables of each context: as many rows as contexts."""
-    row = state.agg(F.sum(F.col("direct") + F.aggregate("ts", F.lit(0).cast("bigint"), lambda a, x: a + x)), F.sum("t0")).first()
-    tables = np.zeros(contexts)
-    for r in state.select(F.explode(F.arrays_zip("us", "ts")).alias("x")).groupBy("x.us").agg(F.sum("x.ts").alias("t")).collect():
-        tables[r["us"]] = r["t"]
-    return {"C0": row[0] or 0, "T0": row[1] or 0, "t": tables}
+def _last(g: dict, buckets: int):
+    """The last sweep's probability, and the scores of the pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c, _, _, pair = _probabilities(batch, g)
+            cw = batch.column("cw").to_numpy()
+            key = _keys(batch.column("w").to_numpy().view(np.uint64), batch.column("u").to_numpy().view(np.uint64))
+            score = np.log10((batch.column("p").to_numpy() + pair) / SWEEPS)
+            base = np.log10((cw + 0.1) / (g["N"] + 0.1 * (g["V"] + 1)))
+            columns = (_buckets(key, buckets), _signed(key), c, cw > 0, score, base)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["bucket", "key", "c", "known", "score", "base"])
+
+    return run
 
 
 def _discount(one: int, two: int) -> float:
     return min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
 
 
-def _scored(model, buckets: int):
+def _scored(hot, buckets: int):
     """Documents and occurrences: rows of kind 0 carry a chunk's documents and what was scored at once, the
-    others a bucket's words with contexts and documents."""
+    others a bucket's pairs with documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = model.value
+        g = hot.value
         part = TaskContext.get().partitionId()
         for k, batch in enumerate(slices(batches, 1, CHUNK)):
             words, doc, before = _tokens(batch.column(1))
-            context = _context_ids(before, g["contexts"])
             n_docs = batch.num_rows
             chunk = (part << 32) + k
             # what a few broadcast pairs settle stays here
-            key = mixed(words ^ mixed(context.astype(np.int64).view(np.uint64)))
+            key = _keys(words, before)
             at = np.minimum(np.searchsorted(g["hot"], key), max(0, len(g["hot"]) - 1))
             done = g["hot"][at] == key if len(g["hot"]) else np.zeros(len(key), dtype=bool)
             score = np.bincount(doc[done], g["hot_score"][at[done]], n_docs)
             base = np.bincount(doc[done], g["hot_base"][at[done]], n_docs)
             known = np.bincount(doc[done], minlength=n_docs)
             total = np.bincount(doc, minlength=n_docs)
-            words, context, doc = words[~done], context[~done], doc[~done]
-            bucket = (words % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((doc, context, words, bucket))
-            words, context, doc, bucket = words[order], context[order], doc[order], bucket[order]
-            at = _runs(words, context, doc)
-            n = np.diff(np.append(at, len(words)))
-            words, context, doc, bucket = words[at], context[at], doc[at], bucket[at]
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
+            key, doc = key[~done], doc[~done]
+            order = np.argsort(key, kind="stable")
+            key, doc = key[order], doc[order]
+            at = _runs(key, doc)
+            n = np.diff(np.append(at, len(key)))
+            key, doc = key[at], doc[at]
+            edges = np.searchsorted(_buckets(key, buckets), np.arange(buckets + 1))
             rows = [(b, slice(edges[b], edges[b + 1])) for b in range(buckets) if edges[b] < edges[b + 1]]
             none = [None] * len(rows)
-            first = [_runs(words[s]) for _, s in rows]
+            first = [_runs(key[s]) for _, s in rows]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([chunk % buckets, *[b for b, _ in rows]], pa.int32()),
                     pa.array([chunk] * (len(rows) + 1), pa.int64()),
-                    pa.array([None, *[_signed(words[s][f]) for (_, s), f in zip(rows, first, strict=True)]], pa.list_(pa.int64())),
+                    pa.array([None, *[_signed(key[s][f]) for (_, s), f in zip(rows, first, strict=True)]], pa.list_(pa.int64())),
                     pa.array([None, *[np.diff(np.append(f, s.stop - s.start)).astype(np.int32) for (_, s), f in zip(rows, first, strict=True)]], pa.list_(pa.int32())),
-                    pa.array([None, *[context[s] for _, s in rows]], pa.list_(pa.int32())),
                     pa.array([np.arange(n_docs, dtype=np.int32), *[doc[s].astype(np.int32) for _, s in rows]], pa.list_(pa.int32())),
                     pa.array([total.astype(np.int32), *[n[s].astype(np.int32) for _, s in rows]], pa.list_(pa.int32())),
                     pa.array([batch.column(0).to_pylist(), *none], pa.list_(pa.int64())),
@@ -268,59 +237,33 @@ def _scored(model, buckets: int):
                     pa.array([score, *none], pa.list_(pa.float64())),
                     pa.array([base, *none], pa.list_(pa.float64())),
                 ],
-                names=["bucket", "chunk", "words", "runs", "contexts", "docs", "n", "ids", "held", "known", "score", "base"],
+                names=["bucket", "chunk", "keys", "runs", "docs", "n", "ids", "held", "known", "score", "base"],
             )
 
     return run
 
 
 ASKED = (
-    "bucket int, chunk bigint, words array<bigint>, runs array<int>, contexts array<int>, docs array<int>, n array<int>, ids array<bigint>, "
+    "bucket int, chunk bigint, keys array<bigint>, runs array<int>, docs array<int>, n array<int>, ids array<bigint>, "
     "held array<boolean>, known array<bigint>, score array<double>, base array<double>"
 )
 TOLD = "chunk bigint, docs array<int>, n array<int>, ids array<bigint>, held array<boolean>, known array<bigint>, score array<double>, base array<double>"
 
 
-def _answer(model):
-    def run(asked: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        g = model.value
-        samples = g["samples"]
-        words = words.sort_values("word")
-        ids = words["word"].to_numpy(dtype=np.int64)
-        sizes = np.array([len(u) for u in words["us"]], dtype=np.int64)
-        start = np.concatenate([[0], np.cumsum(sizes)])
-        us, cs, tsum = (np.concatenate([*words[c].to_list(), []]).astype(np.int64) for c in ("us", "cs", "tsum"))
-        pair = np.repeat(np.arange(len(ids)), sizes) * (len(g["contexts"]) + 1) + us
-        ps = np.array(words["ps"].to_list(), dtype=float).reshape(len(ids), samples)
-        ps = np.concatenate([ps, np.full((1, samples), 0.0) + g["unknown"]])
-        c = np.append(words["c"].to_numpy(dtype=np.int64), 0)
-        out = []
-        for row in asked.itertuples(index=False):
-            if row.words is None:
-                out.append((row.chunk, row.docs, row.n, row.ids, row.held, row.known, row.score, row.base))
-                continue
-            at = np.searchsorted(ids, row.words)
-            at = np.where((at < len(ids)) & (ids[np.minimum(at, max(0, len(ids) - 1))] == row.words), at, len(ids)) if len(ids) else np.zeros(len(row.words), int)
-            word = np.repeat(at, row.runs)
-            base = np.log10((c[word] + 0.1) / (g["N"] + 0.1 * (g["V"] + 1)))
-            context = np.asarray(row.contexts)
-            inner = np.maximum(context, 0)
-            p = np.where(context >= 0, (ps[word] * g["back"][inner]).mean(axis=1), ps[word].mean(axis=1))
-            if len(pair):
-                key = word * (len(g["contexts"]) + 1) + inner
-                spot = np.minimum(np.searchsorted(pair, key), len(pair) - 1)
-                hit = (pair[spot] == key) & (context >= 0) & (word < len(ids))
-                own = (cs[spot] - g["d1"] * tsum[spot] / samples) / (STRENGTH + g["c"][inner])
-                p = p + np.where(hit, own, 0.0)
-            docs, n = np.asarray(row.docs), np.asarray(row.n)
-            size = int(docs.max()) + 1
-            score, base = np.bincount(docs, n * np.log10(p), size), np.bincount(docs, n * base, size)
-            known = np.bincount(docs, n * (c[word] > 0), size).astype(np.int64)
-            some = np.unique(docs)
-            out.append((row.chunk, some.astype(np.int32), None, None, None, known[some], score[some], base[some]))
-        return pd.DataFrame(out, columns=["chunk", "docs", "n", "ids", "held", "known", "score", "base"])
-
-    return run
+def _answer(asked: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    pairs = pairs.sort_values("key")
+    keys, known, scores, bases = (pairs[c].to_numpy() for c in ("key", "known", "score", "base"))
+    out = []
+    for row in asked.itertuples(index=False):
+        if row.keys is None:
+            out.append((row.chunk, row.docs, row.n, row.ids, row.held, row.known, row.score, row.base))
+            continue
+        at = np.repeat(np.searchsorted(keys, row.keys), row.runs)
+        docs, n = np.asarray(row.docs), np.asarray(row.n)
+        some, place = np.unique(docs, return_inverse=True)
+        sums = [np.bincount(place, n * x[at], len(some)) for x in (known, scores, bases)]
+        out.append((row.chunk, some.astype(np.int32), None, None, None, sums[0].astype(np.int64), sums[1], sums[2]))
+    return pd.DataFrame(out, columns=["chunk", "docs", "n", "ids", "held", "known", "score", "base"])
 
 
 def _collect(rows: pd.DataFrame) -> pd.DataFrame:
@@ -343,66 +286,41 @@ def score(docs: DataFrame, held_out, doc: str = "doc_id", text: str = "text") ->
     learned from the rows where the column ``held_out`` is false. A null or blank text is one end token.
     Repeated rows each count and are each scored. With no row to learn from all words are unknown."""
     spark = docs.sparkSession
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), held_out.alias("held_out"))
-    train = rows.where("not held_out").select("doc_id", "text")
-    found = train.mapInArrow(_frequent, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    found = cut_lineage(found)
-    total = found.where("word is null").select("n").first()
-    total = total["n"] if total else 0
-    often = [r["word"] for r in found.where((F.col("word").isNotNull()) & (F.col("n") >= 0.5 * CONTEXT_SHARE * total)).collect()]
-    contexts = np.unique(np.append(np.array(often, dtype=np.int64).view(np.uint64), END))
-    state = cut_lineage(
-        train.mapInArrow(_count(contexts, buckets), "bucket int, words array<bigint>, contexts array<int>, n array<int>")
-        .groupBy("bucket").applyInPandas(_gather, STATE)
-    )
-    size = len(contexts)
-    facts = state.agg(F.count("*"), F.sum("c")).first()
-    pairs = state.select(F.explode(F.arrays_zip("us", "cs")).alias("x")).select("x.us", "x.cs")
-    per = pairs.groupBy("us").agg(F.sum("cs").alias("c"), F.sum((F.col("cs") == 1).cast("bigint")).alias("one"), F.sum((F.col("cs") == 2).cast("bigint")).alias("two")).collect()
-    customers = np.zeros(size)
-    for r in per:
-        customers[r["us"]] = r["c"]
-    singles = state.agg(F.sum(((F.col("direct") + F.size("us")) == 1).cast("bigint")), F.sum(((F.col("direct") + F.size("us")) == 2).cast("bigint"))).first()
-    model = {"V": facts[0], "N": facts[1] or 0, "d1": _discount(sum(r["one"] for r in per), sum(r["two"] for r in per)), "d0": _discount(singles[0] or 0, singles[1] or 0)}
-    backs, unknown = [], []
+    pairs = rows.mapInArrow(_count, "u bigint, w bigint, c bigint").groupBy("u", "w").agg(F.sum("c").alias("c"))
+    state = cut_lineage(pairs.select("u", "w", "c", F.when(F.col("c") > 0, 1).otherwise(0).cast("bigint").alias("t"), F.lit(0.0).alias("p")))
+    once = lambda x, k: F.coalesce(F.sum((F.col(x) == k).cast("bigint")), F.lit(0))
+    facts = state.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), once("c", 1), once("c", 2)).first()
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), facts[0] // PAIRS + 1)
+    model = {"N": facts[1], "d1": _discount(facts[2], facts[3])}
+    fresh = None
     for sweep in range(BURN + SWEEPS):
-        now = {**model, **_totals(state, size), "sweep": sweep}
-        keep = sweep >= BURN
-        if keep:
-            backs.append((STRENGTH + model["d1"] * now["t"]) / (STRENGTH + customers))
-            unknown.append((STRENGTH + model["d0"] * now["T0"]) / (model["V"] + 1) / (STRENGTH + now["C0"]))
-        state = cut_lineage(state.mapInArrow(_sweep(spark.sparkContext.broadcast(now), keep, sweep < BURN + SWEEPS - 1), STATE))
-    back = np.stack(backs, axis=1)
-    now = {**model, "contexts": contexts, "back": back, "unknown": np.array(unknown), "samples": SWEEPS, "c": customers}
-    hot = _hot(state, now)
-    ask = rows.mapInArrow(_scored(spark.sparkContext.broadcast({"contexts": contexts, **hot}), buckets), ASKED)
-    told = (
-        ask.groupBy("bucket").cogroup(state.select("bucket", "word", "c", "us", "cs", "tsum", "ps").groupBy("bucket"))
-        .applyInPandas(_answer(spark.sparkContext.broadcast(now)), TOLD)
-    )
+        words = state.groupBy("w").agg(F.sum("c").alias("cw"), F.sum("t").alias("customers"))
+        if sweep == 0:
+            words = cut_lineage(words)
+            known = words.agg(once("customers", 1), once("customers", 2), F.coalesce(F.sum((F.col("cw") > 0).cast("bigint")), F.lit(0))).first()
+            model |= {"d0": _discount(known[0], known[1]), "V": known[2]}
+        words = cut_lineage(words.mapInArrow(_seat_parent(fresh, model["d0"], sweep), "w bigint, cw bigint, customers bigint, t0 bigint"))
+        parent = words.agg(F.coalesce(F.sum("customers"), F.lit(0)), F.coalesce(F.sum("t0"), F.lit(0))).first()
+        fresh = (STRENGTH + model["d0"] * parent[1]) / (model["V"] + 1)
+        contexts = state.groupBy("u").agg(F.sum("c").alias("cu"), F.sum("t").alias("tu"))
+        now = {**model, "C0": parent[0], "fresh": fresh, "sweep": sweep}
+        seated = state.join(contexts, "u").join(words, "w")  # one row per key on the right: AQE splits hot words
+        last = sweep == BURN + SWEEPS - 1
+        state = cut_lineage(seated.mapInArrow(_last(now, buckets), SCORES) if last else seated.mapInArrow(_sweep(now, sweep >= BURN), STATE))
+    ask = rows.mapInArrow(_scored(spark.sparkContext.broadcast(_hot(state, model["N"])), buckets), ASKED)
+    scores = state.select("bucket", "key", "known", "score", "base")
+    told = ask.groupBy("bucket").cogroup(scores.groupBy("bucket")).applyInPandas(_answer, TOLD)
     out = told.groupBy("chunk").applyInPandas(_collect, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model["N"]).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
-def _hot(state: DataFrame, g: dict) -> dict:
-    """Scores of the pairs, and of the words after rare words, that make up over HOT_SHARE of all tokens: at
-    most 1 / HOT_SHARE of each."""
-    least = max(2, HOT_SHARE * g["N"])
-    cells = state.select("word", "c", "ps", F.explode(F.arrays_zip("us", "cs", "tsum")).alias("x")).where(F.col("x.cs") >= least)
-    rows = [(r["word"], r["c"], r["ps"], r["us"], r["cs"], r["tsum"]) for r in cells.select("word", "c", "ps", "x.us", "x.cs", "x.tsum").collect()]
-    rows += [(r["word"], r["c"], r["ps"], -1, 0, 0) for r in state.where(F.col("direct") >= least).select("word", "c", "ps").collect()]
-    if not rows:
-        return {"hot": np.empty(0, dtype=np.uint64), "hot_score": np.empty(0), "hot_base": np.empty(0)}
-    word, c, us, cs, tsum = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1, 3, 4, 5))
-    ps = np.array([r[2] for r in rows], dtype=float)
-    inner = np.maximum(us, 0)
-    own = (cs - g["d1"] * tsum / g["samples"]) / (STRENGTH + g["c"][inner])
-    p = np.where(us >= 0, (ps * g["back"][inner]).mean(axis=1) + own, ps.mean(axis=1))
-    key = mixed(word.view(np.uint64) ^ mixed(us.view(np.uint64)))
+def _hot(scores: DataFrame, n: int) -> dict:
+    """Scores of the pairs that make up over HOT_SHARE of all tokens: at most 1 / HOT_SHARE of them."""
+    rows = scores.where(F.col("c") >= max(2, HOT_SHARE * n)).select("key", "score", "base").collect()
+    key = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
     order = np.argsort(key)
-    base = np.log10((c + 0.1) / (g["N"] + 0.1 * (g["V"] + 1)))
-    return {"hot": key[order], "hot_score": np.log10(p)[order], "hot_base": base[order]}
+    return {"hot": key[order], "hot_score": np.array([r[1] for r in rows], dtype=float)[order], "hot_base": np.array([r[2] for r in rows], dtype=float)[order]}
 
 
 def report(docs: DataFrame) -> DataFrame:

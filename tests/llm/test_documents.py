@@ -136,6 +136,18 @@ def test_pitman_yor_is_a_distribution(spark):
     assert len(single) == 5 and max(single.values()) < 0
 
 
+def test_pitman_yor_learns_what_follows_rare_words(spark):
+    """Each rare word has a share far below 1e-4, and always the same word after it."""
+    pairs = [f"rare{k} after{k}" for k in range(400)]
+    filler = " ".join(f"w{k * k % 97}" for k in range(60_000))
+    texts = [(k, x, False) for k, x in enumerate([*pairs * 3, *[filler] * 3])]
+    texts += [(10_000, "rare7 after7", True), (10_001, "rare7 after8", True)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string, h boolean")
+    got = {r.doc_id: r for r in pitman_yor.score(df, F.col("h")).where("held_out").collect()}
+    assert got[10_000].base_score == pytest.approx(got[10_001].base_score)
+    assert got[10_000].score > got[10_001].score + 2
+
+
 def test_pitman_yor_without_training_rows(docs):
     got = pitman_yor.score(docs.limit(5), F.lit(True)).collect()
     assert len(got) == 5 and all(r.n_known == 0 and r.train_tokens == 0 for r in got)
