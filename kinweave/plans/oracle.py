@@ -431,6 +431,8 @@ ORACLE: dict[str, str] = {
     "bulk_load_cap": """
         SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS listed_at FROM orders
         ORDER BY o_orderdate, o_orderkey LIMIT 500""",
+    "bulk_load": """
+        SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS listed_at FROM orders""",
     "change_collapse": """
         WITH changes AS (
             SELECT l_suppkey % 5 AS tenant_id, CASE l_returnflag WHEN 'R' THEN 'deleted' ELSE 'added' END AS op,

@@ -377,6 +377,13 @@ def bulk_load_cap(spark, d):
     return messages.first_listed(listed, "listed_at", 500).select("id", day_text("listed_at").alias("listed_at"))
 
 
+@query
+def bulk_load(spark, d):
+    """The whole listing that ``bulk_load_cap`` takes the first 500 messages of."""
+    listed = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("listed_at"))
+    return messages.first_listed(listed, "listed_at").select("id", day_text("listed_at").alias("listed_at"))
+
+
 @query
 def change_collapse(spark, d):
     changes = table(spark, d, "lineitem").select(
@@ -686,7 +693,7 @@ def weak_scores(spark, d):
     """New people of the part records with the best score they had below the merge score."""
     people = brand_people(spark, d)
     resolved = resolution.resolve(part_records(spark, d), people, no_aliases(spark, d))
-    out = resolution.with_weak_scores(resolved, people, 0.8).where("created")
+    out = resolution.with_weak_scores(resolved, people).where("created")
     return out.select("tenant_id", "source_record_id", F.round("confidence", 6).alias("confidence"))
 
 
@@ -797,7 +804,7 @@ def part_people(spark, d) -> DataFrame:
 
 @query
 def fuzzy_review_pairs(spark, d):
-    pairs = review.similar_key_pairs(part_people(spark, d), 0.85)
+    pairs = review.similar_key_pairs(part_people(spark, d))
     return pairs.select("tenant_id", "a_name", "a_company", "b_name", "b_company", F.round("score", 6).alias("score"))
 
 

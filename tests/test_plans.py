@@ -73,3 +73,13 @@ def test_queries_agree_with_sql(spark, name):
     out = contract.queries()[name](spark, DATA)
     assert sorted(out.columns) == columns
     assert sorted(tuple(str(r[c]) for c in columns) for r in out.collect()) == expected
+
+
+@needs_data
+def test_listing_and_scores_are_not_cut(spark):
+    queries = contract.queries()
+    assert queries["bulk_load"](spark, DATA).count() == spark.read.parquet(f"{DATA}/orders.parquet").count() > 500
+    pairs = [r.score for r in queries["fuzzy_review_pairs"](spark, DATA).select("score").collect()]
+    assert 0.55 <= min(pairs) < 0.6 and max(pairs) >= 0.85
+    weak = [r.confidence for r in queries["weak_scores"](spark, DATA).select("confidence").collect()]
+    assert min(c for c in weak if c is not None) < 0.8
