@@ -63,7 +63,6 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = dtype
         self.known: dict[str, bytes] = {"": b""}
 

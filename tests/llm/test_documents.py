@@ -103,6 +103,19 @@ def test_tokens_read_back_as_encoded(spark, docs, rows):
     assert token_files.read_tokens(none).isEmpty()
 
 
+@pytest.mark.parametrize("special", ["<|endoftext|>", "<|startoftext|>"])
+def test_special_strings_are_encoded_as_in_whole_texts(special):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = [special, f"one {special} two", f"one{special}two", f" {special}\n{special}{special} a", f"é,{special}.\tB {special.upper()}", f"{special} ", f"x\n{special}\u00a0y"]
+    got = token_files.Encoder(open(path, encoding="utf-8").read(), "<u2").encode(texts)
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_pitman_yor_base_is_exact_and_scores_beat_it(docs, rows):
     got = pitman_yor.report(docs).collect()
     assert len(got) == len(rows)
