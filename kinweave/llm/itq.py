@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,8 @@ def fit(sample: np.ndarray, rotations: int, rounds: int = ROUNDS) -> tuple[np.nd
     signs of the projected sample differ least from its values."""
     mean = sample.mean(axis=0)
     centred = sample - mean
-    axes = np.linalg.svd(centred, full_matrices=False)[2].T if len(sample) > 1 else np.eye(sample.shape[1])
+    # a sample smaller than the width spans fewer axes; the others complete them
+    axes = np.linalg.svd(centred, full_matrices=len(sample) < sample.shape[1])[2].T
     projected, out = centred @ axes, []
     for k in range(rotations):
         turn = np.linalg.qr(np.random.default_rng(k).normal(size=(axes.shape[1], axes.shape[1])))[0]
@@ -105,8 +107,7 @@ def near_copies(
 ) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id (smallest vec_id reachable) and kept.
 
-    Only vectors of one label are compared. A vector that is null, zero, of another length than most,
-    holds a null or a value that is not finite, or has no label links with nothing: its component is its
+    Only vectors of one label and length are compared. A vector that is null or zero, holds a null or a value that is not finite, or has no label links with nothing: its component is its
     own id. Repeated rows are vectors of their own; a null id never names a component of others.
     """
     spark = vectors.sparkSession
@@ -120,43 +121,52 @@ def near_copies(
         F.col(vec).cast("bigint").alias("vec_id"), F.col(label).cast("string").alias("label"), values.alias("v"),
         F.coalesce(sound, F.lit(False)).alias("sound"),
     )
-    usual = rows.where("sound").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    rows = rows.withColumn("cls", F.when(F.col("sound") & (F.size("v") == (usual.d if usual else 0)), F.xxhash64("label", "v")))
-    classes = cut_lineage(
-        rows.where("cls is not null").groupBy("cls").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"), F.first("label").alias("label"), F.first("v").alias("v"))
-    )
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    bits, tables = tables_for(largest, threshold)
-    sample = classes.select("cls", "v").orderBy("cls").limit(SAMPLE).toPandas()["v"].tolist()
-    width = usual.d if usual else 1
-    sample = np.array(sample, dtype=float).reshape(-1, width)
-    sample = sample / np.linalg.norm(sample, axis=1)[:, None] if len(sample) else np.eye(width)
-    model = spark.sparkContext.broadcast(fit(sample, math.ceil(bits * tables / width)))
+    rows = rows.withColumn("cls", F.when(F.col("sound"), F.xxhash64("label", "v")))
+    classes = rows.where("cls is not null").groupBy("cls")
+    classes = classes.agg(F.min("vec_id").alias("least"), F.count("*").alias("m"), F.first("label").alias("label"), F.first("v").alias("v"))
+    classes = cut_lineage(classes.withColumn("label", F.concat(F.size("v").cast("string"), F.lit(" "), "label")))
+    largest = classes.groupBy(F.size("v").alias("d"), "label").count().groupBy("d").agg(F.max("count"), F.sum("count")).collect()
+    models = {}
+    for width, n, every in largest:  # lengths, few beside the vectors
+        if every <= BLOCK:  # too few to learn from: all pairs are compared, under one key
+            models[width] = (0, 1, np.zeros(width), np.zeros((width, 0)))
+            continue
+        bits, tables = tables_for(n, threshold)
+        sample = classes.where(F.size("v") == width).select("cls", "v").orderBy("cls").limit(SAMPLE).toPandas()["v"].tolist()
+        sample = np.array(sample, dtype=float).reshape(-1, width)
+        sample = sample / np.linalg.norm(sample, axis=1)[:, None]
+        models[width] = (bits, tables, *fit(sample, math.ceil(bits * tables / width)))
+    model = spark.sparkContext.broadcast(models)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mean, turn = model.value
+        for mixed in batches:
+            lengths = pc.list_value_length(mixed.column(3))
+            for width in pc.unique(lengths).to_pylist():
+                yield coded(mixed.filter(pc.equal(lengths, width)), width)
+
+    def coded(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
+        bits, tables, mean, turn = model.value[width]
         weights = 1 << np.arange(bits, dtype=np.int64)
-        for batch in batches:
-            x = np.array(batch.column(3).values.to_numpy(zero_copy_only=False), dtype="<f4")[: batch.num_rows * width].reshape(-1, width)
-            unit = x / np.linalg.norm(x.astype(float), axis=1)[:, None]
-            code = ((unit - mean) @ turn >= 0)[:, : bits * tables].reshape(len(x), tables, bits)
-            own = (code * weights).sum(axis=2).astype("<i4")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), batch.column(2),
-                    pa.array([v.tobytes() for v in x], pa.binary()),
-                    pa.array([k.tobytes() for k in own], pa.binary()),
-                    pa.array(own.tolist(), pa.list_(pa.int32())),
-                ],
-                names=["cls", "label", "m", "vec", "keys", "each"],
-            )
-
-    coded = cut_lineage(
+        x = np.array(batch.column(3).flatten().to_numpy(zero_copy_only=False), dtype="<f4").reshape(-1, width)
+        unit = x / np.linalg.norm(x.astype(float), axis=1)[:, None]
+        code = ((unit - mean) @ turn >= 0)[:, : bits * tables].reshape(len(x), tables, bits)
+        own = (code * weights).sum(axis=2).astype("<i4")
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column(0), batch.column(1), batch.column(2),
+                pa.array([v.tobytes() for v in x], pa.binary()),
+                pa.array([k.tobytes() for k in own], pa.binary()),
+                pa.array(own.tolist(), pa.list_(pa.int32())),
+            ],
+            names=["cls", "label", "m", "vec", "keys", "each"],
+        )
+
+    placed = cut_lineage(
         classes.select("cls", "label", "m", "v").mapInArrow(keys, "cls bigint, label string, m bigint, vec binary, keys binary, each array<int>")
     )
-    spread = coded.select("cls", "label", "m", "vec", "keys", F.posexplode("each").alias("tab", "key"))
+    spread = placed.select("cls", "label", "m", "vec", "keys", F.posexplode("each").alias("tab", "key"))
     bucket = ["label", "tab", "key"]
-    counts = coded.select("label", F.posexplode("each").alias("tab", "key")).groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
+    counts = placed.select("label", F.posexplode("each").alias("tab", "key")).groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
     block = F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / BLOCK)).cast("int")
     blocks = (
         spread.join(counts, bucket)

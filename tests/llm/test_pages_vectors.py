@@ -121,3 +121,15 @@ def test_vectors_recall_and_components(spark, group):
     assert np.mean([got[i].component_id == want[i] for i in n]) > 0.99
     assert all(got[100_000 + k].component_id == 100_000 + k for k in range(7))
     assert itq.near_copies(df.where("false")).isEmpty()
+
+
+def test_vectors_of_every_length_are_compared(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(np.float32(x)) for x in rng.normal(size=64)], 0) for k in range(20)]
+    short = [float(np.float32(x)) for x in rng.normal(size=32)]
+    rows += [(100, short, 0), (101, short, 0), (102, [2 * x for x in short], 0), (103, short, 1), (104, [1.0, 1.0], 0), (105, [1.0, 1.01], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in itq.near_copies(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()}
+    assert [got[k] for k in (100, 101, 102, 103)] == [(2, 100)] * 3 + [(0, 103)]
+    assert got[104] == got[105] == (1, 104)
+    assert all(got[k] == (0, k) for k in range(20))
+    assert itq.fit(rng.normal(size=(3, 8)), 2)[1].shape == (8, 16)
