@@ -46,7 +46,7 @@ _LOOSE = {
 }
 # What the labelers know. Each is a pattern on the span (gazetteer) or on the text before it.
 _KNOWN = {
-    "email": r"\.(?:com|org|net|edu|gov|io|info|biz|eu|uk|de|fr|es|it|nl|ch|at|us|ca|au|jp|in|br)$",
+    "email": r"(?:\.|\x20?[\[(]dot[\])]\x20?)(?:com|org|net|edu|gov|io|info|biz|eu|uk|de|fr|es|it|nl|ch|at|us|ca|au|jp|in|br)$",
     "ip": r"^(?!0|127\.|255\.|2[4-5][0-9]\.)",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))",
     "phone": r"^(?:\+(?:1|7|20|27|3[0-9]|4[0-9]|5[1-8]|6[0-6]|8[1-6]|9[0-58])|\(?[2-9][0-9]{2})",
@@ -197,14 +197,14 @@ def train(counts: dict[int, int]) -> list[int]:
             for f in features(code):
                 sides[f][side] += weight
     out = []
-    for kind, *votes in product(range(len(KINDS)), (1,), (0, 2), (0, 1, 2), (0, 2)):
+    for kind, *votes in product(range(len(KINDS)), (1,), *[range(3)] * (len(LABELERS) - 1)):
         for size, apart in product(range(4), range(3)):
             code = kind
             for v in votes:
                 code = code * 3 + v
             code = (code * 4 + size) * 3 + apart
-            if kind not in totals or votes[2] == 0 or votes[3] == 0 or votes[1] == 0:
-                continue  # a labeler speaks against it
+            if kind not in totals:
+                continue
             odds = math.log(totals[kind][0] / totals[kind][1])
             for f in features(code):
                 pair = sides[f]

@@ -103,6 +103,16 @@ def test_tokens_read_back_as_encoded(spark, docs, rows):
     assert token_files.read_tokens(none).isEmpty()
 
 
+def test_pii_odds_outweigh_one_vote(spark):
+    """Spelled-out endings are known ones, and one labeler against a span does not rule it out."""
+    rows = [(k, f"please mail name{k} (at) host{k} (dot) com today") for k in range(60)]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[k].startswith("email:") for k in range(60))
+    # kind email; votes of pattern, gazetteer, context, touch as digits 0 (against) to 2; size 2, apart 0
+    code = lambda *votes: (int("".join(map(str, votes)), 3) * 4 + 2) * 3
+    assert code(1, 0, 2, 2) in pii.train({code(1, 2, 2, 2): 1000, code(1, 0, 2, 2): 500, code(1, 2, 0, 0): 50, code(1, 0, 0, 0): 1000})
+
+
 @pytest.mark.parametrize("special", ["<|endoftext|>", "<|startoftext|>"])
 def test_special_strings_are_encoded_as_in_whole_texts(special):
     import public_tokenizers
