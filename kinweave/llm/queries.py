@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import decontaminate, itq, language, minhash, mixture, pii, pitman_yor, shard_table, templates
+from kinweave.llm import (
+    decontaminate,
+    itq,
+    language,
+    minhash,
+    mixture,
+    order_minhash,
+    pii,
+    pitman_yor,
+    shard_table,
+    templates,
+)
 from kinweave.llm.common import table
 from kinweave.llm.oracle import ORACLE
 from kinweave.session import adopt, scratch_path
@@ -82,3 +93,8 @@ def op9_mixture(spark, d):
 @query
 def op10_shard_table(spark, d):
     return shard_table.report(table(spark, d, "documents"))
+
+
+@query
+def op11_order_minhash(spark, d):
+    return order_minhash.report(table(spark, d, "documents"))
