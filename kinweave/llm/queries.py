@@ -17,6 +17,7 @@ from kinweave.llm import (
     pitman_yor,
     shard_table,
     templates,
+    term_pipeline,
 )
 from kinweave.llm.common import table
 from kinweave.llm.oracle import ORACLE
@@ -98,3 +99,8 @@ def op10_shard_table(spark, d):
 @query
 def op11_order_minhash(spark, d):
     return order_minhash.report(table(spark, d, "documents"))
+
+
+@query
+def op12_term_pipeline(spark, d):
+    return term_pipeline.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
