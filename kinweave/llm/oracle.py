@@ -3,7 +3,7 @@ operators have candidate searches, so it is for small tables."""
 
 from __future__ import annotations
 
-from kinweave.llm import decontaminate, mixture, shard_table
+from kinweave.llm import decontaminate, filter_audit, mixture, shard_table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACED = r"[^\x20\x09-\x0D]+"
@@ -133,6 +133,42 @@ ranked AS (
 SELECT item_id, rank, doc_id, score FROM ranked JOIN item USING (i) WHERE rank <= 50
 """
 
+_FAILS = ("words < 100", "100 * distinct_words < 80 * words", "100 * capitals > 10 * chars", "marked", "again")
+_ORDERS = ", ".join(f"('{order}', {step + 1}, '{letter}', '{order[:step]}')" for order in filter_audit.ORDERS for step, letter in enumerate(order))
+_FILTER_AUDIT = f"""
+WITH told AS (
+  SELECT doc_id AS of, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+),
+doc AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents
+),
+seen AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, len(w) AS words, len(list_distinct(w)) AS distinct_words,
+    length(t) AS chars, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS capitals, regexp_matches(t, '[#$%&*|]') AS marked,
+    coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) AS again
+  FROM doc LEFT JOIN told ON told.of = doc.doc_id
+),
+mask AS (
+  SELECT part, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic,
+    {" || ".join(f"CASE WHEN {fails} THEN '{letter}' ELSE '' END" for letter, fails in zip(filter_audit.FILTERS, _FAILS, strict=True))} AS fails
+  FROM seen GROUP BY ALL
+),
+step AS (SELECT * FROM (VALUES {_ORDERS}) v(filter_order, step, letter, earlier)),
+met AS (
+  SELECT *, contains(fails, letter) AS now, translate(fails, earlier, '') <> fails AS gone FROM mask, step
+),
+row AS (
+  SELECT part, filter_order, step::INTEGER AS step, letter,
+    coalesce(sum(n) FILTER (NOT now AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (now AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (now AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = letter), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (now AND NOT gone), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (now AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM met GROUP BY ALL
+)
+SELECT * EXCLUDE letter, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM row
+"""
+
 
 def _shard_table() -> str:
     """The filled table is a constant of the query; the tests hold it against taking turns slot by slot."""
@@ -154,4 +190,5 @@ ORACLE: dict[str, str] = {
     "op9_mixture": _MIXTURE,
     "op10_shard_table": _shard_table(),
     "op12_term_pipeline": _TERM_PIPELINE,
+    "op13_filter_audit": _FILTER_AUDIT,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.llm import (
     decontaminate,
+    filter_audit,
     itq,
     language,
     minhash,
@@ -104,3 +105,8 @@ def op11_order_minhash(spark, d):
 @query
 def op12_term_pipeline(spark, d):
     return term_pipeline.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query
+def op13_filter_audit(spark, d):
+    return filter_audit.report(spark, f"{d}/documents.parquet", table(spark, d, "labels"))
