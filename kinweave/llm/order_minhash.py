@@ -1,15 +1,16 @@
 """Fingerprints of texts that follow edit distance: Order MinHash, in DataFrame functions only.
 
-A text's letters are its UTF-8 bytes and its items are its k-mers, each numbered by how often the same
-k-mer stood before it, so that repeats count. Every item has a 31-bit hash, a place on a circle. Each of
+A text's letters are its words, cut after 16 code points so that long runs are no single letter; code
+points of scripts that are written without spaces are letters each, and white space is none. Its items are
+the k-mers of letters, each numbered by how often the same k-mer stood before it, so that repeats count. Every item has a 31-bit hash, a place on a circle. Each of
 ``sketches`` equally spaced points ranks all items by their way round the circle from that point; the
 ``tuple_size`` lowest are taken, put back into the order they have in the text, and hashed together. Two
 texts agree in a sketch if they have the same lowest items in the same order, so moved passages count as
 differences, which they do not for sets of k-mers. The share of agreeing sketches is the likeness.
 
-One text is worked on at a time, in arrays: a long per byte. Hashes are sorted once, so neither repeats
-nor points need to search. Texts shorter than a k-mer are one item; null and empty texts have no item,
-an empty fingerprint, likeness 1 to each other and 0 to all others.
+One text is worked on at a time, in arrays: a long per letter. Hashes are sorted, so neither repeats nor
+points need to search. Texts shorter than a k-mer are one item; null texts and those without a letter have no
+item, an empty fingerprint, likeness 1 to each other and 0 to all others.
 """
 
 from __future__ import annotations
@@ -19,12 +20,16 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.common import fresh
 
-KMER = 12
+KMER = 2
 SKETCHES = 64
 TUPLE = 2
 #: At most so many ranges of ids, and quantiles that found them; bounds what is broadcast.
 RANGES, QUANTILES, ROWS_PER_RANGE = 65_536, 256, 1_000
 
+#: Thai, Lao, Myanmar, Khmer, and the ideographs and syllables of East Asia.
+_APART = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{A4CF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
+LETTER = rf"[^\x20\x09-\x0D{_APART}]{{1,16}}|[{_APART}]"
+
 _LOW = 0xFFFFFFFF
 
 
@@ -42,12 +47,15 @@ def _hash(item: Column) -> Column:
     return F.shiftright(item, 32)
 
 
-def _kmers(text: Column, k: int) -> Column:
-    def of(data):
-        starts = F.sequence(F.lit(1), F.greatest(F.length(data) - (k - 1), F.lit(1)))
-        return F.transform(starts, lambda at: _item(F.xxhash64(F.substring(data, at, F.lit(k))), at.cast("bigint")))
+def _kmers(letters: Column, k: int) -> Column:
+    def of(letter):
+        starts = F.sequence(F.lit(0), F.greatest(F.size(letter) - k, F.lit(0)))
+        # A get beyond the end is null, which a hash leaves out.
+        return F.transform(
+            starts, lambda at: _item(F.xxhash64(*[F.get(letter, at + j) for j in range(k)]), (at + 1).cast("bigint"))
+        )
 
-    return F.when(F.length(text) == 0, F.array().cast("array<bigint>")).otherwise(_bound(text.cast("binary"), of))
+    return F.when(F.size(letters) == 0, F.array().cast("array<bigint>")).otherwise(_bound(letters, of))
 
 
 def _same_as_before(items: Column, at: Column) -> Column:
@@ -110,7 +118,9 @@ def fingerprints(
     own = [F.col(f"`{c}`") for c in df.columns]
     item, more = fresh(df, "_item", "_more")
     points = F.array(*[F.lit((j << 31) // sketches << 32) for j in range(sketches)]).cast("array<bigint>")
-    step = df.select(*own, _kmers(F.coalesce(F.col(f"`{text}`"), F.lit("")), k).alias(item))
+    letters = F.regexp_extract_all(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(LETTER), F.lit(0))
+    step = df.select(*own, letters.alias(item))
+    step = step.select(*own, _kmers(F.col(item), k).alias(item))
     step = step.select(*own, F.when(F.size(item) > 1, F.sort_array(item)).otherwise(F.col(item)).alias(item))
 
     def kept(first: bool):

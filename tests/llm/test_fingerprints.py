@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -13,6 +14,10 @@ from kinweave.llm import order_minhash as om
 SMALL = "/root/testdata/sf0.001"
 
 
+APART = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff"
+LETTER = f"[^ \\t-\\r{APART}]{{1,16}}|[{APART}]"
+
+
 def _xx(*values, seed=42):
     """Spark's xxhash64: bytes, 64-bit or (as a pair with its width) 32-bit integers, one after the other."""
     for v in values:
@@ -22,12 +27,12 @@ def _xx(*values, seed=42):
 
 
 def signature(text, k=om.KMER, sketches=om.SKETCHES, size=om.TUPLE):
-    data = (text or "").encode()
-    if not data:
+    letters = [w.encode() for w in re.findall(LETTER, text or "")]
+    if not letters:
         return []
     seen, items = Counter(), []
-    for at in range(max(len(data) - k, 0) + 1):
-        h = _xx(data[at : at + k]) >> 33
+    for at in range(max(len(letters) - k, 0) + 1):
+        h = _xx(*letters[at : at + k]) >> 33
         items.append((_xx(h, (seen[h],)) >> 33 if seen[h] else h, at + 1))
         seen[h] += 1
     out, least = [], min(size, len(items))
@@ -47,7 +52,7 @@ def alike(a, b):
 
 
 TEXTS = [
-    None, "", "a", "short", "exactly12byt", "exactly12byte", "é" * 30, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa",
+    None, "", "a", "short", "two words", "exactly16letters", "exactly17letters.", "é" * 30, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa",
     "the same words again and again " * 40, "zwölf Boxkämpfer jagen Viktor quer über den großen Sylter Deich 漢字仮名交じり文",
     "the same words again and again " * 40, "x" * 20_000, " \t\n",
 ]
