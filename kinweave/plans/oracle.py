@@ -627,6 +627,56 @@ ORACLE: dict[str, str] = {
     ),
 }
 
+# Two rows a message, as ``message_fanout`` makes them.
+_MAIL_ROWS = """
+        SELECT CAST(tenant_id AS VARCHAR) AS tenant_id, o_orderkey, o_orderkey || '#' || lower(address) AS source_record_id,
+               CASE o_orderstatus WHEN 'F' THEN 'email_sent' ELSE 'email_received' END AS interaction_type,
+               occurred AS occurred_at, subject
+        FROM (SELECT *, primary_email AS address FROM order_mail
+              UNION ALL SELECT *, 'clerk' || o_orderpriority[1] || '@office.example' FROM order_mail)"""
+_LATE_CHANGES = """
+        SELECT l_orderkey, arg_max(l_returnflag, (l_linenumber, l_partkey, l_suppkey, l_returnflag)) AS flag
+        FROM lineitem WHERE l_linenumber >= 4 GROUP BY ALL"""
+ORACLE["message_sync"] = _sql(
+    "people order_mail",
+    """SELECT tenant_id, source_record_id, interaction_type, occurred_at, subject, coalesce(flag = 'R', false) AS deleted
+       FROM mail_rows LEFT JOIN late ON o_orderkey = l_orderkey
+       WHERE o_orderkey % 7 <> 0 OR (flag <> 'R' AND o_orderkey % 11 <> 0)""",
+    mail_rows=_MAIL_ROWS,
+    late=_LATE_CHANGES,
+)
+ORACLE["sync_with_fallback"] = _sql(
+    "people order_mail",
+    """SELECT tenant_id, count(*) FILTER (NOT deleted) AS live, count(*) FILTER (deleted) AS deleted,
+              count(*) FILTER (stale AND NOT deleted) AS stale, '9000000000' AS cursor
+       FROM (SELECT tenant_id, false AS deleted, false AS stale
+             FROM mail_rows LEFT JOIN late ON o_orderkey = l_orderkey
+             WHERE o_orderkey % 11 <> 0 AND (tenant_id NOT IN ('2', '3') OR flag <> 'R')
+             UNION ALL
+             SELECT CAST(tenant_id AS VARCHAR), tenant_id NOT IN (2, 3), true FROM people)
+       GROUP BY tenant_id""",
+    mail_rows=_MAIL_ROWS,
+    late=_LATE_CHANGES,
+)
+ORACLE["calendar_sync"] = _sql(
+    "people",
+    """SELECT tenant_id, source_record_id, occurred_at, subject, deleted FROM (
+           SELECT l.*, coalesce(n.off, false) AND l.round = 0 AS deleted, m.source_record_id IS NOT NULL AND l.round = 0 AS replaced
+           FROM versions l
+           LEFT JOIN versions n ON n.round = 1 AND n.tenant_id = l.tenant_id AND n.meeting = l.meeting
+           LEFT JOIN versions m ON m.round = 1 AND m.tenant_id = l.tenant_id AND m.source_record_id = l.source_record_id AND NOT m.off
+           WHERE NOT l.off)
+       WHERE NOT replaced""",
+    versions="""
+        SELECT CAST(p.tenant_id AS VARCHAR) AS tenant_id, event_id % half AS meeting, event_id // half AS round,
+               (event_id % half) || '#' || p.primary_email AS source_record_id, event_type = 'error' AS off,
+               CASE event_type WHEN 'signup' THEN strftime(ts, '%Y-%m-%d 00:00:00') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS occurred_at,
+               CASE event_type WHEN 'view' THEN '(no title)' ELSE event_type END AS subject
+        FROM events JOIN people p ON user_id = p.id, (SELECT max(event_id) // 2 + 1 AS half FROM events)""",
+)
+ORACLE["contacts_sync"] = f"""
+    SELECT tenant_id, source_record_id, nullif(text, '') AS chunk_text FROM ({ORACLE["contact_records"]})"""
+
 _AGE = """(CASE WHEN last_synced_at IS NULL THEN NULL
                 WHEN epoch(TIMESTAMP '2024-02-01') - epoch(last_synced_at) < 90 THEN 'just now'
                 WHEN epoch(TIMESTAMP '2024-02-01') - epoch(last_synced_at) < 3600

@@ -19,6 +19,7 @@ from kinweave.plans.ingest import ingest
 from kinweave.plans.views import table
 from kinweave.session import adopt, scratch_path
 from kinweave.sources import calendar, connections, contacts, deadletter, messages
+from kinweave.streaming import pulls
 from kinweave.streaming.store import NetworkStore
 from kinweave.streaming.sync import sync_all, sync_batch, sync_stream
 
@@ -446,13 +447,12 @@ def calendar_cancelled(spark, d):
     return calendar.split_cancelled(calendar_events(spark, d))[1]
 
 
-@query
-def contact_records(spark, d):
+def address_book(spark, d) -> DataFrame:
     people = views.people(spark, d)
     value = F.struct(F.lit(None).cast("string").alias("value"), F.struct(F.lit(False).alias("primary")).alias("metadata"))
     main = F.struct(F.col("primary_email").alias("value"), F.struct((F.col("id") % 2 == 0).alias("primary")).alias("metadata"))
     other = F.struct(F.concat(F.lit("old."), F.col("primary_email")).alias("value"), F.struct(F.lit(False).alias("primary")).alias("metadata"))
-    nested = people.select(
+    return people.select(
         "tenant_id",
         F.concat(F.lit("people/"), F.col("id").cast("string")).alias("resourceName"),
         F.when(F.col("id") % 7 != 0, F.array(F.struct(F.col("display_name").alias("displayName")))).alias("names"),
@@ -461,7 +461,11 @@ def contact_records(spark, d):
             F.col("id") % 3 != 0, F.array(F.struct(F.col("company").alias("name"), F.col("title").alias("title")))
         ).alias("organizations"),
     )
-    return contacts.contact_records(nested).drop("raw")
+
+
+@query
+def contact_records(spark, d):
+    return contacts.contact_records(address_book(spark, d)).drop("raw")
 
 
 @query
@@ -972,3 +976,104 @@ def sync_all_sources(spark, d):
     summary = sync_all(spark, {"gmail": events, "calendar": broken, "contacts": address_book})
     stored = store.current("sources").groupBy(F.col("source_type").alias("source")).agg(F.count("*").alias("stored"))
     return summary.join(stored, "source", "left").select("source", "ok", "message", F.coalesce("stored", F.lit(0)).alias("stored"))
+
+
+# ---- pulls by cursor -----------------------------------------------------------------------------
+
+
+def _text_tenant(df: DataFrame) -> DataFrame:
+    return df.withColumn("tenant_id", F.col("tenant_id").cast("string"))
+
+
+#: The line number of an order's line is the day of the change log that it stands in.
+DAY = 1_000_000_000
+
+
+def order_changes(spark, d) -> DataFrame:
+    """A change log: every line adds its order's message (again), or deletes it if it was returned."""
+    owner = _text_tenant(order_messages(spark, d)).select("tenant_id", F.col("id").alias("message_id"))
+    lines = table(spark, d, "lineitem").select(
+        F.when(F.col("l_returnflag") == "R", "deleted").otherwise("added").alias("op"),
+        F.col("l_orderkey").cast("string").alias("message_id"),
+        (F.col("l_linenumber") * F.lit(DAY).cast("bigint") + F.col("l_orderkey")).cast("string").alias("history_id"),
+        F.struct("l_partkey", "l_suppkey", "l_returnflag").alias("pos"),
+    )
+    return lines.join(owner, "message_id")
+
+
+def _heads(spark, d, oldest: int, newest: int) -> DataFrame:
+    return _text_tenant(views.people(spark, d)).select("tenant_id").distinct().select(
+        "tenant_id", F.lit(oldest).cast("bigint").alias("oldest"), F.lit(newest).cast("bigint").alias("newest")
+    )
+
+
+@query
+def message_sync(spark, d):
+    """Everything but each seventh message on day 3, then the changes of the days after it, when each
+    eleventh message has vanished."""
+    store = NetworkStore(spark, scratch_path(spark, "message-sync")).create(people=_text_tenant(views.people(spark, d)))
+    landed, own = _text_tenant(order_messages(spark, d)), _text_tenant(own_addresses(spark, d))
+    changes, key = order_changes(spark, d), F.col("id").cast("bigint")
+    for batch, (seen, newest) in enumerate([(key % 7 != 0, 4 * DAY - 1), (key % 11 != 0, 9 * DAY)]):
+        pulls.sync_messages(store, batch, landed.where(seen), changes, _heads(spark, d, 0, newest), own, hashed_words(32), as_of())
+    return store.current("interactions").select(
+        "tenant_id", "source_record_id", "interaction_type", day_text("occurred_at").alias("occurred_at"), "subject",
+        F.col("deleted_at").isNotNull().alias("deleted"),
+    )
+
+
+@query
+def sync_with_fallback(spark, d):
+    """Tenants 2 and 3 have a cursor the log reaches; 0 has none, 1 an old one and 4 no number. All of them
+    have stored a message that is no longer there."""
+    people = _text_tenant(views.people(spark, d))
+    none = F.lit(None).cast("string")
+    stale = people.select(
+        "tenant_id", F.lit("gmail").alias("source_type"), F.concat(F.lit("stale"), "id", F.lit("#"), "primary_email").alias("source_record_id"),
+        F.concat(F.lit("stale"), "id").alias("external_id"), F.col("id").alias("person_id"), F.lit("email_sent").alias("interaction_type"),
+        F.lit(None).cast("timestamp").alias("occurred_at"), F.lit("stale").alias("subject"), F.lit(None).cast("timestamp").alias("deleted_at"),
+    )
+    tenant = F.col("tenant_id")
+    at = F.when(tenant == "1", "5").when(tenant == "4", "lost").when(tenant.isin("2", "3"), str(4 * DAY - 1)).otherwise(none)
+    heads = _heads(spark, d, DAY, 9 * DAY)
+    state = heads.where("tenant_id <> '0'").select(
+        "tenant_id", F.lit("gmail").alias("source_type"), at.alias("cursor"), as_of().alias("last_synced_at")
+    )
+    store = NetworkStore(spark, scratch_path(spark, "fallback")).create(people=people, interactions=stale, sync_state=state)
+    landed = _text_tenant(order_messages(spark, d)).where(F.col("id").cast("bigint") % 11 != 0)
+    own = _text_tenant(own_addresses(spark, d))
+    for _ in range(2):  # the batch is repeated as after a failure
+        pulls.sync_messages(store, 0, landed, order_changes(spark, d), heads, own, hashed_words(32), as_of())
+    counts = store.current("interactions").groupBy("tenant_id").agg(
+        F.count_if(F.col("deleted_at").isNull()).alias("live"),
+        F.count_if(F.col("deleted_at").isNotNull()).alias("deleted"),
+        F.count_if((F.col("subject") == "stale") & F.col("deleted_at").isNull()).alias("stale"),
+    )
+    return counts.join(store.current("sync_state").select("tenant_id", "cursor"), "tenant_id")
+
+
+@query
+def calendar_sync(spark, d):
+    """Every event is a version of the meeting half the table earlier; the earlier half is read as a whole,
+    the later one as changes."""
+    events = _text_tenant(calendar_events(spark, d))
+    half = table(spark, d, "events").agg(F.max("event_id")).first()[0] // 2 + 1
+    number = F.col("id").cast("bigint")
+    landed = events.select("*", number.alias("version")).withColumn("id", (number % half).cast("string"))
+    store = NetworkStore(spark, scratch_path(spark, "calendar-sync")).create(people=_text_tenant(views.people(spark, d)))
+    for batch, newest in enumerate((half - 1, 2 * half)):
+        pulls.sync_calendar(store, batch, landed, _heads(spark, d, 0, newest), None, hashed_words(32), as_of())
+    return store.current("interactions").select(
+        "tenant_id", "source_record_id", day_text("occurred_at").alias("occurred_at"), "subject",
+        F.col("deleted_at").isNotNull().alias("deleted"),
+    )
+
+
+@query
+def contacts_sync(spark, d):
+    """The address book pulled twice: the second pull changes nothing."""
+    store = NetworkStore(spark, scratch_path(spark, "contacts-sync")).create(people=_text_tenant(views.people(spark, d)))
+    for batch in range(2):
+        pulls.sync_contacts(store, batch, _text_tenant(address_book(spark, d)), None, hashed_words(32), as_of())
+    texts = store.current("chunks").select("tenant_id", "source_record_id", "chunk_text")
+    return store.current("sources").select("tenant_id", "source_record_id").join(texts, ["tenant_id", "source_record_id"], "left")
