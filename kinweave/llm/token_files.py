@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from kinweave.llm.common import slices
 from kinweave.session import cut_lineage
 
-#: Most remembered pieces of text per task.
+#: So many pieces of text are remembered per Python worker, and as many that were used before those.
 MEMORY = 600_000
 NO_DOC = -(2**63)
 
@@ -56,7 +56,8 @@ def _load(uri: str, dtype: str) -> np.ndarray:
 
 class Encoder:
     """Ids of whole texts. The vocabulary's normaliser and splitter never join or look across a space or
-    line feed, so the pieces between them are encoded once per task and put together again."""
+    line feed, so the pieces between them are encoded once and put together again. Spark keeps its Python workers,
+    and a worker keeps its encoder from task to task (``worker_encoder``)."""
 
     def __init__(self, vocabulary: str, dtype: str):
         from tokenizers import Tokenizer
@@ -64,17 +65,33 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.dtype = dtype
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         pieces = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         if len(self.known) > MEMORY:
-            self.known = {"": b""}
-        known = self.known
-        new = list({p for ps in pieces for p in ps if p not in known})
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        new = set().union(*pieces).difference(known)
+        again = new.intersection(before)
+        known.update((p, before[p]) for p in again)
+        new = list(new - again)
         for piece, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             known[piece] = np.array(coded.ids, dtype=self.dtype).tobytes()
-        return [b"".join([known[p] for p in ps]) for ps in pieces]
+        return [b"".join(map(known.__getitem__, ps)) for ps in pieces]
+
+
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def worker_encoder(vocabulary: str, dtype: str) -> Encoder:
+    """This Python worker's encoder of a vocabulary; another vocabulary replaces it."""
+    key = (vocabulary, dtype)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(vocabulary, dtype)
+    return _ENCODERS[key]
 
 
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -92,7 +109,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, doc
     store.create_dir(path, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, dtype)
+        encoder = worker_encoder(shared.value, dtype)
         end = np.array([end_id], dtype=dtype).tobytes()
         part = TaskContext.get().partitionId()
         name = f"{folder}/{part:08d}-{uuid.uuid4().hex}"

@@ -126,6 +126,21 @@ def test_special_strings_are_encoded_as_in_whole_texts(special):
         assert np.frombuffer(ids, "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_remembered_pieces_do_not_change_ids(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    vocabulary = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    whole, encoder = Tokenizer.from_str(vocabulary), token_files.worker_encoder(vocabulary, "<u2")
+    assert token_files.worker_encoder(vocabulary, "<u2") is encoder
+    monkeypatch.setattr(token_files, "MEMORY", 3)
+    for n in range(12):
+        texts = [f"often  piece{n % 5} rare{n}\nOften", None, "", f" piece{n % 2}."]
+        for text, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u2").tolist() == whole.encode(text or "", add_special_tokens=False).ids
+    assert len(encoder.known) + len(encoder.before) < 20
+
+
 def test_pitman_yor_base_is_exact_and_scores_beat_it(docs, rows):
     got = pitman_yor.report(docs).collect()
     assert len(got) == len(rows)
