@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from functools import reduce
 from itertools import product
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,11 @@ LABELERS = ("pattern", "gazetteer", "context", "touch")
 ACCEPT = 0.9
 ROUNDS = 30
 NEAR = 32
+#: The weight of prior opinion against a kind's whole count, and that opinion: how often a labeler votes
+#: against, nothing, for, on spans that are real; mirrored on others. Shares, so the size of a corpus decides nothing.
+PRIOR = 0.05
+OPINION = (0.5, 1.0, 2.0)
+RUN = 64
 
 # Patterns of the kinds. A run of name characters is tried from its start (or from the end
 # of the match before) only, which gives the same matches without trying each of its characters.
@@ -66,24 +73,72 @@ _AGAINST = "isbn|issn|version|order|invoice|serial|sku|part no|hash|sha|doi|toke
 _SPAN = "struct<kind:int,start:bigint,end:bigint,text:string,before:string,after:string>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, though the body's own lambdas use it often."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _running(numbers: Column, levels: int = 2) -> Column:
+    """Running sums of an array. Sums stay within runs of RUN, whose totals are added up the same way, so
+    the work grows with the length and not with its square."""
+
+    def summed(a: Column) -> Column:
+        return F.aggregate(a, F.lit(0).cast("bigint"), lambda x, y: x + y)
+
+    def run(a: Column, k: Column) -> Column:
+        return F.slice(a, k * RUN + 1, RUN)
+
+    def body(a: Column) -> Column:
+        if levels == 0:
+            return F.transform(a, lambda _, k: summed(F.slice(a, 1, k + 1)))
+        runs = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / RUN).cast("int"))
+        totals = _running(F.transform(runs, lambda k: summed(run(a, k))), levels - 1)
+
+        def within(before: Column, k: Column) -> Column:
+            return _let(run(a, k), lambda own: F.transform(own, lambda _, j: before + summed(F.slice(own, 1, j + 1))))
+
+        sums = _let(totals, lambda t: F.flatten(F.transform(runs, lambda k: within(F.coalesce(F.get(t, k - 1), F.lit(0)), k))))
+        return F.when(F.size(a) > 0, sums).otherwise(F.array().cast("array<bigint>"))
+
+    return _let(numbers, body)
+
+
 def _found(text: Column, kind: int, pattern: str) -> Column:
     """All matches of a pattern as spans, with a few characters around them; ends are exclusive code points."""
     none = F.array().cast(f"array<{_SPAN}>")
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.char_length(pair["gap"]).cast("bigint")
-        end = start + F.char_length(pair["hit"]).cast("bigint")
-        span = F.struct(
-            F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), pair["hit"].alias("text"),
-            F.lower(F.substring(pair["gap"], -NEAR, NEAR)).alias("before"), F.substring(pair["next"], 1, 1).alias("after"),
-        )
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).cast(f"array<{_SPAN}>").alias("spans"))
+    def placed(pairs: Column) -> Column:
+        lengths = F.transform(pairs, lambda p: (F.char_length(p["gap"]) + F.char_length(p["hit"])).cast("bigint"))
+
+        def span(pair: Column, end: Column) -> Column:
+            return F.struct(
+                F.lit(kind).alias("kind"), (end - F.char_length(pair["hit"])).alias("start"), end.alias("end"), pair["hit"].alias("text"),
+                F.lower(F.substring(pair["gap"], -NEAR, NEAR)).alias("before"), F.substring(pair["next"], 1, 1).alias("after"),
+            )
 
-    pairs = F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("gap"), F.slice(gaps, 2, F.size(hits)).alias("next"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("spans"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda s: s["spans"])).otherwise(none)
+        return F.zip_with(pairs, _running(lengths), span).cast(f"array<{_SPAN}>")
+
+    def cut(both: Column) -> Column:
+        hits, gaps = both["hits"], both["gaps"]
+        return F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("gap"), F.slice(gaps, 2, F.size(hits)).alias("next"))
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+    return F.when(text.rlike(pattern), _let(_let(both, cut), placed)).otherwise(none)
+
+
+def _meets(taken: Column, span: Column) -> Column:
+    """Whether a span overlaps one of an array of disjoint spans in order of their starts, by halving."""
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"] + 1) / 2).cast("int")
+        below = F.get(taken, middle - 1)["start"] < span["end"]
+        low = F.when((at["low"] < at["high"]) & below, middle).otherwise(at["low"])
+        high = F.when((at["low"] < at["high"]) & ~below, middle - 1).otherwise(at["high"])
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(taken) + 1)).cast("int"))
+    start = F.struct(F.lit(0).alias("low"), F.size(taken).alias("high"))
+    return F.coalesce(F.aggregate(steps, start, halve, lambda at: F.get(taken, at["low"] - 1)["end"] > span["start"]), F.lit(False))
 
 
 def _digits(text: Column) -> Column:
@@ -152,18 +207,28 @@ def _votes(code: int) -> tuple[int, tuple[int, ...], int, int]:
     return code, tuple(reversed(votes)), size, apart
 
 
+def _shares(counts: dict[int, int]) -> dict[int, float]:
+    """Each pattern's share of its kind, in an order of their own."""
+    totals: dict[int, int] = defaultdict(int)
+    for code, n in counts.items():
+        totals[_votes(code)[0]] += n
+    return {code: counts[code] / totals[_votes(code)[0]] for code in sorted(counts)}
+
+
 def reliabilities(counts: dict[int, int]) -> tuple[dict[int, float], dict[tuple[int, int], dict[bool, list[float]]]]:
     """EM over pattern counts: how likely each pattern is real, and for each kind and labeler the chances of
-    its votes (-1, 0, +1) on real and on other spans. Starts from the mean vote; one added to each count."""
+    its votes (-1, 0, +1) on real and on other spans. Starts from the mean vote; counts are shares of their
+    kind, to which ``PRIOR`` is added."""
     real = {}
+    shares = _shares(counts)
     for code in counts:
         votes = _votes(code)[1]
         real[code] = min(0.95, max(0.05, 0.5 + sum(votes) / (2 * len(votes))))
     chances: dict[tuple[int, int], dict[bool, list[float]]] = {}
     for _ in range(ROUNDS):
-        seen = defaultdict(lambda: {True: [1.0, 1.0, 1.0], False: [1.0, 1.0, 1.0]})
-        prior = defaultdict(lambda: [1.0, 1.0])
-        for code, n in counts.items():
+        seen = defaultdict(lambda: {True: [PRIOR * x for x in OPINION], False: [PRIOR * x for x in reversed(OPINION)]})
+        prior = defaultdict(lambda: [PRIOR, PRIOR])
+        for code, n in shares.items():
             kind, votes, _, _ = _votes(code)
             prior[kind][0] += n * real[code]
             prior[kind][1] += n * (1 - real[code])
@@ -183,14 +248,14 @@ def reliabilities(counts: dict[int, int]) -> tuple[dict[int, float], dict[tuple[
 def train(counts: dict[int, int]) -> list[int]:
     """Pattern numbers of looser spans that the classifier accepts, of all that can occur."""
     real, _ = reliabilities(counts)
-    sides = defaultdict(lambda: [1.0, 1.0])
-    totals = defaultdict(lambda: [2.0, 2.0])
+    sides = defaultdict(lambda: [PRIOR, PRIOR])
+    totals = defaultdict(lambda: [2 * PRIOR, 2 * PRIOR])
 
     def features(code: int) -> list[tuple]:
         kind, votes, size, apart = _votes(code)
         return [(kind, "size", size), (kind, "apart", apart), *[(kind, name, v) for name, v in zip(LABELERS, votes, strict=True) if name != "pattern"]]
 
-    for code, n in counts.items():
+    for code, n in _shares(counts).items():
         kind = _votes(code)[0]
         for side, weight in enumerate((n * real[code], n * (1 - real[code]))):
             totals[kind][side] += weight
@@ -217,7 +282,8 @@ def train(counts: dict[int, int]) -> list[int]:
 def find(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, strict and extra, arrays of (kind number, start, end).
 
-    A null text is empty. Extra spans overlap no strict one and no other extra one (the first counts).
+    A null text is empty. Extra spans overlap no strict one and no other extra one (the first kind, then
+    the first span counts; one that itself goes takes no other with it).
     Repeated rows are each looked at.
     """
     plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -226,14 +292,22 @@ def find(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     codes = judged.select(F.explode(F.concat("strict", "loose")).alias("s")).groupBy("s.code").count()
     accepted = train({r["code"]: r["count"] for r in codes.collect()})
 
-    def apart(a: Column, b: Column) -> Column:
-        return (a["end"] <= b["start"]) | (b["end"] <= a["start"])
+    def of_kind(k: int, spans: str) -> Column:
+        return F.filter(spans, lambda s: s["kind"] == k)
+
+    def free(k: int, rivals: list[Column]) -> Column:
+        return F.filter("loose", lambda s: (s["kind"] == k) & s["code"].isin(accepted) & ~reduce(or_, [_meets(r, s) for r in rivals]))
 
-    good = F.filter("loose", lambda s: s["code"].isin(accepted)) if accepted else F.filter("loose", lambda s: F.lit(False))
-    free = F.filter(good, lambda s: F.forall("strict", lambda t: apart(s, t)))
-    first = F.filter(free, lambda s, k: F.forall(F.slice(free, 1, k), lambda t: apart(s, t)))
+    # kind by kind: a span goes if it overlaps a strict one or one that stays; spans of one kind are disjoint
+    out = judged.select("*", *[of_kind(k, "strict").alias(f"strict{k}") for k in range(len(STRICT))])
+    rivals = [F.col(f"strict{k}") for k in range(len(STRICT))]
+    kept = []
+    for k in sorted(KINDS.index(k) for k in _LOOSE):
+        out = out.withColumn(f"kept{k}", free(k, rivals + kept) if accepted else F.filter("loose", lambda s: F.lit(False)))
+        kept.append(F.col(f"kept{k}"))
+    first = F.concat(*kept)
     narrow = lambda spans: F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return judged.select("doc_id", narrow(F.col("strict")).alias("strict"), narrow(first).alias("extra"))
+    return out.select("doc_id", narrow(F.col("strict")).alias("strict"), narrow(first).alias("extra"))
 
 
 def _written(spans: Column) -> Column:

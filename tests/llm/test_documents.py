@@ -224,6 +224,63 @@ def test_personal_data_learns_looser_spans_from_votes(spark):
     assert not any(got[1000 + k] for k in range(200))
 
 
+def test_personal_data_does_not_depend_on_the_size_of_the_corpus():
+    counts = {pii_code("phone", (1, 2, 2, 2)): 5, pii_code("phone", (1, 0, 0, 0)): 3, pii_code("ssn", (1, 2, 2, 2)): 7, pii_code("iban", (1, 2, 1, 2)): 2}
+    want = pii.train(counts)
+    assert pii_code("phone", (1, 2, 2, 2)) in want and pii_code("phone", (1, 0, 0, 0)) not in want
+    for factor in (10, 1_000, 10_000_000):
+        assert pii.train({k: factor * n for k, n in counts.items()}) == want
+    # one pattern alone: accepted where the labelers agree, rejected where all are against
+    for n in (1, 4_000, 8_000, 10_000_000):
+        assert pii_code("phone", (1, 2, 2, 2)) in pii.train({pii_code("phone", (1, 2, 2, 2)): n})
+        assert pii_code("phone", (1, 0, 0, 0)) not in pii.train({pii_code("phone", (1, 0, 0, 0)): n})
+
+
+def pii_code(kind, votes, size=1, apart=1):
+    code = pii.KINDS.index(kind)
+    for v in votes:
+        code = code * 3 + v
+    return (code * 4 + size) * 3 + apart
+
+
+def test_personal_data_of_a_text_with_very_many_spans(spark):
+    phones = [f"{200 + k % 700}-555-{1000 + k % 9000}" for k in range(20_000)]
+    ends = []
+    parts = []
+    at = 0
+    for p in phones:
+        parts.append(f"call {p} ")
+        ends.append((at + 5, at + 5 + len(p)))
+        at += len(p) + 6
+    text = "".join(parts)
+    (row,) = pii.report(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert row.spans == ",".join(f"phone:{a}:{b}" for a, b in ends)
+
+
+def test_personal_data_keeps_the_spans_of_a_plain_walk(docs, spark):
+    """Extra spans are those of taking looser spans one by one, in kind and start order, beside brute overlap."""
+    more = [
+        (9_000, "call 202-555-1234 mail joe (at) host (dot) com ssn 123-45-6789 iban DE12 3456 7890 1234 5678 90 10.0.0.1"),
+        (9_001, "account GB12 2025 5512 3420 2555 and tel 202 555 1234 1111 2222 3333 4444 iban DE12 123-45-6789 phone 212.555.1234"),
+        (9_002, "a (at) b.c (at) d.com (dot) org mail x@y.com (at) z.com bank DE89 3704 0044 0532 0130 00 5555 5555 5555 4444"),
+    ]
+    known = docs.select("doc_id", "text").union(spark.createDataFrame(more * 3, "doc_id bigint, text string"))
+    strict, loose = pii.spans_of(F.coalesce("text", F.lit("")))
+    judged = known.select("doc_id", strict.alias("strict"), loose.alias("loose")).collect()
+    accepted = set(pii.train(Counter(s.code for r in judged for s in [*r.strict, *r.loose])))
+    want = Counter()
+    for r in judged:
+        taken = [(s.start, s.end) for s in r.strict]
+        own = []
+        for s in sorted(r.loose, key=lambda s: (s.kind, s.start)):
+            if s.code in accepted and all(s.end <= a or b <= s.start for a, b in taken):
+                taken.append((s.start, s.end))
+                own.append((s.kind, s.start, s.end))
+        want[r.doc_id, tuple(own)] += 1
+    assert sum(len(k[1]) * n for k, n in want.items()) > 3
+    assert Counter((r.doc_id, tuple(sorted(tuple(s) for s in r.extra))) for r in pii.find(known).collect()) == want
+
+
 def test_personal_data_runs_no_python(docs, capsys):
     pii.report(docs).explain()
     shown = capsys.readouterr().out
