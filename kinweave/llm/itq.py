@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from kinweave.llm.components import components
 from kinweave.session import cut_lineage
@@ -37,14 +38,13 @@ ROUNDS = 30
 BLOCK = 512
 
 
-def fit(sample: np.ndarray, rotations: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projections): rotations matrices side by side, each of the principal axes turned so that the
-    signs of the projected sample differ least from its values."""
-    mean = sample.mean(axis=0)
-    centred = sample - mean
+def fit(sample: np.ndarray, rotations: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Rotations matrices side by side, each of the principal axes turned so that the signs of the projected
+    sample differ least from its values. The mean stays in: without it the angles between vectors of one
+    narrow group would grow, and near copies in it would share no more bits than others."""
     # a sample smaller than the width spans fewer axes; the others complete them
-    axes = np.linalg.svd(centred, full_matrices=len(sample) < sample.shape[1])[2].T
-    projected, out = centred @ axes, []
+    axes = np.linalg.svd(sample, full_matrices=len(sample) < sample.shape[1])[2].T
+    projected, out = sample @ axes, []
     for k in range(rotations):
         turn = np.linalg.qr(np.random.default_rng(k).normal(size=(axes.shape[1], axes.shape[1])))[0]
         for _ in range(rounds):
@@ -52,7 +52,7 @@ def fit(sample: np.ndarray, rotations: int, rounds: int = ROUNDS) -> tuple[np.nd
             u, _, v = np.linalg.svd(signs.T @ projected)
             turn = (u @ v).T
         out.append(axes @ turn)
-    return mean, np.concatenate(out, axis=1)
+    return np.concatenate(out, axis=1)
 
 
 def tables_for(vectors: int, threshold: float, fill: int = FILL, recall: float = RECALL) -> tuple[int, int]:
@@ -62,13 +62,19 @@ def tables_for(vectors: int, threshold: float, fill: int = FILL, recall: float =
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
 
-def _compare(threshold: float):
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Vectors of length one, in double precision; scaled first, so that squares neither overflow nor vanish."""
+    x = x.astype(float)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _compare(threshold: float, number: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 left, right, table = row["left"], row["right"], row["tab"]
-                x, y = (np.frombuffer(b"".join(v["vec"] for v in side), "<f4").reshape(len(side), -1).astype(float) for side in (left, right))
-                x, y = x / np.linalg.norm(x, axis=1)[:, None], y / np.linalg.norm(y, axis=1)[:, None]
+                x, y = (_unit(np.frombuffer(b"".join(v["vec"] for v in side), number).reshape(len(side), -1)) for side in (left, right))
                 like = x @ y.T >= threshold
                 if row["same"]:
                     like &= ~np.eye(len(x), dtype=bool)
@@ -107,11 +113,13 @@ def near_copies(
 ) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id (smallest vec_id reachable) and kept.
 
-    Only vectors of one label and length are compared. A vector that is null or zero, holds a null or a value that is not finite, or has no label links with nothing: its component is its
+    Only vectors of one label and length are compared, as doubles; an array of floats travels as floats. A vector that is null or zero, holds a null or a value that is not finite, or has no label links with nothing: its component is its
     own id. Repeated rows are vectors of their own; a null id never names a component of others.
     """
     spark = vectors.sparkSession
-    values = F.col(embedding).cast("array<float>")
+    plain = vectors.schema[embedding].dataType
+    narrow = isinstance(plain, ArrayType) and isinstance(plain.elementType, FloatType)
+    values, number = F.col(embedding).cast("array<float>" if narrow else "array<double>"), "<f4" if narrow else "<f8"
     sound = (
         F.col(label).isNotNull() & values.isNotNull() & (F.size(values) > 0)
         & F.forall(values, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -125,17 +133,13 @@ def near_copies(
     classes = rows.where("cls is not null").groupBy("cls")
     classes = classes.agg(F.min("vec_id").alias("least"), F.count("*").alias("m"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = cut_lineage(classes.withColumn("label", F.concat(F.size("v").cast("string"), F.lit(" "), "label")))
-    largest = classes.groupBy(F.size("v").alias("d"), "label").count().groupBy("d").agg(F.max("count"), F.sum("count")).collect()
+    largest = classes.groupBy(F.size("v").alias("d"), "label").count().groupBy("d").agg(F.max("count")).collect()
     models = {}
-    for width, n, every in largest:  # lengths, few beside the vectors
-        if every <= BLOCK:  # too few to learn from: all pairs are compared, under one key
-            models[width] = (0, 1, np.zeros(width), np.zeros((width, 0)))
-            continue
+    for width, n in largest:  # lengths, few beside the vectors
         bits, tables = tables_for(n, threshold)
         sample = classes.where(F.size("v") == width).select("cls", "v").orderBy("cls").limit(SAMPLE).toPandas()["v"].tolist()
-        sample = np.array(sample, dtype=float).reshape(-1, width)
-        sample = sample / np.linalg.norm(sample, axis=1)[:, None]
-        models[width] = (bits, tables, *fit(sample, math.ceil(bits * tables / width)))
+        sample = _unit(np.array(sample, dtype=float).reshape(-1, width))
+        models[width] = (bits, tables, fit(sample, math.ceil(bits * tables / width)))
     model = spark.sparkContext.broadcast(models)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,11 +149,10 @@ def near_copies(
                 yield coded(mixed.filter(pc.equal(lengths, width)), width)
 
     def coded(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
-        bits, tables, mean, turn = model.value[width]
+        bits, tables, turn = model.value[width]
         weights = 1 << np.arange(bits, dtype=np.int64)
-        x = np.array(batch.column(3).flatten().to_numpy(zero_copy_only=False), dtype="<f4").reshape(-1, width)
-        unit = x / np.linalg.norm(x.astype(float), axis=1)[:, None]
-        code = ((unit - mean) @ turn >= 0)[:, : bits * tables].reshape(len(x), tables, bits)
+        x = np.array(batch.column(3).flatten().to_numpy(zero_copy_only=False), dtype=number).reshape(-1, width)
+        code = (_unit(x) @ turn >= 0)[:, : bits * tables].reshape(len(x), tables, bits)
         own = (code * weights).sum(axis=2).astype("<i4")
         return pa.RecordBatch.from_arrays(
             [
@@ -178,7 +181,7 @@ def near_copies(
     left = blocks.select(*bucket, F.col("block").alias("i"), F.col("rows").alias("left"))
     right = blocks.select(*bucket, F.col("block").alias("j"), F.col("rows").alias("right"))
     pairs = left.join(right, bucket).where("i <= j").select("tab", "left", "right", (F.col("i") == F.col("j")).alias("same"))
-    found = cut_lineage(pairs.mapInArrow(_compare(threshold), "cls bigint, n bigint, other bigint"))
+    found = cut_lineage(pairs.mapInArrow(_compare(threshold, number), "cls bigint, n bigint, other bigint"))
     near = components(found.where("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")))
     links = found.where("other is null").groupBy("cls").agg(F.sum("n").alias("n"))
     grouped = classes.select("cls", "least", "m").join(near, F.col("cls") == F.col("node"), "left").join(links, "cls", "left")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html
 import re
+from itertools import product
 
 import numpy as np
 import pytest
@@ -132,4 +133,43 @@ def test_vectors_of_every_length_are_compared(spark):
     assert [got[k] for k in (100, 101, 102, 103)] == [(2, 100)] * 3 + [(0, 103)]
     assert got[104] == got[105] == (1, 104)
     assert all(got[k] == (0, k) for k in range(20))
-    assert itq.fit(rng.normal(size=(3, 8)), 2)[1].shape == (8, 16)
+    assert itq.fit(rng.normal(size=(3, 8)), 2).shape == (8, 16)
+
+
+def test_doubles_keep_their_range_and_digits(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=32)
+    rows = [(1, (base * 1e300).tolist(), 0), (2, (base * 1e-50).tolist(), 0), (3, (base * 1e-300).tolist(), 0), (4, base.tolist(), 0)]
+    # just above and just below the threshold, closer than floats can tell
+    turn = rng.normal(size=32)
+    turn -= base * (turn @ base) / (base @ base)
+    turn /= np.linalg.norm(turn) / np.linalg.norm(base)
+    for k, cosine in enumerate((itq.THRESHOLD + 1e-10, itq.THRESHOLD - 1e-10)):
+        rows += [(10 + 10 * k, base.tolist(), 1 + k), (11 + 10 * k, (base * cosine + turn * np.sqrt(1 - cosine**2)).tolist(), 1 + k)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in itq.near_copies(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    assert [got[k] for k in (1, 2, 3, 4)] == [(3, 1)] * 4
+    assert got[20] == (0, 20) and got[21] == (0, 21)
+    assert got[10] == (1, 10) and got[11] == (1, 10)
+
+
+def test_recall_on_planted_near_copies(spark):
+    """14,000 vectors of two lengths and five labels: a third near copies of others, and one narrow group of each length."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for width, start in ((64, 0), (16, 100_000)):
+        x = rng.normal(size=(4_000, width)).astype(np.float32)
+        near = x[:2_000] + rng.uniform(0.1, 0.4, size=(2_000, 1)) * rng.normal(size=(2_000, width))
+        group = rng.normal(size=width) + 0.25 * rng.normal(size=(1_000, width))
+        every = np.concatenate([x, near.astype(np.float32), group.astype(np.float32)])
+        labels = np.concatenate([np.arange(4_000) % 4, np.arange(2_000) % 4, np.full(1_000, 4)])
+        rows += [(start + k, v.tolist(), int(c)) for k, (v, c) in enumerate(zip(every, labels, strict=True))]
+    got = {r.vec_id: r for r in itq.near_copies(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()}
+    for start, narrow in product((0, 100_000), (False, True)):
+        own = [r for r in rows if start <= r[0] < start + 50_000 and (r[2] == 4) == narrow]
+        unit = np.array([r[1] for r in own])
+        unit /= np.linalg.norm(unit, axis=1)[:, None]
+        label = np.array([r[2] for r in own])
+        like = (unit @ unit.T >= itq.THRESHOLD) & (label[:, None] == label) & ~np.eye(len(own), dtype=bool)
+        n = like.sum(axis=1)
+        links = np.array([got[r[0]].n_links for r in own])
+        assert n.sum() > 2_000 and (links <= n).all() and links.sum() >= 0.97 * n.sum()
