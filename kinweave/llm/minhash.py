@@ -265,6 +265,12 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, doc: str = "
     their own id. Repeated texts are one class, and so are repeated rows. A null id is larger than any
     other: it names a component of such rows only.
     """
+    return grouped(docs, words, percent, doc, text).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def grouped(docs: DataFrame, words: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``near_copies`` with version, a hash of the text, and component, a number of the linked
+    texts: unlike ids it tells unlinked texts with one id apart. It is null without shingles."""
     rows = cut_lineage(sketches(docs, words, doc, text))
     full = rows.where("cls is not null")
     first = full.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "version", "n_shingles", "bands", "low")).alias("m"))
@@ -286,7 +292,8 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 80, doc: str = "
         near = components(links.union(more))
     joined = classes.select("cls", "doc_id").join(near, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
     least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = joined.join(least, "component").select("cls", "component_id")
-    out = full.select("doc_id", "n_shingles", "cls").join(named, "cls", "left").select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("cls is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    named = joined.join(least, "component").select("cls", "component_id", "component")
+    columns = ["doc_id", "version", "n_shingles", "component_id", "component"]
+    out = full.select("doc_id", "version", "n_shingles", "cls").join(named, "cls", "left").select(columns)
+    alone = rows.where("cls is null").withColumns({"component_id": F.col("doc_id"), "component": F.lit(None).cast("bigint")}).select(columns)
     return out.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

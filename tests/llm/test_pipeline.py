@@ -51,3 +51,19 @@ def test_pipeline_over_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
     assert docs.isEmpty()
+
+
+def test_near_copies_tell_rows_apart_by_id_and_text(spark):
+    first, other = ("one two three four five six seven eight nine ten " * 3, "an entirely different passage about rivers boats and lakes in spring")
+    long = " ".join(f"w{k * k % 9973}" for k in range(60_000))
+    rows = [
+        (1, first), (1, first), (1, other),  # two unlinked texts with one id, one of them twice
+        (2, first), (3, long), (4, long + " more"), (None, long), (None, other),
+        (None, "a text that only rows without any id at all do hold"), (None, "a text that only rows without any id at all do hold"),
+        (5, None), (5, None), (6, " "), (None, None), (7, "short"), (8, "short"),
+    ]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, kept_id string, Component int")
+    got = corpus_pipeline.near_copies(spark, docs, SMALL)
+    assert got.columns == docs.columns
+    want = [(1, first), (1, other), (3, long), rows[8], (5, None), (5, None), (6, " "), (None, None), (7, "short")]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
