@@ -22,17 +22,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, 0.8) the document with the smallest id stays; of
-    repeated rows with that id, one. Rows without an id stay."""
+    """Of each group of near copies (five-word shingles, 0.8) one row stays: of the smallest id, null last,
+    and of that id's texts in the group the one with the smallest hash. Rows are told apart by id and text,
+    so unlinked texts with one id all stay. Texts without words are linked with nothing and stay."""
     adopt(spark)
-    kept = minhash.near_copies(docs).where("kept and doc_id is not null")
-    counts = kept.groupBy("doc_id").agg(F.count("*").alias("n"))
-    own, times = fresh(docs, "kept_id", "kept_times")
-    stay = docs.join(counts.select(F.col("doc_id").alias(own), F.col("n").alias(times)), F.col("doc_id") == F.col(own))
-    single = stay.where(F.col(times) == 1)
-    repeated = stay.where(F.col(times) > 1).dropDuplicates([own])
+    found = cut_lineage(minhash.grouped(docs))
+    rows = found.where("component is not null").groupBy("component", "doc_id", "version").agg(F.count("*").alias("n"))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "version", "n")).alias("m"))
+    blank = found.where("component is null").select("doc_id", "version", F.lit(0).cast("bigint").alias("n")).distinct()
+    own, version, times = fresh(docs, "kept_id", "kept_version", "kept_times")
+    wanted = first.select("m.doc_id", "m.version", "m.n").union(blank).toDF(own, version, times)
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(own)) & (F.xxhash64(F.col("text").cast("string")) == F.col(version))
+    stay = docs.join(wanted, same)
+    single = stay.where(F.col(times) <= 1)
+    repeated = stay.where(F.col(times) > 1).dropDuplicates([own, version])
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return single.select(columns).union(repeated.select(columns)).union(docs.where("doc_id is null"))
+    return single.select(columns).union(repeated.select(columns))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
