@@ -75,19 +75,22 @@ _CUES = frozenset(
 )
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)", re.S
 )
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 
 
 class Element:
-    __slots__ = ("tag", "slot", "path", "cued", "parts", "parent", "digest", "gone", "inside", "holds")
+    __slots__ = ("tag", "slot", "path", "cued", "parts", "parent", "digest", "gone", "inside", "holds", "under", "wraps")
 
     def __init__(self, tag: str, marks: list[str], parent: Element | None):
         self.tag, self.parent = tag, parent
         self.parts: list = []  # texts and elements in order
         cues = {w for m in marks for w in m.partition("=")[2].split()} & _CUES
         self.cued = 0 if not cues or tag in _NEVER_CUED else 1 if cues <= _ARTICLE_PARTS else 2
+        self.under = self.cued == 2 or parent is not None and parent.under  # in something that goes by its class
+        self.wraps = False  # a form around a headline or an article
         above = parent.path if parent else 0
         self.slot = _hash(f"{above}/{tag}{''.join(' ' + m for m in marks)}")
         self.path = above if tag in _INLINE else _hash(f"{above}/{tag}{''.join(' ' + m for m in marks if m.startswith('class='))}")
@@ -105,18 +108,46 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def _tag_end(source: str, at: int, known: dict) -> int:
+    """Where the > of a tag is, past its quoted values; -1 without one. ``known`` holds that place for each
+    quote passed, and from where on a character is missing, so that a page takes linear time however broken it is."""
+    passed, end = [], -1
+    while at < known.get("", len(source)):
+        stop = _STOP.search(source, at)
+        if stop is None:
+            known[""] = at
+            break
+        mark = stop.start()
+        if stop[0] == ">" or mark in known:
+            end = known.get(mark, mark)
+            break
+        passed.append(mark)
+        close = source.find(stop[0], mark + 1) if mark < known.get(stop[0], len(source)) else -1
+        if close < 0:
+            known[stop[0]] = min(mark, known.get(stop[0], mark))
+            break
+        at = close + 1
+    known.update(dict.fromkeys(passed, end))
+    return end
+
+
 def parse(source: str) -> Element:
     """The element tree; forgiving of missing and surplus end tags."""
     root = at = Element("", [], None)
-    place = 0
+    place = looked = 0
+    known: dict = {}
     while True:
-        token = _TOKEN.search(source, place)
+        token = _TOKEN.search(source, looked)
+        stop = _tag_end(source, token.end(), known) if token and token[2] else 0
+        if stop < 0:  # no tag: its text goes on
+            looked = token.start() + 1
+            continue
         if token is None:
             at.parts.append(source[place:])
             return root
         if token.start() > place:
             at.parts.append(source[place : token.start()])
-        place = token.end()
+        place = looked = stop + 1 if token[2] else token.end()
         if token[1]:
             tag = token[1].lower()
             end = at
@@ -130,17 +161,27 @@ def parse(source: str) -> Element:
                 at = _ended(at, {"p"}, stop=_ENDS_P)
             elif tag in _ENDS_ITEM:
                 at = _ended(at, _ENDS_ITEM[tag], stop={"ul", "ol", "dl", "table", "select", "menu"})
-            attributes = token[3]
+            attributes = source[token.end() : stop]
             marks = sorted(f"{m[1].lower()}={(m[2] or m[3] or m[4] or '').lower()}" for m in _ATTRIBUTE.finditer(attributes)) if attributes else []
             child = Element(tag, marks, at)
             at.parts.append(child)
+            if tag == "article" and not child.under:
+                root.wraps = True  # the page has an article that nothing takes away
+            if tag == "h1" or tag in _ARTICLE:
+                _wrap(at)
             if tag in _RAW:
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, place)
-                place = end.end() if end else len(source)
+                place = looked = end.end() if end else len(source)
             elif tag not in _VOID and not (attributes and attributes.endswith("/")):
                 at = child
 
 
+def _wrap(e: Element | None) -> None:
+    while e is not None and not (e.tag == "form" and e.wraps):
+        e.wraps |= e.tag == "form"
+        e = e.parent
+
+
 def _same_block(at: Element, end: Element) -> bool:
     while at is not end:
         if at.tag not in _INLINE:
@@ -161,13 +202,15 @@ def _ended(at: Element, tags: set[str], stop) -> Element:
     return out
 
 
-def _no_content(e: Element, in_article: bool) -> bool:
-    cued = e.cued > in_article and not e.holds
-    return cued or e.tag in _NO_CONTENT and not (in_article and e.tag in _ARTICLE_PARTS)
+def _no_content(e: Element, in_article: bool, other: bool) -> bool:
+    """A class takes what holds an article only where the page has ``other`` articles; a form around the page stays."""
+    cued = e.cued > in_article and not (e.holds and not (other and e.cued == 2))
+    return cued or e.tag in _NO_CONTENT and not e.wraps and not (in_article and e.tag in _ARTICLE_PARTS)
 
 
-def digest(e: Element) -> int:
+def digest(e: Element, other: bool | None = None) -> int:
     """Hash of a subtree's tags and texts, kept in every element of it, without what goes by tag or class."""
+    other = e.wraps if other is None else other
     parts = [e.tag]
     inside = e.inside or e.tag in _ARTICLE
     for p in e.parts:
@@ -175,9 +218,9 @@ def digest(e: Element) -> int:
             parts.append(" ".join(p.split()))
             continue
         p.inside = inside
-        p.gone = p.tag in _RAW or _no_content(p, inside)
+        p.gone = p.tag in _RAW or _no_content(p, inside, other)
         if not p.gone:
-            parts.append(str(digest(p)))
+            parts.append(str(digest(p, other)))
     e.digest = _hash("\x1f".join(parts))
     return e.digest
 

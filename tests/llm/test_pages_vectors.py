@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 from itertools import product
 
 import numpy as np
@@ -74,6 +75,29 @@ def test_cues_are_whole_classes_and_spare_the_article(source):
     assert templates.text_of(source) == "Text"
 
 
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<form action='.'><nav>n</nav><main><p>Text</p></main></form>",
+        "<form><div><h1>Text</h1></div></form>",
+        "<article><p>Text</p></article><section class='comments'><article>Me too</article></section>",
+        "<article><p>Text</p><section class='comments'><article>Me too</article></section></article><form>Send</form>",
+        "<main><div class='widget'><article>Text</article></div></main>",
+        "<p title='a > b' class=x>Text</p>",
+    ],
+)
+def test_forms_around_pages_and_comments_as_articles(source):
+    assert templates.text_of(source) == "Text"
+
+
+@pytest.mark.parametrize("piece", ["<a href=\"x' ", "<a ", "<p class='a><b>x", "<a \"", "<!-", "</a", "<a b='\""])
+def test_broken_markup_takes_linear_time(piece):
+    start = time.monotonic()
+    templates.text_of(piece * (1_000_000 // len(piece)) if "<p" not in piece else piece * 1_001 + "'" + piece * 100_000)
+    assert time.monotonic() - start < 30
+    assert templates.text_of("a <b \"c <i>d</i>") == 'a <b "c d'
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 5000 + "deep" + "</div>" * 5000
     rows = [
