@@ -16,7 +16,7 @@ from kinweave.functions.words import stems
 from kinweave.operators.dedupe import top_per
 from kinweave.operators.governance import live_interactions, live_people
 from kinweave.operators.skew import salted_join
-from kinweave.session import spread_if_small
+from kinweave.session import cut_lineage, spread_if_small
 
 # Rows per answer, the cosine floor, the longest page, the timeline length.
 TOP_K = 8
@@ -143,10 +143,10 @@ def _search(
 ) -> DataFrame:
     """Exact top-k per question without a join of all pairs.
 
-    ``prepare`` turns a block of questions into a scorer of Arrow batches. Every task keeps k rows
-    per question while it reads its chunks, so only tasks * questions * k rows are shuffled,
-    whatever the number of chunks. A block has a bounded number of questions; a larger table is
-    answered in several passes.
+    ``prepare`` turns one tenant's questions of a block into a scorer of Arrow batches; a tenant's chunks
+    meet that tenant's questions only. Every task keeps k rows per question while it reads its chunks, so
+    only tasks * questions * k rows are shuffled, whatever the number of chunks. A block has a bounded
+    number of questions; a larger table is answered in several passes.
     """
     out_schema = T.StructType(
         [
@@ -156,40 +156,44 @@ def _search(
         ]
     )
     source = chunks.select("tenant_id", "chunk_id", *chunk_columns)
-    asked = questions.select("tenant_id", "qid", *question_columns)
+    asked = cut_lineage(questions.select("tenant_id", "qid", *question_columns))
     passes = -(-asked.count() // QUESTIONS_PER_PASS) or 1
     found = None
     for i in range(passes):
         block = asked if passes == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i)
         block_rows = block.toArrow()
-        qids = block_rows.column("qid").to_pylist()
-        tenants = np.array(block_rows.column("tenant_id").to_pylist(), dtype=object)
-        scorer = prepare(block_rows)
+        places: dict = {}
+        for place, tenant in enumerate(block_rows.column("tenant_id").to_pylist()):
+            places.setdefault(tenant, []).append(place)
 
-        def task(batches: Iterator[pa.RecordBatch], qids=qids, tenants=tenants, scorer=scorer):
-            id_type = None
-            best = _Best(k, len(qids))
+        def task(batches: Iterator[pa.RecordBatch], rows=block_rows, places=places):
+            id_type, own = None, {}
             for batch in batches:
                 id_type = batch.schema.field("chunk_id").type
-                if not batch.num_rows or not qids:
-                    continue
-                own = np.array(batch.column("tenant_id").to_pylist(), dtype=object)
-                ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
-                for start in range(0, batch.num_rows, 1024):
-                    piece = batch.slice(start, 1024)
-                    scores = scorer(piece)
-                    scores[own[start : start + 1024, None] != tenants[None, :]] = np.nan
-                    best.offer(scores, ids[start : start + 1024])
-            rows = best.prune()
-            if rows is not None:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([qids[q] for q in rows["question"]]),
-                        pa.array(rows["chunk_id"].tolist(), id_type),
-                        pa.array(rows["score"].to_numpy(), pa.float64()),
-                    ],
-                    names=["qid", "chunk_id", "score"],
-                )
+                at: dict = {}
+                for row, tenant in enumerate(batch.column("tenant_id").to_pylist()):
+                    at.setdefault(tenant, []).append(row)
+                for tenant, mine in at.items():
+                    if tenant not in places:
+                        continue
+                    if tenant not in own:
+                        part = rows.take(places[tenant]).combine_chunks()
+                        own[tenant] = (prepare(part), _Best(k, part.num_rows), part.column("qid").to_pylist())
+                    score, best, _ = own[tenant]
+                    for start in range(0, len(mine), 1024):
+                        piece = batch.take(pa.array(mine[start : start + 1024]))
+                        best.offer(score(piece), piece.column("chunk_id").to_numpy(zero_copy_only=False))
+            for _, best, qids in own.values():
+                hits = best.prune()
+                if hits is not None:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([qids[q] for q in hits["question"]]),
+                            pa.array(hits["chunk_id"].tolist(), id_type),
+                            pa.array(hits["score"].to_numpy(), pa.float64()),
+                        ],
+                        names=["qid", "chunk_id", "score"],
+                    )
 
         part = source.mapInArrow(task, out_schema)
         found = part if found is None else found.unionByName(part)
@@ -268,8 +272,15 @@ def words_topk(chunks: DataFrame, questions: DataFrame, k: int = TOP_K) -> DataF
     """As ``vector_topk`` with stemmed bags of words: one dimension per distinct stem.
 
     ``chunks`` has ``chunk_text`` and ``questions`` has ``question``; stems are cut in the JVM and
-    whole texts are scored. score = dot / sqrt(|q|^2 |c|^2), with whole-number counts.
+    whole texts are scored. score = dot / sqrt(|q|^2 |c|^2), with whole-number counts. A tenant's questions
+    of equal stems are searched once, and their hits are joined to each of them.
     """
+    bag = F.coalesce(F.array_sort(stems("question")), F.array().cast("array<string>"))
+    worded = cut_lineage(questions.select("tenant_id", "qid", bag.alias("stems")))
+    once = worded.groupBy("tenant_id", "stems").agg(F.min("qid").alias("_first"))
+    member = worded.alias("w").join(
+        once.alias("o"), F.col("w.tenant_id").eqNullSafe(F.col("o.tenant_id")) & (F.col("w.stems") == F.col("o.stems"))
+    ).select(F.col("w.qid").alias("qid"), "_first")
 
     def prepare(block: pa.Table) -> Callable:
         flat = block.column("stems").combine_chunks()
@@ -302,14 +313,15 @@ def words_topk(chunks: DataFrame, questions: DataFrame, k: int = TOP_K) -> DataF
 
         return score
 
-    return _search(
+    hits = _search(
         spread_if_small(chunks).select("tenant_id", "chunk_id", stems("chunk_text").alias("stems")),
-        questions.select("tenant_id", "qid", stems("question").alias("stems")),
+        once.select("tenant_id", F.col("_first").alias("qid"), "stems"),
         k,
         ["stems"],
         ["stems"],
         prepare,
     )
+    return hits.withColumnRenamed("qid", "_first").join(member, "_first").select("qid", "chunk_id", "score", "place")
 
 
 def above_floor(hits: DataFrame, floor: float = MIN_SCORE) -> DataFrame:
