@@ -9,8 +9,8 @@ without customers, so that they get a score as well. A sweep sums tables by cont
 sums to the pairs, and seats every pair anew. Nothing is sized by the words of the corpus outside these tables. Given
 the other words' tables, a word with c customers in a context opens t tables with a probability that weighs
 all its seatings with t tables (generalised Stirling numbers), and that is drawn at once; beyond ``EXACT``
-customers the rest are seated in runs of a sixteenth. Pair probabilities of the sweeps after the first
-``BURN`` are averaged.
+customers the rest are seated in runs of a sixteenth. Draws are hashes of pair and sweep, the same on any
+partitioning. Pair probabilities of the sweeps after the first ``BURN`` are averaged.
 
 Texts are cut into chunks of a few million bytes. A chunk sends each bucket of pairs their occurrences once,
 and gets sums per document back. Pairs with a share of over ``HOT_SHARE`` are scored within the chunk.
@@ -104,9 +104,38 @@ def _stirling(d: float) -> np.ndarray:
     return out
 
 
-def seat(c: np.ndarray, opened: np.ndarray, d: float, rng: np.random.Generator, log_s: np.ndarray) -> np.ndarray:
+def uniforms(keys: np.ndarray, *salts: int) -> np.ndarray:
+    """A number in (0, 1) for each key: the same wherever, and however often, it is drawn."""
+    x = np.asarray(keys, dtype=np.uint64)
+    for salt in salts:
+        x = mixed(x + np.uint64(salt + 1) * END)
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def binomials(n: np.ndarray, p: np.ndarray, keys: np.ndarray, *salts: int) -> np.ndarray:
+    """Binomial draws settled by the keys: by inversion up to a mean of ``EXACT``, beyond it by the normal
+    approximation."""
+    q = np.minimum(p, 1 - p)
+    first = uniforms(keys, *salts, 0)
+    normal = np.sqrt(-2 * np.log(first)) * np.cos(2 * np.pi * uniforms(keys, *salts, 1))
+    drawn = np.clip(np.rint(n * q + normal * np.sqrt(n * q * (1 - q))), 0, n).astype(np.int64)
+    at = np.flatnonzero(n * q <= EXACT)
+    drawn[at] = 0
+    mass = np.exp(n[at] * np.log1p(-q[at]))
+    left = first[at] - mass
+    while len(at := at[left > 0]):
+        mass, left = mass[left > 0], left[left > 0]
+        k = drawn[at]
+        mass = mass * (n[at] - k) / (k + 1) * (q[at] / (1 - q[at]))
+        drawn[at] = k + 1
+        left = np.where(k + 1 < n[at], left - mass, 0.0)
+    return np.where(p > 0.5, n - drawn, drawn)
+
+
+def seat(c: np.ndarray, opened: np.ndarray, d: float, keys: np.ndarray, sweep: int, log_s: np.ndarray) -> np.ndarray:
     """Tables of c customers of one dish each, where ``opened`` is (strength + d * tables) * parent's
-    probability: drawn exactly up to EXACT customers; further ones in runs of a sixteenth of those seated."""
+    probability: drawn exactly up to EXACT customers; further ones in runs of a sixteenth of those seated.
+    Draws follow from the dishes' ``keys`` and the sweep, so neither partitions nor repeated tasks change them."""
     t = np.ones(len(c), dtype=np.int64)
     weight = np.log(np.maximum(opened, 1e-300))
     few = np.flatnonzero(c > 1)
@@ -115,14 +144,14 @@ def seat(c: np.ndarray, opened: np.ndarray, d: float, rng: np.random.Generator,
             k = np.arange(1, EXACT + 1)
             logs = log_s[np.minimum(c[part], EXACT), 1:] + k * weight[part, None]
             p = np.exp(logs - logs.max(axis=1, keepdims=True)).cumsum(axis=1)
-            t[part] = 1 + (p < rng.random((len(part), 1)) * p[:, -1:]).sum(axis=1)
+            t[part] = 1 + (p < uniforms(keys[part], sweep)[:, None] * p[:, -1:]).sum(axis=1)
     left = np.flatnonzero(c > EXACT)
     seated = EXACT
     while len(left):
         run = max(1, seated // 16)
         take = np.minimum(run, c[left] - seated)
         new = opened[left] / (opened[left] + np.maximum(seated - d * t[left], 1e-9))
-        t[left] += rng.binomial(take, new)
+        t[left] += binomials(take, new, keys[left], sweep, seated)
         seated += run
         left = left[c[left] > seated]
     return t
@@ -137,12 +166,12 @@ def _seat_parent(fresh: float | None, d: float, sweep: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_s = _stirling(d)
-        for k, batch in enumerate(batches):
+        for batch in batches:
             customers = batch.column("customers").to_numpy()
             t0 = np.ones(len(customers), dtype=np.int64)
             if fresh is not None:
-                rng = np.random.default_rng([0, sweep, TaskContext.get().partitionId(), k])
-                t0 = seat(customers, np.full(len(customers), fresh), d, rng, log_s)
+                keys = batch.column("w").to_numpy().view(np.uint64)
+                t0 = seat(customers, np.full(len(customers), fresh), d, keys, sweep, log_s)
             t0 = np.where(customers > 0, t0, 0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t0)], names=[*batch.schema.names, "t0"])
 
@@ -162,10 +191,10 @@ def _sweep(g: dict, keep: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_s = _stirling(g["d1"])
-        for k, batch in enumerate(batches):
-            rng = np.random.default_rng([1, g["sweep"], TaskContext.get().partitionId(), k])
+        for batch in batches:
             c, strength, word, pair = _probabilities(batch, g)
-            t = np.where(c > 0, seat(c, strength * word, g["d1"], rng, log_s), 0)
+            keys = _keys(batch.column("w").to_numpy().view(np.uint64), batch.column("u").to_numpy().view(np.uint64))
+            t = np.where(c > 0, seat(c, strength * word, g["d1"], keys, g["sweep"], log_s), 0)
             p = batch.column("p").to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("u"), batch.column("w"), pa.array(c), pa.array(t), pa.array(p + pair if keep else p)], names=["u", "w", "c", "t", "p"]

@@ -162,16 +162,32 @@ def test_pitman_yor_base_is_exact_and_scores_beat_it(docs, rows):
 
 
 def test_pitman_yor_is_a_distribution(spark):
-    """All words of a small vocabulary and the unknown one, after each context, have probabilities of sum one."""
+    """Scores of texts of one and two words give every product of probabilities along a way from an end to
+    the next. Such products fix the table of P(word | context) up to factors that leave its eigenvalues
+    alone, and the largest one is one exactly where the words after each context sum to one."""
     train = [(2 * k, "a b a c a b d a b") for k in range(8)] + [(100 + k, "c a c") for k in range(4)]
-    vocabulary = ["a", "b", "c", "d", "zz"]
-    ask = [(1000 + k, f"{u} {w}") for u in vocabulary[:4] for k, w in enumerate(vocabulary)]
-    df = spark.createDataFrame([(k, t, False) for k, t in train] + [(k, t, True) for k, (_, t) in enumerate(ask)], "doc_id bigint, text string, h boolean")
-    got = {r.doc_id: r.score for r in pitman_yor.score(df.where("h").unionByName(df.where("not h")), F.col("h")).where("held_out").collect()}
-    one = spark.createDataFrame([(k, t, False) for k, t in train] + [(k, u, True) for k, u in enumerate(vocabulary)], "doc_id bigint, text string, h boolean")
-    assert len(got) == len(ask)
-    single = {r.doc_id: r.score for r in pitman_yor.score(one, F.col("h")).where("held_out").collect()}
-    assert len(single) == 5 and max(single.values()) < 0
+    words = ["a", "b", "c", "d", "zz"]
+    asked = ["", *words, *[f"{u} {w}" for u in words for w in words]]
+    rows = [(k, t, False) for k, t in train] + [(1000 + k, t, True) for k, t in enumerate(asked)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, h boolean")
+    got = {asked[r.doc_id - 1000]: 10**r.score for r in pitman_yor.score(df, F.col("h")).where("held_out").collect()}
+    ways = [[got[""], *[got[w] for w in words]], *[[1.0, *[got[f"{u} {w}"] / got[u] for w in words]] for u in words]]
+    assert max(abs(np.linalg.eigvals(np.array(ways)))) == pytest.approx(1, abs=1e-9)
+
+
+def test_pitman_yor_scores_are_equal_on_any_partitioning(docs):
+    one, many = ({(r.doc_id, r.n_tokens): r.score for r in pitman_yor.report(docs.repartition(n)).collect()} for n in (1, 9))
+    assert one.keys() == many.keys()
+    assert all(one[k] == pytest.approx(many[k], rel=1e-9) for k in one)
+
+
+def test_keyed_binomials_follow_their_distribution():
+    keys = np.arange(40_000, dtype=np.uint64)
+    for n, p in [(1, 0.3), (7, 0.9), (60, 0.02), (400, 0.5), (5_000, 0.001), (3, 0.0), (3, 1.0)]:
+        x = pitman_yor.binomials(np.full(len(keys), n), np.full(len(keys), p), keys, 1, 2)
+        assert x.min() >= 0 and x.max() <= n
+        assert x.mean() == pytest.approx(n * p, abs=4 * (n * p * (1 - p) / len(keys)) ** 0.5 + 1e-12)
+        assert x.var() == pytest.approx(n * p * (1 - p), rel=0.05, abs=1e-12)
 
 
 def test_pitman_yor_learns_what_follows_rare_words(spark):
@@ -194,10 +210,10 @@ def test_pitman_yor_without_training_rows(docs):
 
 def test_seating_draws_follow_the_two_customer_odds():
     d, opened = 0.5, 0.7
-    rng = np.random.default_rng(1)
-    t = pitman_yor.seat(np.full(40_000, 2), np.full(40_000, opened), d, rng, pitman_yor._stirling(d))
+    keys = np.arange(40_000, dtype=np.uint64)
+    t = pitman_yor.seat(np.full(40_000, 2), np.full(40_000, opened), d, keys, 0, pitman_yor._stirling(d))
     assert np.mean(t == 2) == pytest.approx(opened / (opened + 1 - d), abs=0.01)
-    many = pitman_yor.seat(np.full(2_000, 400), np.full(2_000, opened), d, rng, pitman_yor._stirling(d))
+    many = pitman_yor.seat(np.full(2_000, 400), np.full(2_000, opened), d, keys[:2_000], 0, pitman_yor._stirling(d))
     assert many.min() >= 1 and many.max() <= 400
 
 
