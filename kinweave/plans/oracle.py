@@ -677,6 +677,27 @@ ORACLE["calendar_sync"] = _sql(
 ORACLE["contacts_sync"] = f"""
     SELECT tenant_id, source_record_id, nullif(text, '') AS chunk_text FROM ({ORACLE["contact_records"]})"""
 
+ORACLE["ingest_order_counters"] = _sql(
+    "people order_rows",
+    """SELECT tenant_id, 'contacts' AS source_type, count(*) FILTER (made AND NOT bad) AS people_created,
+              count(*) FILTER (NOT made AND NOT bad) AS people_matched, count(*) FILTER (NOT bad) AS sources_upserted,
+              count(*) FILTER (NOT bad AND NOT known) AS chunks_embedded, count(*) FILTER (NOT bad AND known) AS chunks_skipped,
+              count(*) FILTER (bad) AS errors, CAST(0 AS BIGINT) AS deletions
+       FROM (SELECT *, o_orderkey % 5 = 0 AS known,
+                    alias_person IS NULL AND email_person IS NULL
+                    AND row_number() OVER (PARTITION BY bad, email, alias_person IS NULL ORDER BY o_orderkey) = 1 AS made
+             FROM (SELECT *, o_orderkey % 13 = 0 AS bad FROM order_rows))
+       GROUP BY tenant_id""",
+)
+ORACLE["sync_all_sources"] = _sql(
+    "people",
+    """SELECT 'gmail' AS source, true AS ok, NULL::VARCHAR AS message, count(*) AS stored
+       FROM (SELECT DISTINCT p.tenant_id, event_id, p.primary_email FROM events JOIN people p ON user_id = p.id)
+       UNION ALL SELECT 'contacts', true, NULL, count(*)
+       FROM (SELECT DISTINCT p.tenant_id, o_orderkey FROM orders JOIN people p ON o_custkey = p.id)
+       UNION ALL SELECT 'calendar', false, 'RuntimeError: no export has landed', 0""",
+)
+
 _AGE = """(CASE WHEN last_synced_at IS NULL THEN NULL
                 WHEN epoch(TIMESTAMP '2024-02-01') - epoch(last_synced_at) < 90 THEN 'just now'
                 WHEN epoch(TIMESTAMP '2024-02-01') - epoch(last_synced_at) < 3600

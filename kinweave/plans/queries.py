@@ -708,6 +708,21 @@ def ingest_counters(spark, d):
     return ingest(part_records(spark, d), people, no_aliases(spark, d), chunks, embed_fn=hashed_words(64)).counters
 
 
+@query
+def ingest_order_counters(spark, d):
+    """Orders through the whole ingest tail: every 13th has raw data that is not JSON, every fifth's text is
+    stored already, and the rest bind by alias, by address or make a person."""
+    records = order_records(spark, d).withColumn(
+        "raw", F.when(F.col("pos") % 13 == 0, F.lit('{"o_orderstatus": ')).otherwise(F.col("raw"))
+    )
+    stored = records.where(F.col("pos") % 5 == 0).select(
+        "tenant_id", "source_type", "source_record_id", F.col("source_record_id").alias("external_id"),
+        F.sha2("text", 256).alias("content_hash"), F.lit(None).cast("string").alias("person_id"),
+        F.col("text").alias("chunk_text"), F.lit(None).cast("array<float>").alias("embedding"),
+    )
+    return ingest(records, views.people(spark, d), views.aliases(spark, d), stored, embed_fn=hashed_words(32)).counters
+
+
 # ---- merging -------------------------------------------------------------------------------------
 
 
