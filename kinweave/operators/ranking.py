@@ -204,21 +204,33 @@ def vector_topk(chunks: DataFrame, questions: DataFrame, k: int = TOP_K) -> Data
     """(qid, chunk_id, score, place): the k nearest chunks of the question's tenant by cosine.
 
     ``chunks`` is (tenant_id, chunk_id, embedding), already restricted to live people;
-    ``questions`` is (tenant_id, qid, embedding). Zero vectors have no cosine and never match.
+    ``questions`` is (tenant_id, qid, embedding). Zero vectors have no cosine and never match, nor do
+    vectors of different lengths, or missing ones.
     """
 
     def prepare(block: pa.Table) -> Callable:
-        vectors = np.array(block.column("embedding").to_pylist(), dtype=np.float64)
-        vectors = vectors.reshape(block.num_rows, -1)
-        lengths = np.sqrt((vectors * vectors).sum(axis=1))
+        widths = pc.list_value_length(block.column("embedding")).fill_null(0).to_numpy()
+        asked = {
+            w: np.array(block.column("embedding").take(pa.array(np.flatnonzero(widths == w))).to_pylist(), dtype=np.float64)
+            for w in np.unique(widths)
+            if w
+        }
 
         def score(batch: pa.RecordBatch) -> np.ndarray:
             column = batch.column("embedding")
-            matrix = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            matrix = matrix.reshape(batch.num_rows, -1)
-            own = np.sqrt((matrix * matrix).sum(axis=1))
-            with np.errstate(invalid="ignore", divide="ignore"):
-                return (matrix @ vectors.T) / (own[:, None] * lengths[None, :])
+            own_widths = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+            out = np.full((batch.num_rows, block.num_rows), np.nan)
+            for width, vectors in asked.items():
+                rows = np.flatnonzero(own_widths == width)
+                if not rows.size:
+                    continue
+                matrix = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+                matrix = matrix.astype(np.float64).reshape(-1, width)
+                lengths = [np.sqrt((m * m).sum(axis=1)) for m in (matrix, vectors)]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    cosine = (matrix @ vectors.T) / (lengths[0][:, None] * lengths[1][None, :])
+                out[np.ix_(rows, np.flatnonzero(widths == width))] = cosine
+            return out
 
         return score
 
@@ -232,10 +244,12 @@ def vector_topk_approximate(
     """As ``vector_topk``, looking only at chunks that fall on the question's side of ``bits`` random
     planes in one of ``tables`` draws. Approximate by its nature; measure it with ``mean_recall``.
 
+    All vectors have the length of the longest question's; others never match.
     A lookup is an equi-join on (tenant, table, bucket). A bucket that holds a large part of the
     chunks is salted, so no task scores more than a bounded number of pairs.
     """
-    dim = len(questions.select("embedding").head()["embedding"])
+    dim = questions.agg(F.max(F.size("embedding"))).head()[0] or 1
+    chunks, questions = (df.where(F.size("embedding") == dim) for df in (chunks, questions))
     planes = np.random.default_rng(seed).normal(size=(dim, tables * bits))
     weights = 1 << np.arange(bits)
 
@@ -273,9 +287,10 @@ def words_topk(chunks: DataFrame, questions: DataFrame, k: int = TOP_K) -> DataF
 
     ``chunks`` has ``chunk_text`` and ``questions`` has ``question``; stems are cut in the JVM and
     whole texts are scored. score = dot / sqrt(|q|^2 |c|^2), with whole-number counts. A tenant's questions
-    of equal stems are searched once, and their hits are joined to each of them.
+    of equal stems are searched once, and their hits are joined to each of them. Missing texts have no stems.
     """
-    bag = F.coalesce(F.array_sort(stems("question")), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    bag = F.coalesce(F.array_sort(stems("question")), none)
     worded = cut_lineage(questions.select("tenant_id", "qid", bag.alias("stems")))
     once = worded.groupBy("tenant_id", "stems").agg(F.min("qid").alias("_first"))
     member = worded.alias("w").join(
@@ -314,7 +329,9 @@ def words_topk(chunks: DataFrame, questions: DataFrame, k: int = TOP_K) -> DataF
         return score
 
     hits = _search(
-        spread_if_small(chunks).select("tenant_id", "chunk_id", stems("chunk_text").alias("stems")),
+        spread_if_small(chunks).select(
+            "tenant_id", "chunk_id", F.coalesce(stems("chunk_text"), none).alias("stems")
+        ),
         once.select("tenant_id", F.col("_first").alias("qid"), "stems"),
         k,
         ["stems"],

@@ -203,3 +203,34 @@ def test_approximate_search_finds_most_of_the_exact_answer(spark):
     exact = ranking.vector_topk(chunks, asked).select("qid", F.col("chunk_id").alias("person_id"))
     near = ranking.vector_topk_approximate(chunks, asked).select("qid", F.col("chunk_id").alias("person_id"))
     assert evaluation.mean_recall(near, exact).first().mean_recall >= 0.9
+
+
+def test_vectors_of_other_lengths_and_missing_ones_match_nothing(spark):
+    vectors = "tenant_id string, chunk_id bigint, embedding array<float>"
+    chunks = spark.createDataFrame(
+        [("a", 1, [1.0, 0.0]), ("a", 2, [1.0, 0.0, 0.0]), ("a", 3, []), ("a", 4, None), ("a", 5, [0.0, 0.0]), ("b", 6, [1.0, 0.0])], vectors
+    )
+    asked = spark.createDataFrame(
+        [("a", 1, [2.0, 0.0]), ("a", 2, [0.0, 3.0, 0.0]), ("a", 3, []), ("a", 4, None), ("c", 5, [1.0, 0.0])], vectors.replace("chunk_id", "qid")
+    )
+    got = sorted((r.qid, r.chunk_id, r.score) for r in ranking.vector_topk(chunks, asked).collect())
+    assert got == [(1, 1, 1.0), (2, 2, 0.0)]
+    assert ranking.vector_topk(chunks, asked.where("false")).isEmpty()
+    assert ranking.vector_topk_approximate(chunks, asked.where("false")).isEmpty()
+    assert {r.chunk_id for r in ranking.vector_topk_approximate(chunks, asked).collect()} <= {2}
+
+
+def test_equal_questions_get_equal_hits_within_their_tenant(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "QUESTIONS_PER_PASS", 2)
+    chunks = spark.createDataFrame(
+        [("a", 1, "planting seeds"), ("a", 2, "seed banks"), (None, 3, "seed"), ("b", 4, None), ("b", 5, "ice")],
+        "tenant_id string, chunk_id bigint, chunk_text string",
+    )
+    asked = spark.createDataFrame(
+        [("a", 1, "seeds plant"), ("a", 2, "plants seed"), ("a", 3, None), ("a", 4, ""), ("b", 5, "seeds plant"), (None, 6, "Seeds"), ("b", 7, "ice")],
+        "tenant_id string, qid bigint, question string",
+    )
+    got = {}
+    for r in ranking.words_topk(chunks, asked).where("score > 0").collect():
+        got.setdefault(r.qid, {})[r.chunk_id] = round(r.score, 6)
+    assert got == {1: {1: 1.0, 2: 0.5}, 2: {1: 1.0, 2: 0.5}, 6: {3: 1.0}, 7: {5: 1.0}}
