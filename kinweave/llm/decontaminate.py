@@ -123,6 +123,8 @@ def mark(
     out = docs.select("*", F.lit(0).cast("bigint").alias(n_words), F.array().cast("array<int>").alias(hits), F.array().cast("array<string>").alias(items))
     width = len(docs.columns)
     at = [c.lower() for c in docs.columns].index(text.lower())
+    names = out.columns
+    out = out.toDF(*[f"c{k}" for k in range(len(names))])  # mapInArrow takes no names with dots
     schema = T.StructType(list(out.schema))
     for block in _blocks(benchmark, item, item_text, window, block_words):
         shared = docs.sparkSession.sparkContext.broadcast(block)
@@ -145,13 +147,13 @@ def mark(
                 )
 
         out = out.mapInArrow(run, schema)
-    return out, n_words, hits, items
+    return out.toDF(*names), n_words, hits, items
 
 
 def without_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents in which no window occurs, with their own columns."""
     out, _, hits, _ = mark(docs, benchmark, **options)
-    return out.where(F.size(hits) == 0).select(*[out[c] for c in docs.columns])
+    return out.where(F.size(hits) == 0).select(*[out[f"`{c}`"] for c in docs.columns])
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -172,7 +174,7 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **o
         return texts.combine(places, lambda t, p: cut(t, list(p)) if len(p) else t)
 
     cleaned = cut_all(F.col(text), F.col(hits))
-    return out.select(*[cleaned.alias(c) if c.lower() == text.lower() else out[c] for c in docs.columns])
+    return out.select(*[cleaned.alias(c) if c.lower() == text.lower() else out[f"`{c}`"] for c in docs.columns])
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

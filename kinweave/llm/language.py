@@ -123,8 +123,9 @@ def identify(docs: DataFrame, content: dict[str, bytes], text: str = "text", mar
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *names])
 
-    schema = docs.select("*", F.lit("").alias(names[0]), F.lit(0.0).alias(names[1]), F.lit(True).alias(names[2])).schema
-    return docs.mapInArrow(run, schema), names
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # mapInArrow takes no names with dots
+    schema = plain.select("*", F.lit("").alias(names[0]), F.lit(0.0).alias(names[1]), F.lit(True).alias(names[2])).schema
+    return plain.mapInArrow(run, schema).toDF(*docs.columns, *names), names
 
 
 def predict(docs: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline
-from kinweave.llm import decontaminate, language, minhash, mixture
+from kinweave.llm import decontaminate, language, minhash, mixture, shard_table, templates
 from tests.llm import plain
 
 SMALL = "/root/testdata/sf0.001"
@@ -67,3 +67,33 @@ def test_near_copies_tell_rows_apart_by_id_and_text(spark):
     assert got.columns == docs.columns
     want = [(1, first), (1, other), (3, long), rows[8], (5, None), (5, None), (6, " "), (None, None), (7, "short")]
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
+
+
+def test_operators_keep_columns_with_the_names_they_use_themselves(spark):
+    names = ["mix_source", "MIX_COPIES", "mix_hash", "_source", "_h", "slot", "Shard", "n_words", "hit_words", "Hit_Items", "a.b"]
+    words = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(20)]
+    docs = spark.createDataFrame(
+        [(k, w, "ab"[k % 2], *[f"{n}{k}" for n in names]) for k, w in enumerate(words)],
+        ", ".join(["doc_id bigint", "text string", "source string", *[f"`{n}` string" for n in names]]),
+    )
+    exam = spark.createDataFrame([("i", " ".join(words[3].split()[5:15]))], "item_id string, text string")
+    extra = lambda rows: {(r["doc_id"], *[r[n] for n in names]) for r in rows}
+    own = extra(docs.collect())
+
+    told, new = language.identify(docs, {})
+    assert told.columns == [*docs.columns, *new] and extra(told.collect()) == own
+    mixed = mixture.mix(docs)
+    assert mixed.columns == docs.columns and extra(mixed.collect()) <= own
+    placed, slot, shard = shard_table.place(docs)
+    assert placed.columns[: len(docs.columns)] == docs.columns and not {slot.lower(), shard.lower()} & {n.lower() for n in names}
+    assert extra(placed.collect()) == own
+    clean = decontaminate.without_documents(docs, exam)
+    assert clean.columns == docs.columns and extra(clean.collect()) == {r for r in own if r[0] != 3}
+
+
+def test_pages_and_benchmark_may_be_empty(spark):
+    pages, exam, docs = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("pages", "benchmark", "documents"))
+    assert templates.extract(pages.where("false")).isEmpty()
+    assert decontaminate.report(docs.where("false"), exam).isEmpty()
+    got = decontaminate.report(docs.where("doc_id < 20"), exam.where("false")).collect()
+    assert got and all((r.n_hit, r.n_items, r.contaminated) == (0, 0, False) and r.n_words > 0 for r in got)
