@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -234,3 +235,35 @@ def test_equal_questions_get_equal_hits_within_their_tenant(spark, monkeypatch):
     for r in ranking.words_topk(chunks, asked).where("score > 0").collect():
         got.setdefault(r.qid, {})[r.chunk_id] = round(r.score, 6)
     assert got == {1: {1: 1.0, 2: 0.5}, 2: {1: 1.0, 2: 0.5}, 6: {3: 1.0}, 7: {5: 1.0}}
+
+
+@pytest.mark.parametrize("share, cells", [(0.0, 40), (0.01, 4_000_000), (2.0, 1)])
+def test_word_search_equals_sorting_everything(spark, monkeypatch, share, cells):
+    """Dense and listed stems, several passes and pieces; the texts' stems are cut once, whatever the passes."""
+    monkeypatch.setattr(ranking, "QUESTIONS_PER_PASS", 12)
+    monkeypatch.setattr(ranking, "CELLS_PER_PIECE", cells)
+    monkeypatch.setattr(ranking, "DENSE_SHARE", share)
+    rng = random.Random(5)
+    words = [f"w{i}x" for i in range(40)]
+
+    def text(longest):
+        return " ".join(words[min(39, int(rng.expovariate(0.15)))] for _ in range(rng.randint(0, longest)))
+
+    chunks = [("a" if i % 3 else "b", i, text(30)) for i in range(150)]
+    asked = [("a" if i % 2 else "b", i, text(8)) for i in range(40)]
+    found = ranking.words_topk(
+        spark.createDataFrame(chunks, "tenant_id string, chunk_id bigint, chunk_text string").repartition(2),
+        spark.createDataFrame(asked, "tenant_id string, qid bigint, question string"),
+        5,
+    )
+    assert "regexp_extract_all" not in found._jdf.queryExecution().toString()
+    expected = {}
+    for tenant, q, question in asked:
+        own, scored = Counter(question.split()), []
+        for t, c, body in chunks:
+            bag = Counter(body.split())
+            if t == tenant and own and bag:
+                dot = sum(n * bag[w] for w, n in own.items())
+                scored.append((-dot / np.sqrt(float(sum(n * n for n in own.values()) * sum(n * n for n in bag.values()))), c))
+        expected.update({(q, place): (c, -s) for place, (s, c) in enumerate(sorted(scored)[:5], 1)})
+    assert {(r.qid, r.place): (r.chunk_id, r.score) for r in found.collect()} == expected
