@@ -27,12 +27,30 @@ def recall_per_question(hits: DataFrame, relevant: DataFrame) -> DataFrame:
     )
 
 
-def mean_recall(hits: DataFrame, relevant: DataFrame) -> DataFrame:
-    return recall_per_question(hits, relevant).agg(
-        F.count("*").alias("questions"), F.avg("recall").alias("mean_recall")
+def recall_in_groups(hits: DataFrame, asked: DataFrame, members: DataFrame, group: list[str]) -> DataFrame:
+    """``recall_per_question`` where the expected people of a question are whole groups: ``asked`` is
+    (qid, group..), ``members`` (group.., person_id), a person in one group only. Groups are counted and
+    only hits are looked up in them, so questions and people are not multiplied."""
+    people = members.select(*group, "person_id").distinct()
+    wanted = asked.select("qid", *group).distinct()
+    sizes = people.groupBy(*group).agg(F.count("*").alias("_size"))
+    relevant = wanted.join(sizes, group).groupBy("qid").agg(F.sum("_size").alias("relevant"))
+    got = hits.select("qid", "person_id").distinct().join(people, "person_id").join(wanted, ["qid", *group])
+    return (
+        relevant.join(got.groupBy("qid").agg(F.count("*").alias("_found")), "qid", "left")
+        .select("qid", "relevant", F.coalesce("_found", F.lit(0).cast("bigint")).alias("found"))
+        .withColumn("recall", F.col("found") / F.col("relevant"))
     )
 
 
+def mean_recall(hits: DataFrame, relevant: DataFrame) -> DataFrame:
+    return mean_of(recall_per_question(hits, relevant))
+
+
+def mean_of(recalls: DataFrame) -> DataFrame:
+    return recalls.agg(F.count("*").alias("questions"), F.avg("recall").alias("mean_recall"))
+
+
 def answered_zero_questions(hits: DataFrame, zero_questions: DataFrame) -> DataFrame:
     """Hits of questions that must match nobody; empty when all is well."""
     return hits.join(zero_questions.select("qid").distinct(), "qid", "left_semi")

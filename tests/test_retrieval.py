@@ -267,3 +267,15 @@ def test_word_search_equals_sorting_everything(spark, monkeypatch, share, cells)
                 scored.append((-dot / np.sqrt(float(sum(n * n for n in own.values()) * sum(n * n for n in bag.values()))), c))
         expected.update({(q, place): (c, -s) for place, (s, c) in enumerate(sorted(scored)[:5], 1)})
     assert {(r.qid, r.place): (r.chunk_id, r.score) for r in found.collect()} == expected
+
+
+def test_recall_in_groups_equals_recall_per_question(spark):
+    rng = random.Random(8)
+    members = spark.createDataFrame([(rng.choice("stu"), rng.choice(["x", "y", None]), i) for i in range(60)], "tenant_id string, company string, person_id bigint")
+    asked = spark.createDataFrame([(f"q{i % 25}", t, c) for i, t, c in ((i, "stuv"[i % 4], "xy"[i % 2]) for i in range(25))] + [("q0", "s", "x")], "qid string, tenant_id string, company string")
+    hits = spark.createDataFrame([(f"q{rng.randrange(30)}", rng.randrange(70)) for _ in range(300)], "qid string, person_id bigint")
+    group = ["tenant_id", "company"]
+    expected = evaluation.recall_per_question(hits, asked.join(members, group))
+    got = evaluation.recall_in_groups(hits, asked, members, group)
+    assert sorted(got.collect()) == sorted(expected.collect()) and expected.count() > 10
+    assert evaluation.mean_of(got).first().mean_recall == pytest.approx(evaluation.mean_recall(hits, asked.join(members, group)).first().mean_recall)
