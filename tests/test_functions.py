@@ -217,3 +217,15 @@ def test_plain_headers_are_read_like_all_others():
         expected = [(n.strip() or None, a.strip()) for n, a in getaddresses([header]) if "@" in (a or "")]
         assert split_header(header) == expected, header
     assert plain > 500
+
+
+def test_words_without_an_address_need_no_mail_parser(monkeypatch):
+    from email.utils import getaddresses
+
+    from kinweave.functions import addresses
+
+    header = 'ME@T.EXAMPLE,nobody,a.b, "Kay, R" <K@x.example>,team-1'
+    expected = [(name or None, address) for name, address in getaddresses([header]) if "@" in address]
+    monkeypatch.setattr(addresses, "getaddresses", None)
+    assert addresses.split_header(header) == expected == [(None, "ME@T.EXAMPLE"), ("Kay, R", "K@x.example")]
+    assert addresses.split_header("nobody") == []
