@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.text import blank_to_null, headline, stable_id, strip
 from kinweave.schemas import to_record
+from kinweave.session import spread_if_small
 
 SOURCE_TYPE = "linkedin"
 # The first header cell, and the columns that are read.
@@ -53,23 +54,24 @@ def _rows(content: str) -> Iterator[dict]:
 
 def export_rows(exports: DataFrame) -> DataFrame:
     """Cells of every row below the header. Quoted cells may span lines, so a file is read as a whole;
-    its rows leave in batches and everything after the split is column expressions."""
+    its rows leave in batches, those of many small files together, and everything after the split is column
+    expressions."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[dict] = []
         for pdf in batches:
             for tenant, file, content in zip(pdf["tenant_id"], pdf["file"], pdf["content"]):
-                rows: list[dict] = []
                 for row in _rows(content or ""):
                     rows.append({"tenant_id": tenant, "file": file, **row})
                     if len(rows) == 10_000:
                         yield pd.DataFrame(rows)
                         rows = []
-                if rows:
-                    yield pd.DataFrame(rows)
+        if rows:
+            yield pd.DataFrame(rows)
 
     cells = ", ".join(f"`{n}` STRING" for n in COLUMNS)
     kind = exports.schema["tenant_id"].dataType.simpleString()
-    return exports.select("tenant_id", "file", "content").mapInPandas(
+    return spread_if_small(exports.select("tenant_id", "file", "content")).mapInPandas(
         task, f"tenant_id {kind}, file STRING, line BIGINT, {cells}"
     )
 

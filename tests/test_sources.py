@@ -152,3 +152,11 @@ def test_tenants_are_kept_apart(spark):
     assert governance.check_tenant_write(people.where("tenant_id = 'a'"), "a").count() == 1
     with pytest.raises(PySparkException):
         governance.check_tenant_write(people, "a").collect()
+
+
+def test_small_exports_are_read_by_all_tasks(spark):
+    content = "First Name,Last Name,Email Address\nAnn,Lee,ann@x.example\nBo,Ray,\n"
+    exports = spark.createDataFrame([("t", f"f{i}", content) for i in range(60)], "tenant_id string, file string, content string").coalesce(1)
+    rows = connections.export_rows(exports)
+    assert rows.rdd.getNumPartitions() >= 4
+    assert rows.count() == 120 and rows.where("line = 1 and `first name` = 'Bo'").select("file").distinct().count() == 60
