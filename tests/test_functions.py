@@ -229,3 +229,12 @@ def test_words_without_an_address_need_no_mail_parser(monkeypatch):
     monkeypatch.setattr(addresses, "getaddresses", None)
     assert addresses.split_header(header) == expected == [(None, "ME@T.EXAMPLE"), ("Kay, R", "K@x.example")]
     assert addresses.split_header("nobody") == []
+
+
+def test_term_weights_move_texts_only(spark):
+    rows = [(1, "red shoes red"), (1, "blue shoes"), (2, None), (3, ""), (None, "red")]
+    out = words.term_weights(spark.createDataFrame(rows, "id INT, text STRING"), ["id"], "text")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    got = sorted((r.id or 0, r.stem, r.tf, round(r.weight, 6)) for r in out.collect())
+    assert got == [(0, "red", 1, 1.0), (1, "blue", 1, 0.333333), (1, "red", 2, 0.666667), (1, "sho", 2, 0.666667)]
