@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -238,3 +239,34 @@ def test_term_weights_move_texts_only(spark):
     assert plan.count("Exchange hashpartitioning") == 1
     got = sorted((r.id or 0, r.stem, r.tf, round(r.weight, 6)) for r in out.collect())
     assert got == [(0, "red", 1, 1.0), (1, "blue", 1, 0.333333), (1, "red", 2, 0.666667), (1, "sho", 2, 0.666667)]
+
+
+def test_compiled_headers_are_read_like_all_others(spark):
+    from pyspark.sql import functions as F
+
+    from kinweave.functions.addresses import is_ascii_header, split_header, with_addresses
+
+    rng = random.Random(2)
+    parts = ["Ann", "Ann Lee", '"Lee, Ann"', '"A#1"', "<a@b.c>", "<a.b+c@d-e.org>", "a@b.c", "A_b@c", ",", ", ", " ", "nobody", '"', "(c)", "<", '"x" <y@z.w>', "Bo <bo@x.y>", "\u00e9@x.y", "\n", '"\u00e9" <e@x.y>']
+    headers = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) for _ in range(3000)]
+    headers += [", ".join(["a@b.c"] * 5000), "a@b.c\n", "", None]
+    frame = spark.createDataFrame([(i, h) for i, h in enumerate(headers)], "i INT, h STRING").withColumn("none", F.lit(None).cast("string"))
+    out = with_addresses(frame, "h", "none", "h").withColumn("plain", is_ascii_header(F.col("h"))).collect()
+    for row in out:
+        pairs = split_header(row.h)
+        assert [(a.role, a.name, a.email) for a in row.addresses] == [("from", *p) for p in pairs] + [("cc", *p) for p in pairs], row.h
+    assert sum(r.plain for r in out) > 100 and sum(not r.plain for r in out) > 100
+
+
+def test_ascii_names_and_blanks_are_normalised_like_all_others(spark):
+    from kinweave.functions.text import normalize_name, strip
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aB1_ #.\t\x1c-@~!") for _ in range(rng.randint(0, 9))) for _ in range(3000)] + [None]
+    frame = spark.createDataFrame([(t, None if t is None else t + "\u00e9") for t in texts], "t STRING, u STRING")
+    got = frame.select("t", strip("t").alias("s"), normalize_name("t").alias("n"), normalize_name("u").alias("m"), strip("u").alias("v")).collect()
+    for r in got:
+        text = r.t or ""
+        assert r.s == (None if r.t is None else text.strip())
+        assert r.n == " ".join(re.sub(r"[^\w\s]", " ", text.lower()).split())
+        assert r.m == (" ".join(re.sub(r"[^\w\s]", " ", (text + "\u00e9").lower()).split()) if r.t is not None else "")
