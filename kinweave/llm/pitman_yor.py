@@ -4,16 +4,20 @@ Every word, and the end of a text, is a context with a restaurant of its own, in
 sit; all restaurants share one parent, the restaurant of single words, whose base is uniform over the known
 words and one unknown. A table opened in a context sends a customer to the parent.
 
-One row per distinct pair of neighbours holds its customers and tables; pairs of held-out texts alone are rows
-without customers, so that they get a score as well. A sweep sums tables by context and by word, joins both
+A pair of neighbours that occurs once in all texts that are learned from has one table in every sweep. So
+sweeps run over the pairs that occur more often; of the others only their number by context and by word is kept,
+and those that held-out texts hold as well stay as rows. A sweep sums tables by context and by word, joins both
 sums to the pairs, and seats every pair anew. Nothing is sized by the words of the corpus outside these tables. Given
 the other words' tables, a word with c customers in a context opens t tables with a probability that weighs
 all its seatings with t tables (generalised Stirling numbers), and that is drawn at once; beyond ``EXACT``
 customers the rest are seated in runs of a sixteenth. Draws are hashes of pair and sweep, the same on any
 partitioning. Pair probabilities of the sweeps after the first ``BURN`` are averaged.
 
-Texts are cut into chunks of a few million bytes. A chunk sends each bucket of pairs their occurrences once,
-and gets sums per document back. Pairs with a share of over ``HOT_SHARE`` are scored within the chunk.
+Texts are scored in two passes. In the first, groups of texts get the facts of their words, and score each pair as
+one that occurs once where they are learned from, and as one that never does where they are held out. In the
+second, chunks of a few million bytes send each bucket of pairs their occurrences once, and get back, by document,
+by how much the pairs that have rows differ from that. Pairs with a share of over ``HOT_SHARE`` are settled within
+the chunk. Each step's table is deleted when the next one is written, and shuffle files when their step ends.
 """
 
 from __future__ import annotations
@@ -29,16 +33,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import coded_words, hashes, id_remainder, mixed, slices
-from kinweave.session import cut_lineage
+from kinweave.session import cut_lineage, dropped, shuffles_cleared
 
 HOT_SHARE = 1e-4
 BURN = 1
 SWEEPS = 3
 EXACT = 32
 STRENGTH = 1.0
-#: Bytes of text in a chunk, and pairs in a bucket.
+#: Bytes of text in a chunk, bytes of all texts per bucket, and most documents in a chunk.
 CHUNK = 8 << 20
-PAIRS = 1 << 20
+SHARE = 16 << 20
+MOST_DOCS = 16_000
+#: So many buckets share the pairs of a context, so that no frequent word makes one large bucket.
+SPLIT = 16
 #: The word that ends each text, and the context of the first word of the next.
 END = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,16 +88,81 @@ def _buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per chunk its distinct pairs, with how often they occur in texts that are learned from."""
-    for batch in slices(batches, 1, CHUNK):
-        words, doc, before = _tokens(batch.column(1))
-        learned = ~pc.fill_null(batch.column(2), True).to_numpy(zero_copy_only=False)
-        order = np.argsort(_keys(words, before), kind="stable")
-        words, before, n = words[order], before[order], learned[doc[order]].astype(np.int64)
-        at = _runs(words, before)
-        n = np.add.reduceat(n, at) if len(at) else n
-        yield pa.RecordBatch.from_arrays([pa.array(_signed(before[at])), pa.array(_signed(words[at])), pa.array(n)], names=["u", "w", "c"])
+def _lists(values: np.ndarray, edges: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """A list for each stretch between edges."""
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values, kind))
+
+
+def _flat(table: pa.Table, name: str) -> np.ndarray:
+    return pa.concat_arrays([c.flatten() for c in table.column(name).chunks]).to_numpy() if table.num_rows else np.empty(0, np.int64)
+
+
+def _count(buckets: int):
+    """Per chunk and bucket its distinct pairs by context; twice how often they occur in texts that are learned
+    from, and one more if held-out texts hold them."""
+    ranges = -(-buckets // SPLIT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1, CHUNK):
+            words, doc, before = _tokens(batch.column(1))
+            learned = ~pc.fill_null(batch.column(2), True).to_numpy(zero_copy_only=False)
+            order = np.argsort(_keys(words, before))
+            words, before, n = words[order], before[order], learned[doc[order]].astype(np.int64)
+            at = _runs(words, before)
+            if not len(at):
+                continue
+            every = np.diff(np.append(at, len(words)))
+            n = np.add.reduceat(n, at)
+            words, before, code = words[at], before[at], 2 * n + (every > n)
+            bucket = _buckets(mixed(before), ranges).astype(np.int64) * SPLIT + (mixed(words) >> np.uint64(60)).astype(np.int64)
+            order = np.lexsort((before, bucket))
+            words, before, code, bucket = words[order], before[order], code[order], bucket[order]
+            at, own = _runs(bucket, before), _runs(bucket)
+            edges = np.append(own, len(bucket))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(bucket[own], pa.int32()),
+                    _lists(_signed(before[at]), np.searchsorted(at, edges), pa.int64()),
+                    _lists(np.diff(np.append(at, len(bucket))), np.searchsorted(at, edges), pa.int32()),
+                    _lists(_signed(words), edges, pa.int64()),
+                    _lists(code, edges, pa.int32()),
+                ],
+                names=["bucket", "u", "runs", "w", "code"],
+            )
+
+    return run
+
+
+COUNTS = "bucket int, u array<bigint>, runs array<int>, w array<bigint>, code array<int>"
+PARTS = "u bigint, w bigint, c bigint, cw bigint, one_w bigint, cu bigint, one_u bigint"
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """A bucket's pairs that need rows, and rows without ``w`` that say how many customers, and pairs with one
+    customer, each word has in it: as a word, and as a context."""
+    u, w, code = np.repeat(_flat(table, "u"), _flat(table, "runs")), _flat(table, "w"), _flat(table, "code")
+    order = np.argsort(_keys(w.view(np.uint64), u.view(np.uint64)))
+    u, w, code = u[order], w[order], code[order].astype(np.int64)
+    at = _runs(u, w)
+    c, held = np.add.reduceat(code >> 1, at), np.logical_or.reduceat(code & 1, at)
+    u, w = u[at], w[at]
+    need = (c > 1) | ((c == 1) & held)
+    none = np.zeros(0, dtype=np.int64)
+    columns = [[u[need]], [w[need]], [c[need]], [none], [none], [none], [none]]
+    for words, own in ((w, 3), (u, 5)):
+        order = np.argsort(words)
+        at = _runs(words[order])
+        columns[0].append(words[order][at])
+        for k in (3, 5):
+            columns[k].append(np.add.reduceat(c[order], at) if k == own else np.zeros(len(at), np.int64))
+            columns[k + 1].append(np.add.reduceat((c[order] == 1).astype(np.int64), at) if k == own else np.zeros(len(at), np.int64))
+    sums = [np.concatenate(x) for x in columns]
+    rows, more = int(need.sum()), len(sums[0]) - int(need.sum())
+    empty = lambda n: pa.nulls(n, pa.int64())
+    return pa.Table.from_arrays(
+        [pa.array(sums[0]), *[pa.chunked_array([pa.array(x), empty(more)]) for x in sums[1:3]], *[pa.chunked_array([empty(rows), pa.array(x)]) for x in sums[3:]]],
+        names=["u", "w", "c", "cw", "one_w", "cu", "one_u"],
+    )
 
 
 def _stirling(d: float) -> np.ndarray:
@@ -139,10 +211,11 @@ def seat(c: np.ndarray, opened: np.ndarray, d: float, keys: np.ndarray, sweep: i
     t = np.ones(len(c), dtype=np.int64)
     weight = np.log(np.maximum(opened, 1e-300))
     few = np.flatnonzero(c > 1)
+    few = few[np.argsort(c[few], kind="stable")]  # so that a part is as wide as its own customers ask for
     for part in np.array_split(few, len(few) // 50_000 + 1):
         if len(part):
-            k = np.arange(1, EXACT + 1)
-            logs = log_s[np.minimum(c[part], EXACT), 1:] + k * weight[part, None]
+            k = np.arange(1, min(EXACT, c[part[-1]]) + 1)
+            logs = log_s[np.minimum(c[part], EXACT), 1 : len(k) + 1] + k * weight[part, None]
             p = np.exp(logs - logs.max(axis=1, keepdims=True)).cumsum(axis=1)
             t[part] = 1 + (p < uniforms(keys[part], sweep)[:, None] * p[:, -1:]).sum(axis=1)
     left = np.flatnonzero(c > EXACT)
@@ -157,8 +230,8 @@ def seat(c: np.ndarray, opened: np.ndarray, d: float, keys: np.ndarray, sweep: i
     return t
 
 
-STATE = "u bigint, w bigint, c bigint, t bigint, p double"
-SCORES = "bucket int, key bigint, c bigint, known boolean, score double, base double"
+STATE = "u bigint, w bigint, c bigint, t bigint, seated bigint"
+SCORES = "bucket int, key bigint, c bigint, learned double, held double"
 
 
 def _seat_parent(fresh: float | None, d: float, sweep: int):
@@ -167,54 +240,50 @@ def _seat_parent(fresh: float | None, d: float, sweep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_s = _stirling(d)
         for batch in batches:
-            customers = batch.column("customers").to_numpy()
+            customers = batch.column(f"k{sweep}").to_numpy()
             t0 = np.ones(len(customers), dtype=np.int64)
             if fresh is not None:
-                keys = batch.column("w").to_numpy().view(np.uint64)
+                keys = batch.column("x").to_numpy().view(np.uint64)
                 t0 = seat(customers, np.full(len(customers), fresh), d, keys, sweep, log_s)
             t0 = np.where(customers > 0, t0, 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t0)], names=[*batch.schema.names, "t0"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t0)], names=[*batch.schema.names, f"z{sweep}"])
 
     return run
 
 
-def _probabilities(batch: pa.RecordBatch, g: dict) -> tuple[np.ndarray, ...]:
-    """Each pair's customers, its context's weight of the parent, and the word's and the pair's probability."""
-    c, t, cu, tu, customers, t0 = (batch.column(n).to_numpy() for n in ("c", "t", "cu", "tu", "customers", "t0"))
-    word = (customers - g["d0"] * t0 + g["fresh"]) / (STRENGTH + g["C0"])
-    strength = STRENGTH + g["d1"] * tu
-    return c, strength, word, (c - g["d1"] * t + strength * word) / (STRENGTH + cu)
+def _word(customers: np.ndarray, t0: np.ndarray, g: dict) -> np.ndarray:
+    """The parent's probability of a word."""
+    return (customers - g["d0"] * t0 + g["fresh"]) / (STRENGTH + g["C0"])
 
 
 def _sweep(g: dict, keep: bool):
-    """One pass: the pair's probability under the state it was given, then a new seating."""
+    """One pass: a new seating, and the sum of those before it that count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_s = _stirling(g["d1"])
         for batch in batches:
-            c, strength, word, pair = _probabilities(batch, g)
+            c, t, seated, tu, customers, t0 = (batch.column(n).to_numpy() for n in ("c", "t", "seated", "tu", "customers", "t0"))
             keys = _keys(batch.column("w").to_numpy().view(np.uint64), batch.column("u").to_numpy().view(np.uint64))
-            t = np.where(c > 0, seat(c, strength * word, g["d1"], keys, g["sweep"], log_s), 0)
-            p = batch.column("p").to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("u"), batch.column("w"), pa.array(c), pa.array(t), pa.array(p + pair if keep else p)], names=["u", "w", "c", "t", "p"]
-            )
+            new = seat(c, (STRENGTH + g["d1"] * tu) * _word(customers, t0, g), g["d1"], keys, g["sweep"], log_s)
+            columns = [batch.column("u"), batch.column("w"), batch.column("c"), pa.array(new), pa.array(seated + t if keep else seated)]
+            yield pa.RecordBatch.from_arrays(columns, names=["u", "w", "c", "t", "seated"])
 
     return run
 
 
-def _last(g: dict, buckets: int):
-    """The last sweep's probability, and the scores of the pair."""
+def _last(sweeps: list[dict], buckets: int):
+    """By how much the log of a pair's probability is above that of a pair that occurs once, and of one that never does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = sweeps[0]["d1"]
         for batch in batches:
-            c, _, _, pair = _probabilities(batch, g)
-            cw = batch.column("cw").to_numpy()
-            key = _keys(batch.column("w").to_numpy().view(np.uint64), batch.column("u").to_numpy().view(np.uint64))
-            score = np.log10((batch.column("p").to_numpy() + pair) / SWEEPS)
-            base = np.log10((cw + 0.1) / (g["N"] + 0.1 * (g["V"] + 1)))
-            columns = (_buckets(key, buckets), _signed(key), c, cw > 0, score, base)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["bucket", "key", "c", "known", "score", "base"])
+            col = lambda n: batch.column(n).to_numpy()  # noqa: B023, E731
+            key = _keys(col("w").view(np.uint64), col("u").view(np.uint64))
+            rest = sum((STRENGTH + d * col(f"s{g['sweep']}")) * _word(col(f"k{g['sweep']}"), col(f"z{g['sweep']}"), g) for g in sweeps)
+            own = SWEEPS * col("c") - d * (col("seated") + col("t"))
+            log = np.log10(own + rest)
+            columns = (_buckets(key, buckets), _signed(key), col("c"), log - np.log10(SWEEPS * (1 - d) + rest), log - np.log10(rest))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["bucket", "key", "c", "learned", "held"])
 
     return run
 
@@ -223,133 +292,258 @@ def _discount(one: int, two: int) -> float:
     return min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
 
 
-def _scored(hot, buckets: int):
-    """Documents and occurrences: rows of kind 0 carry a chunk's documents and what was scored at once, the
-    others a bucket's pairs with documents."""
+def _numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``_tokens`` returns, words as places in the sorted distinct hashes; and those."""
+    codes, bounds, known = coded_words(texts)
+    hashed = hashes(known)
+    distinct = np.unique(np.append(hashed, END))
+    n = np.diff(bounds) + 1
+    end = np.searchsorted(distinct, END)
+    words = np.full(len(codes) + len(n), end)
+    inner = np.ones(len(words), dtype=bool)
+    inner[np.cumsum(n) - 1] = False
+    words[inner] = np.searchsorted(distinct, hashed)[codes]
+    return words, np.repeat(np.arange(len(n)), n), np.concatenate([[end], words[:-1]]), distinct
+
+
+def _text(table: pa.Table) -> pa.Array:
+    return pa.concat_arrays(table.column("text").chunks)
+
+
+def _ask_words(buckets: int):
+    """A group's distinct words for each bucket of words; sorted words have sorted buckets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        *_, distinct = _numbered(_text(table))
+        bucket = _buckets(distinct, buckets)
+        own = _runs(bucket)
+        group = pa.array([table.column("part")[0].as_py()] * len(own), pa.int64())
+        return pa.Table.from_arrays([pa.array(bucket[own]), group, _lists(_signed(distinct), np.append(own, len(bucket)), pa.int64())], names=["bucket", "part", "words"])
+
+    return run
+
+
+def _tell_words(facts: list[str]):
+    """The facts of the words each group asked for, in its order."""
+
+    def run(asked: pa.Table, words: pa.Table) -> pa.Table:
+        x = words.column("x").to_numpy().view(np.uint64)
+        order = np.argsort(x)
+        flat = _flat(asked, "words").view(np.uint64)
+        at = order[np.searchsorted(x[order], flat)] if len(flat) else np.empty(0, np.int64)
+        lengths = pc.list_value_length(asked.column("words")).to_numpy()
+        edges = np.concatenate([[0], np.cumsum(lengths)])
+        told = [_lists(words.column(f).to_numpy()[at], edges, pa.int64()) for f in facts]
+        return pa.Table.from_arrays([asked.column("bucket"), asked.column("part"), *told], names=["bucket", "part", *facts])
+
+    return run
+
+
+def _score_group(sweeps: list[dict], facts: list[str]):
+    """Documents of a group, their pairs taken as those that occur once or never."""
+
+    def run(table: pa.Table, told: pa.Table) -> pa.Table:
+        g, n_docs = sweeps[0], table.num_rows
+        w, doc, u, distinct = _numbered(_text(table))
+        told = told.sort_by("bucket")
+        fact = {f: _flat(told, f) for f in facts}
+        rest = np.zeros(len(w))
+        for x in sweeps:
+            k = x["sweep"]
+            rest += ((STRENGTH + g["d1"] * fact[f"s{k}"])[u]) * _word(fact[f"k{k}"], fact[f"z{k}"], x)[w]
+        held = pc.fill_null(table.column("held_out"), True).to_numpy()
+        once = np.where(held, 0.0, SWEEPS * (1 - g["d1"]))[doc]
+        score = np.log10((once + rest) / (SWEEPS * (STRENGTH + fact["cu"][u])))
+        base = np.log10((fact["cw"] + 0.1) / (g["N"] + 0.1 * (g["V"] + 1)))[w]
+        sums = [np.bincount(doc, x, n_docs) for x in (base, score)]
+        known = np.bincount(doc, fact["cw"][w] > 0, n_docs).astype(np.int64)
+        out = [table.column("doc_id"), table.column("version"), table.column("held_out"), pa.array(np.bincount(doc, minlength=n_docs)), pa.array(known), *map(pa.array, sums)]
+        return pa.Table.from_arrays(out, names=["doc_id", "version", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return run
+
+
+GROUPED = "doc_id bigint, version bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+
+
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 1, CHUNK):
+        for start in range(0, batch.num_rows, MOST_DOCS):
+            yield batch.slice(start, MOST_DOCS)
+
+
+def _asked(hot, buckets: int):
+    """Documents and occurrences: rows of kind 0 carry a chunk's documents and what was settled at once, the
+    others a bucket's pairs with documents, each numbered twice over, and one more if it is held out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = hot.value
         part = TaskContext.get().partitionId()
-        for k, batch in enumerate(slices(batches, 1, CHUNK)):
+        for k, batch in enumerate(_few(batches)):
             words, doc, before = _tokens(batch.column(1))
             n_docs = batch.num_rows
+            held = pc.fill_null(batch.column(2), True).to_numpy(zero_copy_only=False)
             chunk = (part << 32) + k
             # what a few broadcast pairs settle stays here
             key = _keys(words, before)
-            at = np.minimum(np.searchsorted(g["hot"], key), max(0, len(g["hot"]) - 1))
-            done = g["hot"][at] == key if len(g["hot"]) else np.zeros(len(key), dtype=bool)
-            score = np.bincount(doc[done], g["hot_score"][at[done]], n_docs)
-            base = np.bincount(doc[done], g["hot_base"][at[done]], n_docs)
-            known = np.bincount(doc[done], minlength=n_docs)
-            total = np.bincount(doc, minlength=n_docs)
-            key, doc = key[~done], doc[~done]
+            up = np.zeros(n_docs)
+            if len(g["hot"]):
+                at = np.minimum(np.searchsorted(g["hot"], key), len(g["hot"]) - 1)
+                done = g["hot"][at] == key
+                up = np.bincount(doc[done], np.where(held[doc[done]], g["hot_held"][at[done]], g["hot_learned"][at[done]]), n_docs)
+                key, doc = key[~done], doc[~done]
             order = np.argsort(key, kind="stable")
             key, doc = key[order], doc[order]
             at = _runs(key, doc)
             n = np.diff(np.append(at, len(key)))
             key, doc = key[at], doc[at]
-            edges = np.searchsorted(_buckets(key, buckets), np.arange(buckets + 1))
-            rows = [(b, slice(edges[b], edges[b + 1])) for b in range(buckets) if edges[b] < edges[b + 1]]
-            none = [None] * len(rows)
-            first = [_runs(key[s]) for _, s in rows]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([chunk % buckets, *[b for b, _ in rows]], pa.int32()),
-                    pa.array([chunk] * (len(rows) + 1), pa.int64()),
-                    pa.array([None, *[_signed(key[s][f]) for (_, s), f in zip(rows, first, strict=True)]], pa.list_(pa.int64())),
-                    pa.array([None, *[np.diff(np.append(f, s.stop - s.start)).astype(np.int32) for (_, s), f in zip(rows, first, strict=True)]], pa.list_(pa.int32())),
-                    pa.array([np.arange(n_docs, dtype=np.int32), *[doc[s].astype(np.int32) for _, s in rows]], pa.list_(pa.int32())),
-                    pa.array([total.astype(np.int32), *[n[s].astype(np.int32) for _, s in rows]], pa.list_(pa.int32())),
-                    pa.array([batch.column(0).to_pylist(), *none], pa.list_(pa.int64())),
-                    pa.array([batch.column(2).to_pylist(), *none], pa.list_(pa.bool_())),
-                    pa.array([known, *none], pa.list_(pa.int64())),
-                    pa.array([score, *none], pa.list_(pa.float64())),
-                    pa.array([base, *none], pa.list_(pa.float64())),
-                ],
-                names=["bucket", "chunk", "keys", "runs", "docs", "n", "ids", "held", "known", "score", "base"],
-            )
+            first, bucket = _runs(key), _buckets(key, buckets)
+            own = _runs(bucket)
+            edges = np.append(own, len(key))
+            firsts = np.searchsorted(first, edges)
+            code = 2 * doc + held[doc]
+            names = ["bucket", "chunk", "keys", "runs", "docs", "n", "ids", "versions", "held", "up"]
+            if len(own):
+                columns = [
+                    pa.array(bucket[own]),
+                    pa.array([chunk] * len(own), pa.int64()),
+                    _lists(_signed(key[first]), firsts, pa.int64()),
+                    _lists(np.diff(np.append(first, len(key))), firsts, pa.int32()),
+                    _lists(code, edges, pa.int16()),
+                    _lists(n, edges, pa.int32()),
+                    *[pa.nulls(len(own), pa.list_(x)) for x in (pa.int64(), pa.int64(), pa.bool_(), pa.float64())],
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+            columns = [
+                pa.array([chunk % buckets], pa.int32()),
+                pa.array([chunk], pa.int64()),
+                *[pa.nulls(1, pa.list_(x)) for x in (pa.int64(), pa.int32(), pa.int16(), pa.int32())],
+                *[pa.array([x.to_pylist()], pa.list_(x.type)) for x in (batch.column(0), batch.column(3), batch.column(2))],
+                pa.array([up], pa.list_(pa.float64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
 ASKED = (
-    "bucket int, chunk bigint, keys array<bigint>, runs array<int>, docs array<int>, n array<int>, ids array<bigint>, "
-    "held array<boolean>, known array<bigint>, score array<double>, base array<double>"
+    "bucket int, chunk bigint, keys array<bigint>, runs array<int>, docs array<smallint>, n array<int>, "
+    "ids array<bigint>, versions array<bigint>, held array<boolean>, up array<double>"
 )
-TOLD = "chunk bigint, docs array<int>, n array<int>, ids array<bigint>, held array<boolean>, known array<bigint>, score array<double>, base array<double>"
+TOLD = "chunk bigint, docs array<smallint>, ids array<bigint>, versions array<bigint>, held array<boolean>, up array<double>"
 
 
 def _answer(asked: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
     pairs = pairs.sort_values("key")
-    keys, known, scores, bases = (pairs[c].to_numpy() for c in ("key", "known", "score", "base"))
+    keys, learned, held = (pairs[c].to_numpy() for c in ("key", "learned", "held"))
     out = []
     for row in asked.itertuples(index=False):
         if row.keys is None:
-            out.append((row.chunk, row.docs, row.n, row.ids, row.held, row.known, row.score, row.base))
+            out.append((row.chunk, None, row.ids, row.versions, row.held, row.up))
             continue
-        at = np.repeat(np.searchsorted(keys, row.keys), row.runs)
-        docs, n = np.asarray(row.docs), np.asarray(row.n)
-        some, place = np.unique(docs, return_inverse=True)
-        sums = [np.bincount(place, n * x[at], len(some)) for x in (known, scores, bases)]
-        out.append((row.chunk, some.astype(np.int32), None, None, None, sums[0].astype(np.int64), sums[1], sums[2]))
-    return pd.DataFrame(out, columns=["chunk", "docs", "n", "ids", "held", "known", "score", "base"])
+        if not len(keys):
+            continue
+        at = np.minimum(np.searchsorted(keys, row.keys), len(keys) - 1)
+        found = np.repeat(keys[at] == row.keys, row.runs)
+        at, code = np.repeat(at, row.runs)[found], np.asarray(row.docs, dtype=np.int64)[found]
+        up = np.asarray(row.n)[found] * np.where(code & 1, held[at], learned[at])
+        some, place = np.unique(code >> 1, return_inverse=True)
+        out.append((row.chunk, some.astype(np.int16), None, None, None, np.bincount(place, up, len(some))))
+    return pd.DataFrame(out, columns=["chunk", "docs", "ids", "versions", "held", "up"])
 
 
 def _collect(rows: pd.DataFrame) -> pd.DataFrame:
     """One chunk's documents with the sums of all its buckets."""
     own = rows[rows["ids"].notna()].iloc[0]
-    size = len(own["docs"])
-    score, base, known = np.zeros(size), np.zeros(size), np.zeros(size, dtype=np.int64)
-    for r in rows.itertuples(index=False):
-        score[r.docs] += r.score
-        base[r.docs] += r.base
-        known[r.docs] += r.known
-    return pd.DataFrame(
-        {"doc_id": pd.array([None if i is None or i != i else int(i) for i in own["ids"]], dtype="Int64"), "held_out": list(own["held"]),
-         "n_tokens": np.asarray(own["n"], dtype=np.int64), "n_known": known, "base_score": base, "score": score}
-    )
+    up = np.array(own["up"], dtype=float)
+    for r in rows[rows["docs"].notna()].itertuples(index=False):
+        up[r.docs] += r.up
+    ids = pd.array([None if i is None or i != i else int(i) for i in own["ids"]], dtype="Int64")
+    return pd.DataFrame({"doc_id": ids, "version": own["versions"], "held_out": list(own["held"]), "up": up})
 
 
 def score(docs: DataFrame, held_out, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every document;
     learned from the rows where the column ``held_out`` is false. A null or blank text is one end token.
     Repeated rows each count and are each scored. With no row to learn from all words are unknown."""
+    with shuffles_cleared(docs.sparkSession):
+        return _score(docs, held_out, doc, text)
+
+
+def _score(docs: DataFrame, held_out, doc: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), held_out.alias("held_out"))
-    pairs = rows.mapInArrow(_count, "u bigint, w bigint, c bigint").groupBy("u", "w").agg(F.sum("c").alias("c"))
-    state = cut_lineage(pairs.select("u", "w", "c", F.when(F.col("c") > 0, 1).otherwise(0).cast("bigint").alias("t"), F.lit(0.0).alias("p")))
-    once = lambda x, k: F.coalesce(F.sum((F.col(x) == k).cast("bigint")), F.lit(0))
-    facts = state.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), once("c", 1), once("c", 2)).first()
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), facts[0] // PAIRS + 1)
-    model = {"N": facts[1], "d1": _discount(facts[2], facts[3])}
-    fresh = None
+    rows = rows.withColumn("version", F.xxhash64("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARE + 1)
+    parts = cut_lineage(rows.mapInArrow(_count(buckets), COUNTS).groupBy("bucket").applyInArrow(_merge, PARTS))
+    sums = [F.sum(x).alias(x) for x in ("cw", "one_w", "cu", "one_u")]
+    words = cut_lineage(parts.where("w is null").groupBy(F.col("u").alias("x")).agg(*sums))
+    state = parts.where("w is not null").select("u", "w", "c", F.lit(1).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("seated"))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    once = lambda x, k: total((F.col(x) == k).cast("bigint"))
+    learned = words.agg(total("cw"), total("one_w")).first()
+    model = {"N": learned[0], "d1": _discount(learned[1], state.agg(once("c", 2)).first()[0]), "d0": 0.5}
+    fresh, sweeps, kept, old = None, [], [], parts
     for sweep in range(BURN + SWEEPS):
-        words = state.groupBy("w").agg(F.sum("c").alias("cw"), F.sum("t").alias("customers"))
+        k, s, z = f"k{sweep}", f"s{sweep}", f"z{sweep}"
+        more = state.where("c > 1")
+        tables = more.select(F.col("w").alias("x"), F.col("t").alias("a"), F.lit(0).alias("b")).union(more.select("u", F.lit(0), "t"))
+        tables = tables.groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        given = words.join(tables, "x", "left").select(
+            "x", "cw", "one_w", "cu", "one_u", *kept,
+            (F.col("one_u") + F.coalesce("b", F.lit(0))).alias(s), (F.col("one_w") + F.coalesce("a", F.lit(0))).alias(k),
+        )
+        before, words = words, cut_lineage(given.mapInArrow(_seat_parent(fresh, model["d0"], sweep), ", ".join(f"`{c}` bigint" for c in [*given.columns, z])))
+        dropped(before)
+        parent = words.agg(total(k), total(z), once(k, 1), once(k, 2), total((F.col("cw") > 0).cast("bigint"))).first()
         if sweep == 0:
-            words = cut_lineage(words)
-            known = words.agg(once("customers", 1), once("customers", 2), F.coalesce(F.sum((F.col("cw") > 0).cast("bigint")), F.lit(0))).first()
-            model |= {"d0": _discount(known[0], known[1]), "V": known[2]}
-        words = cut_lineage(words.mapInArrow(_seat_parent(fresh, model["d0"], sweep), "w bigint, cw bigint, customers bigint, t0 bigint"))
-        parent = words.agg(F.coalesce(F.sum("customers"), F.lit(0)), F.coalesce(F.sum("t0"), F.lit(0))).first()
+            model |= {"d0": _discount(parent[2], parent[3]), "V": parent[4]}
         fresh = (STRENGTH + model["d0"] * parent[1]) / (model["V"] + 1)
-        contexts = state.groupBy("u").agg(F.sum("c").alias("cu"), F.sum("t").alias("tu"))
         now = {**model, "C0": parent[0], "fresh": fresh, "sweep": sweep}
-        seated = state.join(contexts, "u").join(words, "w")  # one row per key on the right: AQE splits hot words
-        last = sweep == BURN + SWEEPS - 1
-        state = cut_lineage(seated.mapInArrow(_last(now, buckets), SCORES) if last else seated.mapInArrow(_sweep(now, sweep >= BURN), STATE))
-    ask = rows.mapInArrow(_scored(spark.sparkContext.broadcast(_hot(state, model["N"])), buckets), ASKED)
-    scores = state.select("bucket", "key", "known", "score", "base")
-    told = ask.groupBy("bucket").cogroup(scores.groupBy("bucket")).applyInPandas(_answer, TOLD)
-    out = told.groupBy("chunk").applyInPandas(_collect, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model["N"]).cast("bigint").alias("train_tokens"), "base_score", "score")
-
-
-def _hot(scores: DataFrame, n: int) -> dict:
-    """Scores of the pairs that make up over HOT_SHARE of all tokens: at most 1 / HOT_SHARE of them."""
-    rows = scores.where(F.col("c") >= max(2, HOT_SHARE * n)).select("key", "score", "base").collect()
+        if sweep >= BURN:
+            kept += [s, k, z]
+            sweeps.append(now)
+        if sweep < BURN + SWEEPS - 1:
+            contexts = words.select(F.col("x").alias("u"), F.col(s).alias("tu"))
+            seated = state.join(contexts, "u").join(words.select(F.col("x").alias("w"), F.col(k).alias("customers"), F.col(z).alias("t0")), "w")
+            state = cut_lineage(seated.mapInArrow(_sweep(now, sweep >= BURN), STATE))  # one row per key on the right: AQE splits hot words
+            dropped(old)
+            old = state
+    contexts = words.select(F.col("x").alias("u"), *[c for c in kept if c[0] == "s"])
+    told = state.join(contexts, "u").join(words.select(F.col("x").alias("w"), *[c for c in kept if c[0] != "s"]), "w")
+    pairs = cut_lineage(told.mapInArrow(_last(sweeps, buckets), SCORES))
+    dropped(old)
+    # every pair as one that occurs once or never
+    facts = ["cw", "cu", *kept]
+    ranges = F.shiftrightunsigned(F.shiftrightunsigned("x", 32) * F.lit(buckets).cast("bigint"), 32).cast("int")
+    parts = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "version"), F.lit(max(buckets, size // CHUNK + 1))))
+    ask = parts.groupBy("part").applyInArrow(_ask_words(buckets), "bucket int, part bigint, words array<bigint>")
+    told = ask.groupBy("bucket").cogroup(words.select(ranges.alias("bucket"), "x", *facts).groupBy("bucket"))
+    told = told.applyInArrow(_tell_words(facts), "bucket int, part bigint, " + ", ".join(f"{f} array<bigint>" for f in facts))
+    first = cut_lineage(parts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_score_group(sweeps, facts), GROUPED))
+    dropped(words)
+    # by how much pairs with rows differ from that
+    ask = rows.select("doc_id", "text", "held_out", "version").mapInArrow(_asked(spark.sparkContext.broadcast(_hot(pairs, model["N"])), buckets), ASKED)
+    told = ask.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInPandas(_answer, TOLD)
+    ups_of = cut_lineage(told.groupBy("chunk").applyInPandas(_collect, "doc_id bigint, version bigint, held_out boolean, up double"))
+    dropped(pairs)
+    ups = ups_of.groupBy(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "version", "held_out")]).agg(F.max("up").alias("up"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("doc_id", "version", "held_out")]
+    out = first.join(ups, same[0] & same[1] & same[2], "left")
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(model["N"]).cast("bigint").alias("train_tokens"), "base_score"]
+    done = cut_lineage(out.select(*columns, (F.col("score") + F.col("up")).alias("score")))
+    dropped(first)
+    dropped(ups_of)
+    return done
+
+
+def _hot(pairs: DataFrame, n: int) -> dict:
+    """What pairs that make up over HOT_SHARE of all tokens differ by: at most 1 / HOT_SHARE of them."""
+    rows = pairs.where(F.col("c") >= max(2, HOT_SHARE * n)).select("key", "learned", "held").collect()
     key = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
     order = np.argsort(key)
-    return {"hot": key[order], "hot_score": np.array([r[1] for r in rows], dtype=float)[order], "hot_base": np.array([r[2] for r in rows], dtype=float)[order]}
+    return {"hot": key[order], "hot_learned": np.array([r[1] for r in rows], dtype=float)[order], "hot_held": np.array([r[2] for r in rows], dtype=float)[order]}
 
 
 def report(docs: DataFrame) -> DataFrame:

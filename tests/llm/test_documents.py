@@ -208,6 +208,36 @@ def test_pitman_yor_without_training_rows(docs):
     assert pitman_yor.report(empty(docs)).isEmpty()
 
 
+def test_pitman_yor_leaves_no_table_of_its_sweeps(spark, docs):
+    """Only the result's table stays; those of pairs and words go as soon as the next ones are written."""
+    from pathlib import Path
+
+    from kinweave.session import checkpoint_root
+
+    root = Path(checkpoint_root(spark).removeprefix("file:"))
+    before = set(root.glob("cut-*"))
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(name)
+    got = pitman_yor.report(docs)
+    assert len(set(root.glob("cut-*")) - before) == 1 and spark.conf.get(name) == setting
+    assert got.count() == docs.count()
+
+
+def test_pairs_that_occur_once_have_no_rows():
+    import pyarrow as pa
+
+    texts, held = ["a b c a b", "x a y x q", "y x z"], [False, False, True]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts), pa.array(held)], names=["doc_id", "text", "held_out"])
+    table = pa.Table.from_batches(pitman_yor._count(1)([batch]))
+    rows = [r for b in set(table["bucket"].to_pylist()) for r in pitman_yor._merge(table.filter(pa.compute.equal(table["bucket"], b))).to_pylist()]
+    word = {w: int(pitman_yor._signed(hashes(pa.array([w])))[0]) for w in "abcxyzq"}
+    assert [(r["u"], r["w"], r["c"]) for r in sorted(rows, key=lambda r: -(r["c"] or 0)) if r["w"] is not None] == [(word["a"], word["b"], 2), (word["y"], word["x"], 1)]
+    sums = Counter()
+    for r in rows:
+        sums.update({(r["u"], k): r[k] or 0 for k in ("cw", "one_w", "cu", "one_u")} if r["w"] is None else {})
+    assert [sums[word["a"], k] for k in ("cw", "one_w", "cu", "one_u")] == [3, 3, 3, 1]
+
+
 def test_seating_draws_follow_the_two_customer_odds():
     d, opened = 0.5, 0.7
     keys = np.arange(40_000, dtype=np.uint64)
