@@ -15,6 +15,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +65,10 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.dtype = dtype
+        size = int(dtype[2:])
+        form = {k: Struct(f"<{k}{'H' if size == 2 else 'I'}").pack for k in range(1, 9)}
+        # most pieces have few ids, for which an array each costs more than the ids
+        self.packed = lambda ids: form[len(ids)](*ids) if len(ids) in form else np.array(ids, dtype=dtype).tobytes()
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -78,7 +82,7 @@ class Encoder:
         known.update((p, before[p]) for p in again)
         new = list(new - again)
         for piece, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[piece] = np.array(coded.ids, dtype=self.dtype).tobytes()
+            known[piece] = self.packed(coded.ids)
         return [b"".join(map(known.__getitem__, ps)) for ps in pieces]
 
 

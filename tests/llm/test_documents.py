@@ -141,6 +141,16 @@ def test_remembered_pieces_do_not_change_ids(monkeypatch):
     assert len(encoder.known) + len(encoder.before) < 20
 
 
+@pytest.mark.parametrize("dtype", ["<u2", "<u4"])
+def test_ids_of_pieces_of_any_length_are_packed_alike(dtype):
+    import public_tokenizers
+
+    encoder = token_files.Encoder(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read(), dtype)
+    for n in [0, 1, 2, 8, 9, 300]:
+        ids = [(k * 7919) % 49_408 for k in range(n)]
+        assert encoder.packed(ids) == np.array(ids, dtype).tobytes()
+
+
 def test_pitman_yor_base_is_exact_and_scores_beat_it(docs, rows):
     got = pitman_yor.report(docs).collect()
     assert len(got) == len(rows)
