@@ -6,18 +6,19 @@ words and one unknown. A table opened in a context sends a customer to the paren
 
 A pair of neighbours that occurs once in all texts that are learned from has one table in every sweep. So
 sweeps run over the pairs that occur more often; of the others only their number by context and by word is kept,
-and those that held-out texts hold as well stay as rows. A sweep sums tables by context and by word, joins both
-sums to the pairs, and seats every pair anew. Nothing is sized by the words of the corpus outside these tables. Given
+and those that held-out texts hold as well stay. Pairs live in blocks by range of contexts and part of the words,
+words in ranges, both as arrays in one row each; what a block and a range have to tell each other in a sweep is one
+row for the two, with each word of the block once. Nothing is sized by the words of the corpus. A sweep sums tables
+by context and by word, tells both sums to the blocks, and seats every pair anew. Given
 the other words' tables, a word with c customers in a context opens t tables with a probability that weighs
 all its seatings with t tables (generalised Stirling numbers), and that is drawn at once; beyond ``EXACT``
 customers the rest are seated in runs of a sixteenth. Draws are hashes of pair and sweep, the same on any
 partitioning. Pair probabilities of the sweeps after the first ``BURN`` are averaged.
 
-Texts are scored in two passes. In the first, groups of texts get the facts of their words, and score each pair as
-one that occurs once where they are learned from, and as one that never does where they are held out. In the
-second, chunks of a few million bytes send each bucket of pairs their occurrences once, and get back, by document,
-by how much the pairs that have rows differ from that. Pairs with a share of over ``HOT_SHARE`` are settled within
-the chunk. Each step's table is deleted when the next one is written, and shuffle files when their step ends.
+Then groups of texts ask ranges for their words' facts, and blocks for what their pairs differ by from one that
+occurs once (where texts are learned from) or never (where they are held out), each word and pair once, and are
+scored. Pairs with a share of over ``HOT_SHARE`` are broadcast instead. Each step's table is deleted when the next
+one is written, and shuffle files when their step ends.
 """
 
 from __future__ import annotations
@@ -25,10 +26,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +39,12 @@ BURN = 1
 SWEEPS = 3
 EXACT = 32
 STRENGTH = 1.0
-#: Bytes of text in a chunk, bytes of all texts per bucket, and most documents in a chunk.
+#: Bytes of text in a chunk or group; bytes of all texts per block, at least where there are enough blocks for all tasks.
 CHUNK = 8 << 20
 SHARE = 16 << 20
-MOST_DOCS = 16_000
+LEAST = 4 << 20
+#: In so many passes are texts scored, where there are enough, so that only one pass's shuffle files are there at once.
+PASSES = 3
 #: So many buckets share the pairs of a context, so that no frequent word makes one large bucket.
 SPLIT = 16
 #: The word that ends each text, and the context of the first word of the next.
@@ -54,21 +55,6 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of all texts, each followed by END; which text each belongs to; the word before each."""
-    codes, bounds, distinct = coded_words(texts)
-    hashed = hashes(distinct)[codes]
-    n = np.diff(bounds)
-    doc = np.repeat(np.arange(len(n)), n + 1)
-    words = np.full(len(hashed) + len(n), END, dtype=np.uint64)
-    last = np.cumsum(n + 1) - 1
-    inner = np.ones(len(words), dtype=bool)
-    inner[last] = False
-    words[inner] = hashed
-    before = np.concatenate([[END], words[:-1]])
-    return words, doc, before.astype(np.uint64)
-
-
 def _runs(*keys: np.ndarray) -> np.ndarray:
     """Where runs of equal keys start in sorted arrays."""
     new = np.zeros(len(keys[0]), dtype=bool)
@@ -78,6 +64,12 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _stretches(of: np.ndarray) -> list[tuple[int, int, int]]:
+    """Each value of a sorted array, and from where to where it is."""
+    edges = np.append(_runs(of), len(of)).tolist()
+    return list(zip(of[edges[:-1]].tolist(), edges[:-1], edges[1:], strict=True))
+
+
 def _keys(words: np.ndarray, before: np.ndarray) -> np.ndarray:
     """One number for each pair of neighbours."""
     return mixed(words ^ mixed(before))
@@ -88,61 +80,85 @@ def _buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
-def _lists(values: np.ndarray, edges: np.ndarray, kind: pa.DataType) -> pa.Array:
-    """A list for each stretch between edges."""
-    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values, kind))
+def _blocks(words: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks that each word's pairs are in as a context, first of its range, and as a word, of those of a range."""
+    return _buckets(mixed(words), ranges).astype(np.int64) * SPLIT, (mixed(words) >> np.uint64(60)).astype(np.int64)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """An array, whole numbers in as few bytes as the largest needs."""
+    if x.dtype.kind == "i":
+        x = x.astype(next(k for k in "bhiq" if np.iinfo(k).min <= x.min(initial=0) and x.max(initial=0) <= np.iinfo(k).max))
+    return x.tobytes() + x.dtype.char.encode()
 
 
-def _flat(table: pa.Table, name: str) -> np.ndarray:
-    return pa.concat_arrays([c.flatten() for c in table.column(name).chunks]).to_numpy() if table.num_rows else np.empty(0, np.int64)
+def _unpacked(x: bytes) -> np.ndarray:
+    kind = np.dtype(x[-1:].decode())
+    got = np.frombuffer(x, kind, (len(x) - 1) // kind.itemsize)
+    return got.astype(np.int64) if kind.kind == "i" else got
 
 
-def _count(buckets: int):
-    """Per chunk and bucket its distinct pairs by context; twice how often they occur in texts that are learned
+def _joined(arrays: list[bytes], kind=np.int64) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *map(_unpacked, arrays)])
+
+
+def _ordered(*fields: tuple[np.ndarray, int]) -> list[np.ndarray]:
+    """Numbers below their limits, sorted by the first, then the second and so on; as one number where that has 64 bits."""
+    bits = [max(1, int(limit - 1).bit_length()) for _, limit in fields]
+    if sum(bits) > 64:
+        order = np.lexsort([x for x, _ in reversed(fields)])
+        return [x[order] for x, _ in fields]
+    key = np.zeros(len(fields[0][0]), dtype=np.uint64)
+    for (x, _), n in zip(fields, bits, strict=True):
+        key = key << np.uint64(n) | x.astype(np.uint64)
+    key.sort()
+    out = []
+    for n in reversed(bits):
+        out.append((key & np.uint64((1 << n) - 1)).astype(np.int64))
+        key = key >> np.uint64(n)
+    return out[::-1]
+
+
+def _count(blocks: int):
+    """Per chunk and block its distinct pairs by context; twice how often they occur in texts that are learned
     from, and one more if held-out texts hold them."""
-    ranges = -(-buckets // SPLIT)
+    ranges = -(-blocks // SPLIT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, CHUNK):
-            words, doc, before = _tokens(batch.column(1))
-            learned = ~pc.fill_null(batch.column(2), True).to_numpy(zero_copy_only=False)
-            order = np.argsort(_keys(words, before))
-            words, before, n = words[order], before[order], learned[doc[order]].astype(np.int64)
-            at = _runs(words, before)
-            if not len(at):
+            w, doc, u, x = _numbered(batch.column(1))
+            if not len(w):
                 continue
-            every = np.diff(np.append(at, len(words)))
+            learned = ~pc.fill_null(batch.column(2), True).to_numpy(zero_copy_only=False)
+            first, part = _blocks(x, ranges)
+            block, u, w, n = _ordered((first[u] + part[w], ranges * SPLIT), (u, len(x)), (w, len(x)), (learned[doc], 2))
+            at = _runs(block, u, w)
+            every = np.diff(np.append(at, len(w)))
             n = np.add.reduceat(n, at)
-            words, before, code = words[at], before[at], 2 * n + (every > n)
-            bucket = _buckets(mixed(before), ranges).astype(np.int64) * SPLIT + (mixed(words) >> np.uint64(60)).astype(np.int64)
-            order = np.lexsort((before, bucket))
-            words, before, code, bucket = words[order], before[order], code[order], bucket[order]
-            at, own = _runs(bucket, before), _runs(bucket)
-            edges = np.append(own, len(bucket))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(bucket[own], pa.int32()),
-                    _lists(_signed(before[at]), np.searchsorted(at, edges), pa.int64()),
-                    _lists(np.diff(np.append(at, len(bucket))), np.searchsorted(at, edges), pa.int32()),
-                    _lists(_signed(words), edges, pa.int64()),
-                    _lists(code, edges, pa.int32()),
-                ],
-                names=["bucket", "u", "runs", "w", "code"],
-            )
+            block, u, w, code = block[at], u[at], w[at], 2 * n + (every > n)
+            rows = {k: [] for k in ("bucket", "u", "runs", "w", "code")}
+            for b, i, j in _stretches(block):
+                run = _runs(u[i:j])
+                row = (b, _packed(x[u[i:j][run]]), _packed(np.diff(np.append(run, j - i))), _packed(x[w[i:j]]), _packed(code[i:j]))
+                for k, v in zip(rows, row, strict=True):
+                    rows[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *[pa.array(v, pa.binary()) for k, v in rows.items() if k != "bucket"]], names=list(rows))
 
     return run
 
 
-COUNTS = "bucket int, u array<bigint>, runs array<int>, w array<bigint>, code array<int>"
-PARTS = "u bigint, w bigint, c bigint, cw bigint, one_w bigint, cu bigint, one_u bigint"
+COUNTS = "bucket int, u binary, runs binary, w binary, code binary"
+#: What moves between blocks and ranges of words: to which of them, what it is, who sent it; arrays; sums.
+MOVED = "bucket int, kind string, peer int, kept array<binary>, sent array<binary>, sums array<bigint>"
 
 
 def _merge(table: pa.Table) -> pa.Table:
     """A bucket's pairs that need rows, and rows without ``w`` that say how many customers, and pairs with one
     customer, each word has in it: as a word, and as a context."""
-    u, w, code = np.repeat(_flat(table, "u"), _flat(table, "runs")), _flat(table, "w"), _flat(table, "code")
+    u, runs, w, code = (_joined(table.column(n).to_pylist(), k) for n, k in zip(("u", "runs", "w", "code"), (np.uint64, np.int64) * 2, strict=True))
+    u, w = _signed(np.repeat(u, runs)), _signed(w)
     order = np.argsort(_keys(w.view(np.uint64), u.view(np.uint64)))
-    u, w, code = u[order], w[order], code[order].astype(np.int64)
+    u, w, code = u[order], w[order], code[order]
     at = _runs(u, w)
     c, held = np.add.reduceat(code >> 1, at), np.logical_or.reduceat(code & 1, at)
     u, w = u[at], w[at]
@@ -230,60 +246,108 @@ def seat(c: np.ndarray, opened: np.ndarray, d: float, keys: np.ndarray, sweep: i
     return t
 
 
-STATE = "u bigint, w bigint, c bigint, t bigint, seated bigint"
-SCORES = "bucket int, key bigint, c bigint, learned double, held double"
+def _moved(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int32(), pa.string(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int64()))
+    names = [f.split()[0] for f in MOVED.split(", ")]
+    return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
 
-def _seat_parent(fresh: float | None, d: float, sweep: int):
-    """Tables of each word in the parent; one each before the first sweep."""
+def _rows(table: pa.Table) -> dict[str, list[dict]]:
+    """Rows by what they are, in order of their senders."""
+    out = {}
+    for r in sorted(table.to_pylist(), key=lambda r: r["peer"]):
+        out.setdefault(r["kind"], []).append(r)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_s = _stirling(d)
-        for batch in batches:
-            customers = batch.column(f"k{sweep}").to_numpy()
-            t0 = np.ones(len(customers), dtype=np.int64)
-            if fresh is not None:
-                keys = batch.column("x").to_numpy().view(np.uint64)
-                t0 = seat(customers, np.full(len(customers), fresh), d, keys, sweep, log_s)
-            t0 = np.where(customers > 0, t0, 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t0)], names=[*batch.schema.names, f"z{sweep}"])
 
-    return run
+def _asks(block: int, blocks: int, x: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.ndarray, t: np.ndarray) -> list[tuple]:
+    """A block's words to their ranges, with their tables of the pairs that occur more than once."""
+    t = np.where(c > 1, t, 0)
+    a, b = (np.bincount(k, t, len(x)).astype(np.int64) for k in (w, u))
+    return [(r, "ask", block, None, [_packed(x[i:j]), _packed(a[i:j]), _packed(b[i:j])], None) for r, i, j in _stretches(_buckets(x, blocks))]
 
 
-def _word(customers: np.ndarray, t0: np.ndarray, g: dict) -> np.ndarray:
-    """The parent's probability of a word."""
-    return (customers - g["d0"] * t0 + g["fresh"]) / (STRENGTH + g["C0"])
+def _start(blocks: int):
+    """A block's pairs with one table each, and what its words are in it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block = table.column("bucket")[0].as_py()
+        rows = _merge(table)
+        pairs = rows.filter(pc.is_valid(rows.column("w")))
+        u, w, c = (pairs.column(n).to_numpy() for n in ("u", "w", "c"))
+        x, place = np.unique(np.concatenate([w, u]).view(np.uint64), return_inverse=True)
+        w, u = place[: len(c)], place[len(c) :]
+        out = [(block, "block", block, [_packed(v) for v in (x, u, w, c, np.ones_like(c), np.zeros_like(c), np.zeros(len(c)))], None, [int((c == 2).sum())])]
+        out += _asks(block, blocks, x, u, w, c, np.ones_like(c))
+        rows = rows.filter(pc.is_null(rows.column("w")))
+        sums = [rows.column(n).to_numpy() for n in ("u", "cw", "one_w", "cu", "one_u")]
+        order = np.argsort(sums[0].view(np.uint64))
+        x, *sums = (v[order] for v in sums)
+        x = x.view(np.uint64)
+        out += [(r, "count", block, None, [_packed(v[i:j]) for v in (x, *sums)], None) for r, i, j in _stretches(_buckets(x, blocks))]
+        return _moved(out)
 
+    return run
 
-def _sweep(g: dict, keep: bool):
-    """One pass: a new seating, and the sum of those before it that count."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_s = _stirling(g["d1"])
-        for batch in batches:
-            c, t, seated, tu, customers, t0 = (batch.column(n).to_numpy() for n in ("c", "t", "seated", "tu", "customers", "t0"))
-            keys = _keys(batch.column("w").to_numpy().view(np.uint64), batch.column("u").to_numpy().view(np.uint64))
-            new = seat(c, (STRENGTH + g["d1"] * tu) * _word(customers, t0, g), g["d1"], keys, g["sweep"], log_s)
-            columns = [batch.column("u"), batch.column("w"), batch.column("c"), pa.array(new), pa.array(seated + t if keep else seated)]
-            yield pa.RecordBatch.from_arrays(columns, names=["u", "w", "c", "t", "seated"])
+def _range(fresh: float | None, d: float, sweep: int):
+    """A range's words: tables in their contexts and in the parent, where each has one before the first sweep; told
+    to the blocks that asked."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = _rows(table)
+        if sweep:
+            (own,) = rows["words"]
+            x, cw, one_w, cu, one_u, *kept = map(_unpacked, own["kept"])
+        else:
+            sent = list(zip(*[r["sent"] for r in rows["count"]], strict=True))
+            x, place = np.unique(_joined(sent[0], np.uint64), return_inverse=True)
+            cw, one_w, cu, one_u = (np.bincount(place, _joined(v), len(x)).astype(np.int64) for v in sent[1:])
+            kept = []
+        asks = rows.get("ask", [])
+        places = [np.searchsorted(x, _unpacked(r["sent"][0])) for r in asks]
+        place = np.concatenate([np.empty(0, np.int64), *places])
+        k, s = (n + np.bincount(place, _joined([r["sent"][i] for r in asks]), len(x)).astype(np.int64) for n, i in ((one_w, 1), (one_u, 2)))
+        z = np.ones(len(x), dtype=np.int64) if fresh is None else seat(k, np.full(len(x), fresh), d, x, sweep, _stirling(d))
+        z = np.where(k > 0, z, 0)
+        kept = [*kept, s, k, z] if sweep >= BURN else []
+        sums = [int(v) for v in (k.sum(), z.sum(), (k == 1).sum(), (k == 2).sum(), (cw > 0).sum(), cw.sum(), one_w.sum())]
+        own = table.column("bucket")[0].as_py()
+        out = [(own, "words", own, [_packed(v) for v in (x, cw, one_w, cu, one_u, *kept)], None, sums)]
+        out += [(r["peer"], "told", own, None, [_packed(v[at]) for v in (s, k, z)], None) for r, at in zip(asks, places, strict=True)]
+        return _moved(out)
 
     return run
 
 
-def _last(sweeps: list[dict], buckets: int):
-    """By how much the log of a pair's probability is above that of a pair that occurs once, and of one that never does."""
+def _word(customers: np.ndarray, t0: np.ndarray, g: dict) -> np.ndarray:
+    """The parent's probability of a word."""
+    return (customers - g["d0"] * t0 + g["fresh"]) / (STRENGTH + g["C0"])
+
+
+def _sweep(g: dict, blocks: int, counts: bool, last: bool):
+    """One pass over a block's pairs: a new seating, beside the sum of those before it that count, and of what does
+    not hang on the pair itself. After the last one, by how much the log of a pair's probability is above that of a
+    pair that occurs once, and of one that never does; the frequent ones once more."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = sweeps[0]["d1"]
-        for batch in batches:
-            col = lambda n: batch.column(n).to_numpy()  # noqa: B023, E731
-            key = _keys(col("w").view(np.uint64), col("u").view(np.uint64))
-            rest = sum((STRENGTH + d * col(f"s{g['sweep']}")) * _word(col(f"k{g['sweep']}"), col(f"z{g['sweep']}"), g) for g in sweeps)
-            own = SWEEPS * col("c") - d * (col("seated") + col("t"))
-            log = np.log10(own + rest)
-            columns = (_buckets(key, buckets), _signed(key), col("c"), log - np.log10(SWEEPS * (1 - d) + rest), log - np.log10(rest))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["bucket", "key", "c", "learned", "held"])
+    def run(table: pa.Table) -> pa.Table:
+        rows = _rows(table)
+        (own,) = rows["block"]
+        block, d = own["bucket"], g["d1"]
+        x, u, w, c, t, seated, rest = map(_unpacked, own["kept"])
+        s, k, z = (_joined([r["sent"][i] for r in rows.get("told", [])]) for i in range(3))
+        opened = (STRENGTH + d * s)[u] * _word(k, z, g)[w]
+        keys = _keys(x[w], x[u])
+        if counts:
+            rest, seated = rest + opened, seated + t
+        if not last:
+            t = seat(c, opened, d, keys, g["sweep"], _stirling(d))
+            kept = [_packed(v) for v in (x, u, w, c, t, seated, rest)]
+            return _moved([(block, "block", block, kept, None, None), *_asks(block, blocks, x, u, w, c, t)])
+        log = np.log10(SWEEPS * c - d * seated + rest)
+        out = [keys, log - np.log10(SWEEPS * (1 - d) + rest), log - np.log10(rest)]  # sorted, as _merge left the pairs
+        hot = c >= max(2, HOT_SHARE * g["N"])
+        return _moved([(block, "pairs", block, [_packed(v) for v in out], [_packed(v[hot]) for v in out], None)])
 
     return run
 
@@ -310,156 +374,84 @@ def _text(table: pa.Table) -> pa.Array:
     return pa.concat_arrays(table.column("text").chunks)
 
 
-def _ask_words(buckets: int):
-    """A group's distinct words for each bucket of words; sorted words have sorted buckets."""
+def _asked(text: pa.Array, ranges: int, hot: np.ndarray, *more: str):
+    """Tokens of texts, known words, and the distinct pairs in the order of blocks: block, key, whether it is
+    broadcast; with every occurrence's pair and text if wanted."""
+    w, doc, u, x = _numbered(text)
+    first, part = _blocks(x, ranges)
+    fields = [(first[u] + part[w], ranges * SPLIT), (u, len(x)), (w, len(x)), *([(doc, len(text))] if more else [])]
+    block, us, ws, *docs = _ordered(*fields)
+    at = _runs(block, us, ws)
+    of = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(ws)))) if more else None
+    block, key = block[at], _keys(x[ws[at]], x[us[at]])
+    place = np.minimum(np.searchsorted(hot, key), max(0, len(hot) - 1))
+    sent = hot[place] != key if len(hot) else np.ones(len(key), dtype=bool)
+    return (w, doc, u), x, (block, key, place, sent), (of, docs[0] if more else None)
 
-    def run(table: pa.Table) -> pa.Table:
-        *_, distinct = _numbered(_text(table))
-        bucket = _buckets(distinct, buckets)
-        own = _runs(bucket)
-        group = pa.array([table.column("part")[0].as_py()] * len(own), pa.int64())
-        return pa.Table.from_arrays([pa.array(bucket[own]), group, _lists(_signed(distinct), np.append(own, len(bucket)), pa.int64())], names=["bucket", "part", "words"])
 
-    return run
+def _ask(ranges: int, hot):
+    """A group's distinct words for each range and pairs for each block."""
 
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        _, x, (block, key, _, sent), _ = _asked(_text(table), ranges, hot.value[0])
+        block, key = block[sent], key[sent]
+        words = {r: x[i:j] for r, i, j in _stretches(_buckets(x, ranges * SPLIT))}
+        pairs = {b: key[i:j] for b, i, j in _stretches(block)}
+        none = np.empty(0, np.uint64)
+        return _moved([(b, "ask", part, None, [_packed(v.get(b, none)) for v in (words, pairs)], None) for b in sorted({*words, *pairs})])
 
-def _tell_words(facts: list[str]):
-    """The facts of the words each group asked for, in its order."""
+    return run
 
-    def run(asked: pa.Table, words: pa.Table) -> pa.Table:
-        x = words.column("x").to_numpy().view(np.uint64)
-        order = np.argsort(x)
-        flat = _flat(asked, "words").view(np.uint64)
-        at = order[np.searchsorted(x[order], flat)] if len(flat) else np.empty(0, np.int64)
-        lengths = pc.list_value_length(asked.column("words")).to_numpy()
-        edges = np.concatenate([[0], np.cumsum(lengths)])
-        told = [_lists(words.column(f).to_numpy()[at], edges, pa.int64()) for f in facts]
-        return pa.Table.from_arrays([asked.column("bucket"), asked.column("part"), *told], names=["bucket", "part", *facts])
 
-    return run
+def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """The facts of the words and pairs a group asked for, in its order; zero for pairs without a row. Held-out groups
+    have odd numbers."""
+    rows = _rows(known)
+    x, cw, _, cu, _, *facts = map(_unpacked, rows["words"][0]["kept"]) if "words" in rows else (np.empty(0, np.uint64),) * 5
+    keys, *values = map(_unpacked, rows["pairs"][0]["kept"]) if "pairs" in rows else (np.empty(0, np.uint64),) * 3
+    out = []
+    for r in asked.to_pylist():
+        words, pairs = map(_unpacked, r["sent"])
+        at = np.searchsorted(x, words)
+        up, value = np.zeros(len(pairs)), values[r["peer"] & 1]
+        place = np.minimum(np.searchsorted(keys, pairs), max(0, len(keys) - 1))
+        found = keys[place] == pairs if len(keys) else np.zeros(len(pairs), dtype=bool)
+        up[found] = value[place[found]]
+        out.append((r["peer"], "facts", r["bucket"], None, [_packed(up), *[_packed(f[at]) for f in (cw, cu, *facts)] * bool(len(words))], None))
+    return _moved(out)
 
 
-def _score_group(sweeps: list[dict], facts: list[str]):
-    """Documents of a group, their pairs taken as those that occur once or never."""
+def _score_group(sweeps: list[dict], ranges: int, hot):
+    """Documents of a group, their pairs taken as those that occur once or never, and what they differ by from that."""
 
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         g, n_docs = sweeps[0], table.num_rows
-        w, doc, u, distinct = _numbered(_text(table))
-        told = told.sort_by("bucket")
-        fact = {f: _flat(told, f) for f in facts}
+        if not n_docs:
+            return pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), pa.bool_(), *(pa.int64(),) * 2, *(pa.float64(),) * 2)], names=SCORED_NAMES)
+        held = table.column("part")[0].as_py() & 1
+        (w, doc, u), x, (_, _, place, sent), (of, docs) = _asked(_text(table), ranges, hot.value[0], "docs")
+        rows = [r["sent"] for r in _rows(told)["facts"]]
+        cw, cu, *facts = (_joined([r[k] for r in rows if len(r) > 1]) for k in range(1, 3 + 3 * len(sweeps)))
+        up = np.empty(len(sent))
+        up[sent] = _joined([r[0] for r in rows], np.float64)
+        up[~sent] = hot.value[1 + held][place[~sent]]
         rest = np.zeros(len(w))
-        for x in sweeps:
-            k = x["sweep"]
-            rest += ((STRENGTH + g["d1"] * fact[f"s{k}"])[u]) * _word(fact[f"k{k}"], fact[f"z{k}"], x)[w]
-        held = pc.fill_null(table.column("held_out"), True).to_numpy()
-        once = np.where(held, 0.0, SWEEPS * (1 - g["d1"]))[doc]
-        score = np.log10((once + rest) / (SWEEPS * (STRENGTH + fact["cu"][u])))
-        base = np.log10((fact["cw"] + 0.1) / (g["N"] + 0.1 * (g["V"] + 1)))[w]
-        sums = [np.bincount(doc, x, n_docs) for x in (base, score)]
-        known = np.bincount(doc, fact["cw"][w] > 0, n_docs).astype(np.int64)
-        out = [table.column("doc_id"), table.column("version"), table.column("held_out"), pa.array(np.bincount(doc, minlength=n_docs)), pa.array(known), *map(pa.array, sums)]
-        return pa.Table.from_arrays(out, names=["doc_id", "version", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    return run
-
-
-GROUPED = "doc_id bigint, version bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-
-
-def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 1, CHUNK):
-        for start in range(0, batch.num_rows, MOST_DOCS):
-            yield batch.slice(start, MOST_DOCS)
-
-
-def _asked(hot, buckets: int):
-    """Documents and occurrences: rows of kind 0 carry a chunk's documents and what was settled at once, the
-    others a bucket's pairs with documents, each numbered twice over, and one more if it is held out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = hot.value
-        part = TaskContext.get().partitionId()
-        for k, batch in enumerate(_few(batches)):
-            words, doc, before = _tokens(batch.column(1))
-            n_docs = batch.num_rows
-            held = pc.fill_null(batch.column(2), True).to_numpy(zero_copy_only=False)
-            chunk = (part << 32) + k
-            # what a few broadcast pairs settle stays here
-            key = _keys(words, before)
-            up = np.zeros(n_docs)
-            if len(g["hot"]):
-                at = np.minimum(np.searchsorted(g["hot"], key), len(g["hot"]) - 1)
-                done = g["hot"][at] == key
-                up = np.bincount(doc[done], np.where(held[doc[done]], g["hot_held"][at[done]], g["hot_learned"][at[done]]), n_docs)
-                key, doc = key[~done], doc[~done]
-            order = np.argsort(key, kind="stable")
-            key, doc = key[order], doc[order]
-            at = _runs(key, doc)
-            n = np.diff(np.append(at, len(key)))
-            key, doc = key[at], doc[at]
-            first, bucket = _runs(key), _buckets(key, buckets)
-            own = _runs(bucket)
-            edges = np.append(own, len(key))
-            firsts = np.searchsorted(first, edges)
-            code = 2 * doc + held[doc]
-            names = ["bucket", "chunk", "keys", "runs", "docs", "n", "ids", "versions", "held", "up"]
-            if len(own):
-                columns = [
-                    pa.array(bucket[own]),
-                    pa.array([chunk] * len(own), pa.int64()),
-                    _lists(_signed(key[first]), firsts, pa.int64()),
-                    _lists(np.diff(np.append(first, len(key))), firsts, pa.int32()),
-                    _lists(code, edges, pa.int16()),
-                    _lists(n, edges, pa.int32()),
-                    *[pa.nulls(len(own), pa.list_(x)) for x in (pa.int64(), pa.int64(), pa.bool_(), pa.float64())],
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-            columns = [
-                pa.array([chunk % buckets], pa.int32()),
-                pa.array([chunk], pa.int64()),
-                *[pa.nulls(1, pa.list_(x)) for x in (pa.int64(), pa.int32(), pa.int16(), pa.int32())],
-                *[pa.array([x.to_pylist()], pa.list_(x.type)) for x in (batch.column(0), batch.column(3), batch.column(2))],
-                pa.array([up], pa.list_(pa.float64())),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        for k, one in enumerate(sweeps):
+            s, customers, z = facts[3 * k : 3 * k + 3]
+            rest += (STRENGTH + g["d1"] * s)[u] * _word(customers, z, one)[w]
+        score = np.log10((rest if held else SWEEPS * (1 - g["d1"]) + rest) / (SWEEPS * (STRENGTH + cu[u])))
+        base = np.log10((cw + 0.1) / (g["N"] + 0.1 * (g["V"] + 1)))[w]
+        sums = np.bincount(doc, base, n_docs), np.bincount(doc, score, n_docs) + np.bincount(docs, up[of], n_docs)
+        known = np.bincount(doc, cw[w] > 0, n_docs).astype(np.int64)
+        out = [table.column("doc_id"), table.column("held_out"), pa.array(np.bincount(doc, minlength=n_docs)), pa.array(known), *map(pa.array, sums)]
+        return pa.Table.from_arrays(out, names=SCORED_NAMES)
 
     return run
 
 
-ASKED = (
-    "bucket int, chunk bigint, keys array<bigint>, runs array<int>, docs array<smallint>, n array<int>, "
-    "ids array<bigint>, versions array<bigint>, held array<boolean>, up array<double>"
-)
-TOLD = "chunk bigint, docs array<smallint>, ids array<bigint>, versions array<bigint>, held array<boolean>, up array<double>"
-
-
-def _answer(asked: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-    pairs = pairs.sort_values("key")
-    keys, learned, held = (pairs[c].to_numpy() for c in ("key", "learned", "held"))
-    out = []
-    for row in asked.itertuples(index=False):
-        if row.keys is None:
-            out.append((row.chunk, None, row.ids, row.versions, row.held, row.up))
-            continue
-        if not len(keys):
-            continue
-        at = np.minimum(np.searchsorted(keys, row.keys), len(keys) - 1)
-        found = np.repeat(keys[at] == row.keys, row.runs)
-        at, code = np.repeat(at, row.runs)[found], np.asarray(row.docs, dtype=np.int64)[found]
-        up = np.asarray(row.n)[found] * np.where(code & 1, held[at], learned[at])
-        some, place = np.unique(code >> 1, return_inverse=True)
-        out.append((row.chunk, some.astype(np.int16), None, None, None, np.bincount(place, up, len(some))))
-    return pd.DataFrame(out, columns=["chunk", "docs", "ids", "versions", "held", "up"])
-
-
-def _collect(rows: pd.DataFrame) -> pd.DataFrame:
-    """One chunk's documents with the sums of all its buckets."""
-    own = rows[rows["ids"].notna()].iloc[0]
-    up = np.array(own["up"], dtype=float)
-    for r in rows[rows["docs"].notna()].itertuples(index=False):
-        up[r.docs] += r.up
-    ids = pd.array([None if i is None or i != i else int(i) for i in own["ids"]], dtype="Int64")
-    return pd.DataFrame({"doc_id": ids, "version": own["versions"], "held_out": list(own["held"]), "up": up})
+SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+SCORED_NAMES = [f.split()[0] for f in SCORED.split(", ")]
 
 
 def score(docs: DataFrame, held_out, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -473,77 +465,62 @@ def score(docs: DataFrame, held_out, doc: str = "doc_id", text: str = "text") ->
 def _score(docs: DataFrame, held_out, doc: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), held_out.alias("held_out"))
-    rows = rows.withColumn("version", F.xxhash64("text"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARE + 1)
-    parts = cut_lineage(rows.mapInArrow(_count(buckets), COUNTS).groupBy("bucket").applyInArrow(_merge, PARTS))
-    sums = [F.sum(x).alias(x) for x in ("cw", "one_w", "cu", "one_u")]
-    words = cut_lineage(parts.where("w is null").groupBy(F.col("u").alias("x")).agg(*sums))
-    state = parts.where("w is not null").select("u", "w", "c", F.lit(1).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("seated"))
-    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
-    once = lambda x, k: total((F.col(x) == k).cast("bigint"))
-    learned = words.agg(total("cw"), total("one_w")).first()
-    model = {"N": learned[0], "d1": _discount(learned[1], state.agg(once("c", 2)).first()[0]), "d0": 0.5}
-    fresh, sweeps, kept, old = None, [], [], parts
+    held, length = F.coalesce("held_out", F.lit(True)), F.octet_length("text").cast("bigint")
+    sizes = rows.agg(*[F.coalesce(F.sum(F.when(x, length)), F.lit(0)) for x in (~held, held)]).first()
+    ranges = -(-max(sum(sizes) // SHARE + 1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(sizes) // LEAST + 1)) // SPLIT)
+    blocks = ranges * SPLIT
+    pairs = old = cut_lineage(rows.mapInArrow(_count(blocks), COUNTS).groupBy("bucket").applyInArrow(_start(blocks), MOVED))
+    words, sweeps, fresh, model = _of(old, "count"), [], None, {"d0": 0.5}
     for sweep in range(BURN + SWEEPS):
-        k, s, z = f"k{sweep}", f"s{sweep}", f"z{sweep}"
-        more = state.where("c > 1")
-        tables = more.select(F.col("w").alias("x"), F.col("t").alias("a"), F.lit(0).alias("b")).union(more.select("u", F.lit(0), "t"))
-        tables = tables.groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        given = words.join(tables, "x", "left").select(
-            "x", "cw", "one_w", "cu", "one_u", *kept,
-            (F.col("one_u") + F.coalesce("b", F.lit(0))).alias(s), (F.col("one_w") + F.coalesce("a", F.lit(0))).alias(k),
-        )
-        before, words = words, cut_lineage(given.mapInArrow(_seat_parent(fresh, model["d0"], sweep), ", ".join(f"`{c}` bigint" for c in [*given.columns, z])))
-        dropped(before)
-        parent = words.agg(total(k), total(z), once(k, 1), once(k, 2), total((F.col("cw") > 0).cast("bigint"))).first()
+        before, last = words, sweep == BURN + SWEEPS - 1
+        moved = cut_lineage(before.union(_of(old, "ask")).groupBy("bucket").applyInArrow(_range(fresh, model["d0"], sweep), MOVED))
+        words = _of(moved, "words")
+        C0, tables, ones, twos, V, N, single = _sums(words, 7)
         if sweep == 0:
-            model |= {"d0": _discount(parent[2], parent[3]), "V": parent[4]}
-        fresh = (STRENGTH + model["d0"] * parent[1]) / (model["V"] + 1)
-        now = {**model, "C0": parent[0], "fresh": fresh, "sweep": sweep}
-        if sweep >= BURN:
-            kept += [s, k, z]
-            sweeps.append(now)
-        if sweep < BURN + SWEEPS - 1:
-            contexts = words.select(F.col("x").alias("u"), F.col(s).alias("tu"))
-            seated = state.join(contexts, "u").join(words.select(F.col("x").alias("w"), F.col(k).alias("customers"), F.col(z).alias("t0")), "w")
-            state = cut_lineage(seated.mapInArrow(_sweep(now, sweep >= BURN), STATE))  # one row per key on the right: AQE splits hot words
-            dropped(old)
-            old = state
-    contexts = words.select(F.col("x").alias("u"), *[c for c in kept if c[0] == "s"])
-    told = state.join(contexts, "u").join(words.select(F.col("x").alias("w"), *[c for c in kept if c[0] != "s"]), "w")
-    pairs = cut_lineage(told.mapInArrow(_last(sweeps, buckets), SCORES))
-    dropped(old)
-    # every pair as one that occurs once or never
-    facts = ["cw", "cu", *kept]
-    ranges = F.shiftrightunsigned(F.shiftrightunsigned("x", 32) * F.lit(buckets).cast("bigint"), 32).cast("int")
-    parts = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "version"), F.lit(max(buckets, size // CHUNK + 1))))
-    ask = parts.groupBy("part").applyInArrow(_ask_words(buckets), "bucket int, part bigint, words array<bigint>")
-    told = ask.groupBy("bucket").cogroup(words.select(ranges.alias("bucket"), "x", *facts).groupBy("bucket"))
-    told = told.applyInArrow(_tell_words(facts), "bucket int, part bigint, " + ", ".join(f"{f} array<bigint>" for f in facts))
-    first = cut_lineage(parts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_score_group(sweeps, facts), GROUPED))
+            model = {"N": N, "V": V, "d1": _discount(single, _sums(_of(old, "block"), 1)[0]), "d0": _discount(ones, twos)}
+        else:
+            dropped(before)
+        fresh = (STRENGTH + model["d0"] * tables) / (model["V"] + 1)
+        now = {**model, "C0": C0, "fresh": fresh, "sweep": sweep}
+        sweeps += [now] * (sweep >= BURN)
+        step = _of(old, "block").union(_of(moved, "told")).groupBy("bucket").applyInArrow(_sweep(now, blocks, sweep >= BURN, last), MOVED)
+        pairs = cut_lineage(step)
+        dropped(old)
+        old = pairs
+    hot = spark.sparkContext.broadcast(_hot(pairs))
+    # held-out texts and others in groups of their own
+    groups = [F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(min(blocks, x // LEAST), x // CHUNK) + 1)).cast("int") * 2 + k for k, x in enumerate(sizes)]
+    grouped = rows.withColumn("part", F.when(held, groups[1]).otherwise(groups[0]))
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(model["N"]).cast("bigint").alias("train_tokens"), "base_score", "score"]
+    passes, scored = min(PASSES, sum(sizes) // (2 * CHUNK) + 1), []
+    for k in range(passes):
+        parts = grouped.where(F.pmod(F.shiftright("part", 1), F.lit(passes)) == k)
+        ask = parts.groupBy("part").applyInArrow(_ask(ranges, hot), MOVED)
+        told = ask.groupBy("bucket").cogroup(words.union(_of(pairs, "pairs")).groupBy("bucket")).applyInArrow(_answer, MOVED)
+        out = parts.groupBy("part").cogroup(told.groupBy("bucket")).applyInArrow(_score_group(sweeps, ranges, hot), SCORED)
+        scored.append(out.select(*columns))
+    done = cut_lineage(*scored)
     dropped(words)
-    # by how much pairs with rows differ from that
-    ask = rows.select("doc_id", "text", "held_out", "version").mapInArrow(_asked(spark.sparkContext.broadcast(_hot(pairs, model["N"])), buckets), ASKED)
-    told = ask.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInPandas(_answer, TOLD)
-    ups_of = cut_lineage(told.groupBy("chunk").applyInPandas(_collect, "doc_id bigint, version bigint, held_out boolean, up double"))
     dropped(pairs)
-    ups = ups_of.groupBy(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "version", "held_out")]).agg(F.max("up").alias("up"))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("doc_id", "version", "held_out")]
-    out = first.join(ups, same[0] & same[1] & same[2], "left")
-    columns = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(model["N"]).cast("bigint").alias("train_tokens"), "base_score"]
-    done = cut_lineage(out.select(*columns, (F.col("score") + F.col("up")).alias("score")))
-    dropped(first)
-    dropped(ups_of)
     return done
 
 
-def _hot(pairs: DataFrame, n: int) -> dict:
+def _of(table: DataFrame, kind: str) -> DataFrame:
+    """The rows that are that; the arrays that others have are not read."""
+    other = "sent" if kind in ("block", "words", "pairs") else "kept"
+    return table.where(F.col("kind") == kind).withColumn(other, F.lit(None).cast("array<binary>"))
+
+
+def _sums(rows: DataFrame, n: int) -> tuple:
+    return rows.agg(*[F.coalesce(F.sum(F.col("sums")[k]), F.lit(0)) for k in range(n)]).first()
+
+
+def _hot(pairs: DataFrame) -> tuple[np.ndarray, ...]:
     """What pairs that make up over HOT_SHARE of all tokens differ by: at most 1 / HOT_SHARE of them."""
-    rows = pairs.where(F.col("c") >= max(2, HOT_SHARE * n)).select("key", "learned", "held").collect()
-    key = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
-    order = np.argsort(key)
-    return {"hot": key[order], "hot_learned": np.array([r[1] for r in rows], dtype=float)[order], "hot_held": np.array([r[2] for r in rows], dtype=float)[order]}
+    rows = [r[0] for r in pairs.select("sent").collect()]
+    hot = [_joined([r[k] for r in rows], kind) for k, kind in enumerate((np.uint64, np.float64, np.float64))]
+    order = np.argsort(hot[0])
+    return tuple(x[order] for x in hot)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -70,11 +70,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     return context.getCheckpointDir() or root
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, *more: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them back: the plan's history ends there, the rows
-    survive the loss of any executor, and Spark knows the size of what it reads."""
+    survive the loss of any executor, and Spark knows the size of what it reads. More of the same
+    columns is added one after the other."""
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
+    for other in more:
+        other.write.mode("append").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

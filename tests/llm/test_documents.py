@@ -233,6 +233,39 @@ def test_pitman_yor_leaves_no_table_of_its_sweeps(spark, docs):
     assert got.count() == docs.count()
 
 
+def test_pitman_yor_moves_blocks_of_pairs_not_rows_of_them(spark, docs, rows, monkeypatch):
+    """What the sweeps write has a row per block and for each two that tell each other something."""
+    counts = []
+    cut = pitman_yor.cut_lineage
+    monkeypatch.setattr(pitman_yor, "cut_lineage", lambda *dfs: counts.append((out := cut(*dfs)).count()) or out)
+    pitman_yor.report(docs)
+    texts = [plain.words(r.text) for r in rows]
+    seen = Counter(p for w in texts for p in zip([None, *w], [*w, None], strict=True))
+    assert counts[-1] == len(rows) and sum(n > 1 for n in seen.values()) > 2_000
+    assert max(counts[:-1]) <= 16 * 33 + 16
+
+
+def test_pitman_yor_scores_are_equal_in_any_blocks_groups_and_passes(docs, monkeypatch):
+    def scores():
+        return {(r.doc_id, r.n_tokens): r.score for r in pitman_yor.report(docs).collect()}
+
+    one = scores()
+    for name, value in (("SHARE", 1 << 14), ("LEAST", 1 << 13), ("CHUNK", 1 << 14)):
+        monkeypatch.setattr(pitman_yor, name, value)
+    many = scores()
+    assert one.keys() == many.keys() and all(one[k] == pytest.approx(many[k], rel=1e-9) for k in one)
+
+
+def test_fields_are_ordered_alike_in_one_number_and_apart():
+    rng = np.random.default_rng(1)
+    fields = [rng.integers(0, n, 5_000) for n in (3, 40, 7)]
+    short, wide = (pitman_yor._ordered(*[(x, n) for x, n in zip(fields, limits, strict=True)]) for limits in ((3, 40, 7), (1 << 30,) * 3))
+    assert list(zip(*map(list, short), strict=True)) == sorted(zip(*map(list, fields), strict=True))
+    assert all((a == b).all() for a, b in zip(short, wide, strict=True))
+    for x in (np.array([-1, 200]), np.array([], np.int64), np.array([1 << 40, -5]), np.array([0.5]), np.array([1 << 63], np.uint64)):
+        assert (pitman_yor._unpacked(pitman_yor._packed(x)) == x).all()
+
+
 def test_pairs_that_occur_once_have_no_rows():
     import pyarrow as pa
 
