@@ -81,8 +81,9 @@ def _buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _blocks(words: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """The blocks that each word's pairs are in as a context, first of its range, and as a word, of those of a range."""
-    return _buckets(mixed(words), ranges).astype(np.int64) * SPLIT, (mixed(words) >> np.uint64(60)).astype(np.int64)
+    """The blocks that each word's pairs are in as a context, first of its range, and as a word, of those of a range.
+    Both follow the order of ``_buckets``, so that a block's words are in few ranges of words."""
+    return _buckets(words, ranges).astype(np.int64) * SPLIT, (words >> np.uint64(60)).astype(np.int64)
 
 
 def _packed(x: np.ndarray) -> bytes:

@@ -256,6 +256,20 @@ def test_pitman_yor_scores_are_equal_in_any_blocks_groups_and_passes(docs, monke
     assert one.keys() == many.keys() and all(one[k] == pytest.approx(many[k], rel=1e-9) for k in one)
 
 
+def test_blocks_of_pairs_ask_few_ranges_of_words():
+    import pyarrow as pa
+
+    ranges, words = 20, [f"w{k * k % 9_973}" for k in range(60_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(words * 2)]), pa.array([False])], names=["doc_id", "text", "held_out"])
+    table = pa.Table.from_batches(pitman_yor._count(ranges * 16)([batch]))
+    asked = Counter()
+    for b in set(table["bucket"].to_pylist()):
+        out = pitman_yor._start(ranges * 16)(table.filter(pa.compute.equal(table["bucket"], b))).to_pylist()
+        asked.update(r["peer"] for r in out if r["kind"] == "ask")
+        assert sum(r["kind"] == "block" for r in out) == 1
+    assert 1 < max(asked.values()) <= 16 + ranges
+
+
 def test_fields_are_ordered_alike_in_one_number_and_apart():
     rng = np.random.default_rng(1)
     fields = [rng.integers(0, n, 5_000) for n in (3, 40, 7)]
