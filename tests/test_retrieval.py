@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,3 +280,36 @@ def test_recall_in_groups_equals_recall_per_question(spark):
     got = evaluation.recall_in_groups(hits, asked, members, group)
     assert sorted(got.collect()) == sorted(expected.collect()) and expected.count() > 10
     assert evaluation.mean_of(got).first().mean_recall == pytest.approx(evaluation.mean_recall(hits, asked.join(members, group)).first().mean_recall)
+
+
+def test_bags_keep_every_text_and_pieces_meet_only_questions_in_reach(spark, monkeypatch):
+    """Texts of a tenant travel packed, whatever the sizes; questions that no text of a piece can reach are left out."""
+    monkeypatch.setattr(ranking, "PACKED", 7)
+    monkeypatch.setattr(ranking, "TEXT_AT_ONCE", 400)
+    rng = random.Random(3)
+    tongues = ["the of and seas running".split(), "der die und wasser berge".split()]
+    texts = [(rng.choice(["a", "b", None]), i, " ".join(rng.choice(tongues[i % 2]) for _ in range(rng.randint(0, 25)))) for i in range(120)] + [("a", 120, None)]
+    chunks = spark.createDataFrame(texts, "tenant_id string, chunk_id bigint, chunk_text string").repartition(1)
+    packed = ranking._bags(chunks.select("tenant_id", "chunk_id", F.col("chunk_text").alias("text"))).toArrow().to_batches()
+    tenants = ["a", "b", None]
+    streams = [(tenant, piece) for batch in packed for tenant, piece in ranking._unpacked(batch, dict.fromkeys(tenants))]
+    assert all(piece.num_rows <= 7 for _, piece in streams)
+    got = {(tenant, r["chunk_id"]): dict(zip(r["stems"], r["counts"])) for tenant, piece in streams for r in piece.to_pylist()}
+    cut = {"seas": "sea", "running": "runn"}
+    assert got == {(t, i): dict(Counter(cut.get(w, w) for w in (text or "").split())) for t, i, text in texts}
+
+    met = []
+    offer = ranking._Best.offer
+    monkeypatch.setattr(ranking._Best, "offer", lambda self, scores, *rest: (met.append(scores.shape[1]), offer(self, scores, *rest)))
+    captured = {}
+    monkeypatch.setattr(ranking, "_search", lambda *args, **kw: captured.setdefault("prepare", args[5]) and chunks.select(F.lit("q").alias("qid"), "chunk_id", F.lit(1.0).alias("score"), F.lit(1).alias("place")))
+    asked = [("a", f"q{i}", text) for i, text in enumerate(["the sea and the seas", "der die", "wasser und berge", ""])]
+    ranking.words_topk(chunks, spark.createDataFrame(asked, "tenant_id string, qid string, question string"), 2)
+    block = pa.table({"stems": pa.array([["and", "sea", "sea", "the", "the"], ["der", "die"], ["berg", "und", "wasser"], []], pa.list_(pa.string()))})
+    score, best = captured["prepare"](block), ranking._Best(2, 4)
+    monkeypatch.setattr(ranking, "TEXT_AT_ONCE", 1_000_000)
+    packed = ranking._bags(chunks.select("tenant_id", "chunk_id", F.col("chunk_text").alias("text"))).toArrow().to_batches()
+    pieces = [piece for batch in packed for _, piece in ranking._unpacked(batch, {"a": []})]
+    for piece in pieces:
+        best.offer(*score(piece, best.floor), piece.column("chunk_id").to_numpy(zero_copy_only=False))
+    assert met[0] == 4 and min(met) < 4
