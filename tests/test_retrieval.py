@@ -313,3 +313,22 @@ def test_bags_keep_every_text_and_pieces_meet_only_questions_in_reach(spark, mon
     for piece in pieces:
         best.offer(*score(piece, best.floor), piece.column("chunk_id").to_numpy(zero_copy_only=False))
     assert met[0] == 4 and min(met) < 4
+
+
+def test_texts_of_chunks_are_moved_once_after_the_choice(spark, monkeypatch):
+    """The union is decided by hashes; equal texts and a text equal to another branch's snippet still count as equal."""
+    seen = []
+    first = retrieval.first_citations
+    monkeypatch.setattr(retrieval, "first_citations", lambda found, *rest: (seen.append(found.where("branch = 2 and snippet is not null")), first(found, *rest))[1])
+    people = spark.createDataFrame([("t", "p", "Ann", None, "Acme", "CEO", None)], "tenant_id string, id string, display_name string, primary_email string, company string, title string, merged_into_id string")
+    chunks = spark.createDataFrame(
+        [("t", 1, "p", "gmail", "Ann, CEO at Acme"), ("t", 2, "p", "gmail", "ceo acme"), ("t", 3, "p", "gmail", "ceo acme"), ("t", 4, "p", "gmail", "ceo")],
+        "tenant_id string, chunk_id bigint, person_id string, source_type string, chunk_text string",
+    )
+    interactions = spark.createDataFrame([], "tenant_id string, person_id string, source_type string, source_record_id string, interaction_type string, occurred_at timestamp, subject string, deleted_at timestamp")
+    routed = spark.createDataFrame([("q", "t", "ceo acme", "hybrid", "acme", None)], "qid string, tenant_id string, question string, intent string, company_slot string, name_slot string")
+    snippet = retrieval.company_citations(routed.withColumnRenamed("company_slot", "slot"), people).first().snippet
+    chunks = chunks.withColumn("chunk_text", F.when(F.col("chunk_id") == 1, snippet).otherwise(F.col("chunk_text")))
+    out = retrieval.retrieve(routed, people, interactions, chunks).orderBy("place").collect()
+    assert [(r.place, r.source_type, r.snippet) for r in out] == [(1, "contacts", snippet), (2, "gmail", "ceo acme"), (3, "gmail", "ceo")]
+    assert seen[0].isEmpty()
